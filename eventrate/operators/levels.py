@@ -56,19 +56,28 @@ def _position(columns: Sequence[str]) -> Column:
     ).cast("bigint")
 
 
-def level_counts(df: DataFrame, event: str, columns: Sequence[str]) -> DataFrame:
-    """Rows and events of every level of every column; NULL counts as a level."""
-    narrow = df.select(F.col(event).cast("int").alias(event), *[F.col(c).cast("string").alias(c) for c in columns])
-    long = narrow.unpivot([event], list(columns), "var_name", "level")
+def level_counts(df: DataFrame, event: str, columns: Sequence[str], rows: str | None = None) -> DataFrame:
+    """Rows and events of every level of every column; NULL counts as a level.
+
+    With ``rows`` the table is already summed up: ``event`` holds numbers of events and
+    ``rows`` numbers of rows.  Summing by a join key before a join keeps the join small.
+    """
+    narrow = df.select(
+        F.col(event).cast("bigint").alias("_events"),
+        (F.lit(1) if rows is None else F.col(rows)).cast("bigint").alias("_rows"),
+        *[F.col(c).cast("string").alias(c) for c in columns],
+    )
+    long = narrow.unpivot(["_events", "_rows"], list(columns), "var_name", "level")
     return (
         long.groupBy("var_name", "level")
-        .agg(F.sum(event).cast("bigint").alias("events"), F.count(F.lit(1)).alias("total"))
+        .agg(F.sum("_events").alias("events"), F.sum("_rows").alias("total"))
         .withColumn("col_num", _position(columns))
     )
 
 
 def level_event_rate(
-    df: DataFrame, event: str, columns: Sequence[str], digits: int | None = 3, counts: DataFrame | None = None
+    df: DataFrame | None, event: str, columns: Sequence[str], digits: int | None = 3,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Event rate of each level that has at least one event, NULL included.
 
@@ -89,7 +98,7 @@ def level_event_rate(
 
 
 def zero_event_levels(
-    df: DataFrame, event: str, columns: Sequence[str], counts: DataFrame | None = None
+    df: DataFrame | None, event: str, columns: Sequence[str], counts: DataFrame | None = None
 ) -> DataFrame:
     """Levels never seen with an event, all coded 0."""
     counts = level_counts(df, event, columns) if counts is None else counts

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Texts that stand for a missing value.
 NULL_TOKENS = ("", "NA", "UNKNOWN", "#VALUE!")
@@ -15,22 +16,25 @@ WHOLE = r"^\s*[+-]?[0-9]+\s*$"
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
-def clean_names(df: DataFrame, separator: str = "_") -> DataFrame:
-    """Turn header texts into unique identifiers.
-
-    With ``separator="."`` the result has the dotted names that dotted-name tools produce.
-    """
+def identifiers(headers: Sequence[str | None], separator: str = "_") -> list[str]:
+    """Unique column names made from header texts."""
+    allowed = "0-9A-Za-z._" if separator == "." else "0-9A-Za-z_"
+    start = r"[A-Za-z]|\.(?![0-9])" if separator == "." else "[A-Za-z_]"
     names: list[str] = []
-    for raw in df.columns:
-        base = re.sub(r"[^0-9A-Za-z._]", separator, raw) if separator == "." else re.sub(r"[^0-9A-Za-z_]", separator, raw)
-        if not re.match(r"[A-Za-z_]|\.(?![0-9])", base) or base.startswith("_") and separator == ".":
-            base = "X" + base
-        name, i = base, 0
-        while name.lower() in {n.lower() for n in names}:
-            i += 1
-            name = f"{base}{separator}{i}"
+    for header in headers:
+        base = re.sub(f"[^{allowed}]", separator, header or "")
+        base = base if re.match(start, base) else f"X{base}"
+        name, copies = base, 0
+        while name.lower() in [n.lower() for n in names]:
+            copies += 1
+            name = f"{base}{separator}{copies}"
         names.append(name)
-    return df.toDF(*names)
+    return names
+
+
+def clean_names(df: DataFrame, separator: str = "_") -> DataFrame:
+    """Rename columns to unique identifiers; ``separator="."`` gives dotted names."""
+    return df.toDF(*identifiers(df.columns, separator))
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:
@@ -66,8 +70,10 @@ def read_records(
     ``types`` declares the type of columns (others stay text); ``infer`` finds types with one
     extra scan.  Values that do not fit a declared type become NULL.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"')
-    raw = clean_names(raw, separator)
+    reader = spark.read.options(quote='"', escape='"')
+    headers = reader.csv(path, header=False).first() or []
+    fields = [T.StructField(n, T.StringType()) for n in identifiers(headers, separator)]
+    raw = reader.schema(T.StructType(fields)).csv(path, header=True)
     tokens = list(null_tokens)
     text = raw.select(*[F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c) for c in raw.columns])
     if infer:
