@@ -389,10 +389,10 @@ def running_sums(
         ranged = ranged.join(F.broadcast(offsets), PART)
         start = {new: F.col(f"_start_{new}") for new in sums}
     w = Window.partitionBy(PART).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    added = [
-        (F.coalesce(F.sum(c).over(w), F.lit(0)) + start.get(new, F.lit(0))).alias(new) for new, c in sums.items()
-    ]
-    return ranged.select(*df.columns, *added)
+    added = {
+        new: F.coalesce(F.sum(c).over(w), F.lit(0)) + start.get(new, F.lit(0)) for new, c in sums.items()
+    }
+    return ranged.withColumns(added).drop(PART, *[f"_start_{new}" for new in sums])
 
 
 def global_rank(

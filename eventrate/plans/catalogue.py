@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from eventrate.plans import level_queries  # noqa: F401
+from eventrate.plans import level_queries, prepare_queries  # noqa: F401
 from eventrate.plans.registry import CATALOGUE
 
 __all__ = ["CATALOGUE"]

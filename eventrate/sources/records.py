@@ -16,32 +16,30 @@ WHOLE = r"^\s*[+-]?[0-9]+\s*$"
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
-def identifiers(headers: Sequence[str | None], separator: str = "_") -> list[str]:
-    """Unique column names made from header texts."""
-    allowed = "0-9A-Za-z._" if separator == "." else "0-9A-Za-z_"
-    start = r"[A-Za-z]|\.(?![0-9])" if separator == "." else "[A-Za-z_]"
+def identifiers(headers: Sequence[str | None]) -> list[str]:
+    """Unique column names made from header texts; dots would mean nesting to Spark."""
     names: list[str] = []
     for header in headers:
-        base = re.sub(f"[^{allowed}]", separator, header or "")
-        base = base if re.match(start, base) else f"X{base}"
+        base = re.sub("[^0-9A-Za-z_]", "_", header or "")
+        base = base if re.match("[A-Za-z_]", base) else f"X{base}"
         name, copies = base, 0
         while name.lower() in [n.lower() for n in names]:
             copies += 1
-            name = f"{base}{separator}{copies}"
+            name = f"{base}_{copies}"
         names.append(name)
     return names
 
 
-def clean_names(df: DataFrame, separator: str = "_") -> DataFrame:
-    """Rename columns to unique identifiers; ``separator="."`` gives dotted names."""
-    return df.toDF(*identifiers(df.columns, separator))
+def clean_names(df: DataFrame) -> DataFrame:
+    """Rename columns to unique identifiers."""
+    return df.toDF(*identifiers(df.columns))
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:
     """Narrowest of int, bigint, double and string that every present value fits, in one scan."""
     tests = []
     for i, c in enumerate(df.columns):
-        value = F.col(f"`{c}`")
+        value = F.col(c)
         tests += [
             F.count(value).alias(f"n{i}"),
             F.count_if(value.rlike(WHOLE) & value.try_cast("int").isNotNull()).alias(f"i{i}"),
@@ -63,7 +61,6 @@ def read_records(
     null_tokens: Sequence[str] = NULL_TOKENS,
     types: Mapping[str, str] | None = None,
     infer: bool = False,
-    separator: str = "_",
 ) -> DataFrame:
     """Read delimited text with a header, turn null tokens into NULL and apply types.
 
@@ -72,15 +69,15 @@ def read_records(
     """
     reader = spark.read.options(quote='"', escape='"')
     headers = reader.csv(path, header=False).first() or []
-    fields = [T.StructField(n, T.StringType()) for n in identifiers(headers, separator)]
+    fields = [T.StructField(n, T.StringType()) for n in identifiers(headers)]
     raw = reader.schema(T.StructType(fields)).csv(path, header=True)
     tokens = list(null_tokens)
-    text = raw.select(*[F.when(~F.col(f"`{c}`").isin(tokens), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    text = raw.select(*[F.when(~F.col(c).isin(tokens), F.col(c)).alias(c) for c in raw.columns])
     if infer:
         types = {**infer_types(text), **(types or {})}
     if not types:
         return text
     return text.select(
-        *[F.trim(f"`{c}`").try_cast(types[c]).alias(c) if types.get(c, "string") != "string" else F.col(f"`{c}`")
+        *[F.trim(c).try_cast(types[c]).alias(c) if types.get(c, "string") != "string" else F.col(c)
           for c in text.columns]
     )
