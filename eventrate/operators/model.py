@@ -30,6 +30,7 @@ from eventrate.operators import rank
 from eventrate.runtime import LIMITS, Limits
 
 FEATURES, LABEL, CHOSEN = "_features", "_label", "_chosen"
+MAX_FEATURES = 4096  # what the solver of Spark accepts
 
 
 class Split(NamedTuple):
@@ -99,6 +100,7 @@ def _design(df: DataFrame, event: str, terms: Sequence[str]) -> _Design:
     """Assemble the feature vector once; categories get dummies against their first level."""
     formula = f"{_quoted(event)} ~ " + " + ".join(_quoted(t) for t in terms)
     rows = df.select(F.col(event).cast("double").alias(event), *terms).dropna()
+    _require_few_levels(rows, [t for t in terms if dict(df.dtypes)[t] == "string"])
     encoder = RFormula(
         formula=formula, featuresCol=FEATURES, labelCol=LABEL, stringIndexerOrderType="alphabetDesc",
         forceIndexLabel=False,
@@ -117,6 +119,16 @@ def _design(df: DataFrame, event: str, terms: Sequence[str]) -> _Design:
     return _Design(data, encoder, names, term_of, _independent(data))
 
 
+def _require_few_levels(rows: DataFrame, columns: Sequence[str]) -> None:
+    """Level names go to the driver and become features, so their number is checked first."""
+    if not columns:
+        return
+    seen = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    wide = [c for c in columns if seen[c] > MAX_FEATURES]
+    if wide:
+        raise ValueError(f"too many levels in {wide}; merge them with reduce_levels first")
+
+
 def _independent(data: DataFrame, tolerance: float = 1e-9) -> list[int]:
     """Columns that are neither constant nor a combination of earlier columns.
 

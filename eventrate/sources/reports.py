@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from eventrate.operators.rank import global_rank
 
@@ -17,7 +18,8 @@ def write_report(
     ``index_by`` adds a leading ``index`` column that numbers the rows in that order.
     """
     if index_by:
-        df = global_rank(df, list(index_by), "index").select("index", *df.columns)
+        quoted = [F.col(f"`{c}`") for c in df.columns]
+        df = global_rank(df, list(index_by), "index").select("index", *quoted)
     writer = df.write.mode(mode)
     if fmt == "csv":
         # Texts are quoted with doubled quotes inside, as read_records expects.
