@@ -29,7 +29,10 @@ from eventrate.functions import tails
 from eventrate.operators import rank
 from eventrate.runtime import LIMITS, Limits
 
-FEATURES, LABEL, CHOSEN = "_features", "_label", "_chosen"
+FEATURES, CHOSEN, EVENTS, WEIGHT = "_features", "_chosen", "_events", "_weight"
+# Formulas accept plain names only, so the label and the terms get such names inside.
+LABEL, TERM = "sharexofxevents", "termxnumber"
+SPREAD_ROWS = 5_000_000
 MAX_FEATURES = 4096  # what the solver of Spark accepts
 
 
@@ -90,43 +93,78 @@ class _Design:
     names: list[str]
     term_of: list[str]
     usable: list[int]
+    rows: int
+    saturated: float  # deviance of the merged rows themselves, against single rows
+    cached: tuple[DataFrame, ...]
 
+    def release(self) -> None:
+        for frame in self.cached:
+            frame.unpersist()
 
-def _quoted(name: str) -> str:
-    return name if re.fullmatch(r"[A-Za-z.][A-Za-z0-9._]*", name) else f"`{name}`"
 
+def _encodable(df: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """Add the terms under the names that the encoder knows."""
+    return df.withColumns({f"{TERM}{i}": F.col(t) for i, t in enumerate(terms)})
 
-def _design(df: DataFrame, event: str, terms: Sequence[str]) -> _Design:
-    """Assemble the feature vector once; categories get dummies against their first level."""
-    formula = f"{_quoted(event)} ~ " + " + ".join(_quoted(t) for t in terms)
+
+def _counted_rows(df: DataFrame, event: str, terms: Sequence[str]) -> tuple[DataFrame, int, bool]:
+    """Complete rows with numbers of events and rows, the total, and whether rows were merged.
+
+    Every fit reads the rows many times.  Where a sketch finds far fewer combinations of
+    feature values than rows, as with categories and coarse numbers, rows with equal features
+    are merged first; the likelihood is the same up to a constant.
+    """
     rows = df.select(F.col(event).cast("double").alias(event), *terms).dropna()
-    _require_few_levels(rows, [t for t in terms if dict(df.dtypes)[t] == "string"])
+    types = dict(df.dtypes)
+    text = [t for t in terms if types[t] == "string"]
+    seen = rows.agg(
+        F.count(F.lit(1)).alias("_total"),
+        F.approx_count_distinct(F.xxhash64(*terms)).alias("_patterns"),
+        *[F.approx_count_distinct(c).alias(c) for c in text],
+    ).first()
+    # Level names go to the driver and become features, so their number is checked first.
+    wide = [c for c in text if seen[c] > MAX_FEATURES]
+    if wide:
+        raise ValueError(f"too many levels in {wide}; merge them with reduce_levels first")
+    total = seen["_total"]
+    if seen["_patterns"] * 4 <= total:
+        merged = rows.groupBy(*terms).agg(
+            F.sum(event).alias(EVENTS), F.count(F.lit(1)).cast("double").alias(WEIGHT)
+        )
+        return merged.persist(StorageLevel.MEMORY_AND_DISK), total, True
+    if total <= SPREAD_ROWS:
+        # A small table may lie in a single file; let all cores work on it.
+        rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return rows.withColumns({EVENTS: F.col(event), WEIGHT: F.lit(1.0)}), total, False
+
+
+def _design(df: DataFrame, event: str, terms: Sequence[str]) -> _Design:
+    """Assemble the feature vector once; categories get dummies against their first level.
+
+    The label is the share of events among the merged rows, weighted by their number.
+    """
+    rows, total, merged = _counted_rows(df, event, terms)
+    rows = _encodable(rows.withColumn(LABEL, F.col(EVENTS) / F.col(WEIGHT)), terms)
     encoder = RFormula(
-        formula=formula, featuresCol=FEATURES, labelCol=LABEL, stringIndexerOrderType="alphabetDesc",
-        forceIndexLabel=False,
+        formula=f"{LABEL} ~ " + " + ".join(f"{TERM}{i}" for i in range(len(terms))), featuresCol=FEATURES,
+        labelCol=LABEL, stringIndexerOrderType="alphabetDesc", forceIndexLabel=False,
     ).fit(rows)
-    data = encoder.transform(rows).select(FEATURES, F.col(event).alias(LABEL)).persist(StorageLevel.MEMORY_AND_DISK)
+    data = encoder.transform(rows).select(FEATURES, LABEL, EVENTS, WEIGHT).persist(StorageLevel.MEMORY_AND_DISK)
+    saturated = data.agg(
+        F.sum(sum(
+            F.when(n > 0, F.lit(-2.0) * n * F.log(n / F.col(WEIGHT))).otherwise(0.0)
+            for n in (F.col(EVENTS), F.col(WEIGHT) - F.col(EVENTS))
+        )).alias("d")
+    ).first()["d"] if merged else 0.0
     attrs = data.schema[FEATURES].metadata["ml_attr"]["attrs"]
     entries = sorted((a for group in attrs.values() for a in group), key=lambda a: a["idx"])
-    names = [a["name"] for a in entries]
-    by_length = sorted(terms, key=len, reverse=True)
-    types = dict(df.dtypes)
-    term_of = [
-        n if n in terms and types[n] != "string"
-        else next(t for t in by_length if n == t or n.startswith(f"{t}_") and types[t] == "string")
-        for n in names
-    ]
-    return _Design(data, encoder, names, term_of, _independent(data))
-
-
-def _require_few_levels(rows: DataFrame, columns: Sequence[str]) -> None:
-    """Level names go to the driver and become features, so their number is checked first."""
-    if not columns:
-        return
-    seen = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    wide = [c for c in columns if seen[c] > MAX_FEATURES]
-    if wide:
-        raise ValueError(f"too many levels in {wide}; merge them with reduce_levels first")
+    # An entry is called after its term, followed by the level if the term is a category.
+    parts = [re.fullmatch(rf"{TERM}(\d+)(.*)", a["name"], re.DOTALL).groups() for a in entries]
+    term_of = [terms[int(i)] for i, _ in parts]
+    names = [t + level for t, (_, level) in zip(term_of, parts)]
+    return _Design(
+        data, encoder, names, term_of, _independent(data), total, saturated, (data, rows) if merged else (data,)
+    )
 
 
 def _independent(data: DataFrame, tolerance: float = 1e-9) -> list[int]:
@@ -149,7 +187,7 @@ def _fit(data: DataFrame, use: Sequence[int], **settings: Any) -> tuple[VectorSl
     slicer = VectorSlicer(inputCol=FEATURES, outputCol=CHOSEN, indices=list(use))
     solver = GeneralizedLinearRegression(
         family="binomial", link="logit", maxIter=25, tol=1e-8, regParam=0.0, featuresCol=CHOSEN, labelCol=LABEL,
-        **settings,
+        weightCol=WEIGHT, **settings,
     )
     return slicer, solver.fit(slicer.transform(data))
 
@@ -186,7 +224,7 @@ def fit_logit(
     try:
         return _logit(design, event, terms, design.usable, df.sparkSession)
     finally:
-        design.data.unpersist()
+        design.release()
 
 
 def _logit(design: _Design, event: str, terms: Sequence[str], use: Sequence[int], session) -> LogitModel:
@@ -199,9 +237,10 @@ def _logit(design: _Design, event: str, terms: Sequence[str], use: Sequence[int]
         estimates=(float(fitted.intercept), *map(float, fitted.coefficients)),
         # Spark lists the intercept last; here it comes first.
         errors=tuple(np.roll(np.array(s.coefficientStandardErrors), 1).tolist()),
-        null_deviance=float(s.nullDeviance), deviance=float(s.deviance),
-        null_df=int(s.residualDegreeOfFreedomNull), residual_df=int(s.residualDegreeOfFreedom),
-        aic=float(s.aic), session=session,
+        null_deviance=float(s.nullDeviance) + design.saturated, deviance=float(s.deviance) + design.saturated,
+        null_df=design.rows - 1, residual_df=design.rows - 1 - len(use),
+        # For a 0/1 outcome the deviance is minus twice the log likelihood.
+        aic=float(s.deviance) + design.saturated + 2.0 * (len(use) + 1), session=session,
     )
 
 
@@ -263,7 +302,7 @@ def _profile(model: LogitModel, df: DataFrame, q: float, names: Sequence[str]) -
             rows.append((name, *ends))
         return rows
     finally:
-        design.data.unpersist()
+        design.release()
 
 
 def _profile_end(design: _Design, use: Sequence[int], k: int, model: LogitModel, goal: float) -> float:
@@ -281,7 +320,7 @@ def _profile_end(design: _Design, use: Sequence[int], k: int, model: LogitModel,
         if not kept:
             raise ValueError("profile intervals need a second feature besides the one held fixed")
         _, refit = _fit(data, kept, offsetCol="_offset", fitIntercept=bool(k))
-        rise = refit.summary.deviance - model.deviance
+        rise = refit.summary.deviance + design.saturated - model.deviance
         return math.copysign(math.sqrt(max(rise, 0.0)), value - est)
 
     a, fa = est, 0.0
@@ -298,7 +337,7 @@ def _profile_end(design: _Design, use: Sequence[int], k: int, model: LogitModel,
 def score(model: LogitModel, df: DataFrame, name: str = "probability") -> DataFrame:
     """Add the event probability of each row; a row with a NULL feature gets NULL."""
     known = reduce(lambda a, b: a & b, [F.col(t).isNotNull() for t in model.terms])
-    encoded = model.slicer.transform(model.encoder.transform(df.where(known)))
+    encoded = model.slicer.transform(model.encoder.transform(_encodable(df.where(known), model.terms)))
     scored = model.fitted.setPredictionCol(name).transform(encoded).select(*df.columns, name)
     return scored.unionByName(df.where(~known).withColumn(name, F.lit(None).cast("double")))
 
@@ -361,7 +400,7 @@ def stepwise(
             chosen, best = kept, m
             path.append((len(path), sign, t, aic, fits))
     finally:
-        design.data.unpersist()
+        design.release()
     steps = df.sparkSession.createDataFrame(
         path, "step bigint, move string, term string, aic double, fits bigint"
     )
@@ -388,18 +427,32 @@ def fit_tree(
     """
     terms = _terms(df, event, features, exclude)
     design = _design(df, event, terms)
+    # The tree wants classes: merged rows are split into their events and their non-events.
+    sides = F.array(
+        F.struct(F.lit(1.0).alias("y"), F.col(EVENTS).alias("n")),
+        F.struct(F.lit(0.0).alias("y"), (F.col(WEIGHT) - F.col(EVENTS)).alias("n")),
+    )
+    classes = (
+        design.data.select(FEATURES, F.inline(sides)).where(F.col("n") > 0)
+        .select(FEATURES, F.col("y").alias(LABEL), F.col("n").alias(WEIGHT))
+    )
     try:
         tree = DecisionTreeClassifier(
-            featuresCol=FEATURES, labelCol=LABEL, impurity="gini", maxDepth=max_depth, minInstancesPerNode=min_rows,
+            featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, impurity="gini", maxDepth=max_depth,
+            # Rows may be merged, so the least size of a leaf is stated as a share of the weight.
+            minInstancesPerNode=1, minWeightFractionPerNode=min(min_rows / design.rows, 0.499),
             minInfoGain=min_gain, maxBins=max_bins, leafCol="_leaf", seed=100,
-        ).fit(design.data)
+        ).fit(classes)
         found = (
-            tree.transform(design.data).groupBy(F.col("_leaf").cast("bigint").alias("leaf"))
-            .agg(F.sum(LABEL).cast("bigint").alias("events"), F.count(F.lit(1)).alias("total"))
+            tree.transform(classes).groupBy(F.col("_leaf").cast("bigint").alias("leaf"))
+            .agg(
+                F.sum(F.col(LABEL) * F.col(WEIGHT)).cast("bigint").alias("events"),
+                F.sum(WEIGHT).cast("bigint").alias("total"),
+            )
             .collect()
         )
     finally:
-        design.data.unpersist()
+        design.release()
     counts = {r["leaf"]: (r["events"], r["total"]) for r in found}
     rows = []
     for leaf, (rule, predicted) in enumerate(_leaf_rules(tree.toDebugString, design.names)):

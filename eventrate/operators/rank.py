@@ -178,20 +178,23 @@ def _narrow(
     fraction = reduce(
         lambda acc, ig: acc.when(F.col(GAP) == ig[0], F.lit(min(1.0, share / ig[1].rows))), enumerate(gaps), F
     )
+    drawn = tagged.where(F.rand(seed=attempt) < fraction).toArrow()
     sample: dict[int, list[tuple]] = {i: [] for i in range(len(gaps))}
-    for row in tagged.where(F.rand(seed=attempt) < fraction).collect():
-        sample[row[GAP]].append(tuple(row[c] for c in order))
+    for i, *values in zip(*(drawn.column(c).to_pylist() for c in (GAP, *order))):
+        sample[i].append(tuple(values))
     splitters = {i: _splitters(gaps[i], sorted(rows, key=_sort_key)) for i, rows in sample.items()}
 
     keys = [F.col(c) for c in order]
 
-    def cell_of(cuts: list[tuple]) -> Column:
-        ladder: Any = F
-        for j, cut in enumerate(cuts):
-            ladder = ladder.when(_before(keys, cut), F.lit(2 * j)).when(_same(keys, cut), F.lit(2 * j + 1))
-        return ladder.otherwise(F.lit(2 * len(cuts))) if cuts else F.lit(0)
+    def cell_of(cuts: list[tuple], first: int, last: int) -> Column:
+        """Cell among ``cuts[first:last]`` by halving: even cells are gaps, odd ones are cuts."""
+        if first == last:
+            return F.lit(2 * first)
+        mid = (first + last) // 2
+        below, above = cell_of(cuts, first, mid), cell_of(cuts, mid + 1, last)
+        return F.when(_before(keys, cuts[mid]), below).when(_same(keys, cuts[mid]), F.lit(2 * mid + 1)).otherwise(above)
 
-    cell = reduce(lambda acc, ic: acc.when(F.col(GAP) == ic[0], cell_of(ic[1])), splitters.items(), F)
+    cell = reduce(lambda acc, ic: acc.when(F.col(GAP) == ic[0], cell_of(ic[1], 0, len(ic[1]))), splitters.items(), F)
     counts = {
         (row[GAP], row[CELL]): row["count"]
         for row in tagged.select(GAP, cell.alias(CELL)).groupBy(GAP, CELL).count().collect()

@@ -21,7 +21,7 @@ class Limits:
     """
 
     task_rows: int = 250_000
-    sample_rows: int = 100_000
+    sample_rows: int = 50_000
     broadcast_rows: int = 500_000
     broadcast_bytes: int = 64 * 1024 * 1024
 

@@ -49,6 +49,23 @@ def test_logit_agrees_with_independent_fit(data, spark):
     assert np.allclose([r["probability"] for r in scored], p, atol=1e-6)
 
 
+def test_merged_rows_give_the_same_fit(data):
+    df, design, e = data
+    coarse = df.withColumn("c1", F.round("x1")).select("c1", "g", "e")
+    assert model._counted_rows(coarse, "e", ["c1", "g"])[2]
+    fit = model.fit_logit(coarse, "e")
+    ids = df.orderBy("id").select(F.round("x1").alias("c1")).collect()
+    design = np.column_stack([design[:, 0], [r["c1"] for r in ids], design[:, 3:]])
+    beta, se, dev, _ = newton(design, e)
+    table = {r["term"]: r for r in model.coef_table(fit).collect()}
+    for term, b, s in zip(["(Intercept)", "c1", "g_b", "g_c"], beta, se):
+        assert (table[term]["estimate"], table[term]["std_error"]) == (pytest.approx(b, abs=1e-6), pytest.approx(s, abs=1e-6))
+    share = e.mean()
+    null = -2 * (e.sum() * np.log(share) + (len(e) - e.sum()) * np.log(1 - share))
+    assert (fit.deviance, fit.null_deviance) == (pytest.approx(dev, abs=1e-5), pytest.approx(null, abs=1e-5))
+    assert (fit.aic, fit.residual_df) == (pytest.approx(dev + 8, abs=1e-5), 1996)
+
+
 def test_profile_interval_is_where_deviance_has_risen(data):
     df, design, e = data
     fit = model.fit_logit(df, formula="e ~ x1 + x2")
