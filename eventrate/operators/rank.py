@@ -20,6 +20,8 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any, NamedTuple
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,24 @@ def _before(columns: Sequence[Column], values: Sequence, or_same: bool = False)
     return less | (head.eqNullSafe(F.lit(value)) & _before(columns[1:], values[1:], or_same))
 
 
+def _locate(
+    keys: Sequence[Column], cuts: Sequence[Sequence], between: Callable[[int], Column], at: Callable[[int], Column]
+) -> Column:
+    """Place of a row among ascending literal cuts, found by halving.
+
+    ``between(j)`` labels rows after cut ``j - 1`` and before cut ``j``; ``at(j)`` those on cut ``j``.
+    """
+
+    def part(first: int, last: int) -> Column:
+        if first == last:
+            return between(first)
+        mid = (first + last) // 2
+        ladder = F.when(_before(keys, cuts[mid]), part(first, mid))
+        return ladder.when(_same(keys, cuts[mid]), at(mid)).otherwise(part(mid + 1, last))
+
+    return part(0, len(cuts))
+
+
 def _sort_key(values: Sequence) -> tuple:
     def one(v):
         if v is None:
@@ -75,6 +95,10 @@ def _sort_key(values: Sequence) -> tuple:
     return tuple(one(v) for v in values)
 
 
+def _has_nan(column: pa.ChunkedArray) -> bool:
+    return pa.types.is_floating(column.type) and bool(pc.any(pc.is_nan(column)).as_py())
+
+
 # --- exact selection -------------------------------------------------------------------
 
 
@@ -110,21 +134,26 @@ def rows_at_ranks(
     return found
 
 
-def _in_gap(order: Sequence[str], gap: _Gap) -> Column:
-    keys = [F.col(c) for c in order]
-    test = F.col(SERIES) == F.lit(gap.series)
-    if gap.low is not None:
-        test = test & ~_before(keys, gap.low, or_same=True)
-    if gap.high is not None:
-        test = test & _before(keys, gap.high)
-    return test
-
-
 def _tag(long: DataFrame, order: Sequence[str], gaps: Sequence[_Gap]) -> DataFrame:
     """Keep rows inside a gap, labelled with its index."""
-    label = reduce(
-        lambda acc, ig: acc.when(_in_gap(order, ig[1]), F.lit(ig[0])), enumerate(gaps), F
-    )
+    keys = [F.col(c) for c in order]
+    nowhere = F.lit(None).cast("int")
+
+    def within(members: list[tuple[int, _Gap]]) -> Column:
+        # The open gaps of a series do not overlap, so each lies between neighbouring bounds.
+        bounds = sorted({b for _, g in members for b in (g.low, g.high) if b is not None}, key=_sort_key)
+        index = {(g.low, g.high): i for i, g in members}
+        edges = [None, *bounds, None]
+        return _locate(
+            keys, bounds, lambda j: F.lit(index.get((edges[j], edges[j + 1]))).cast("int"), lambda _: nowhere
+        )
+
+    by_series: dict[Any, list[tuple[int, _Gap]]] = {}
+    for i, gap in enumerate(gaps):
+        by_series.setdefault(gap.series, []).append((i, gap))
+    label: Any = F
+    for series, members in by_series.items():
+        label = label.when(F.col(SERIES) == F.lit(series), within(members))
     return long.select(label.alias(GAP), *order).where(F.col(GAP).isNotNull())
 
 
@@ -182,19 +211,18 @@ def _narrow(
     sample: dict[int, list[tuple]] = {i: [] for i in range(len(gaps))}
     for i, *values in zip(*(drawn.column(c).to_pylist() for c in (GAP, *order))):
         sample[i].append(tuple(values))
-    splitters = {i: _splitters(gaps[i], sorted(rows, key=_sort_key)) for i, rows in sample.items()}
+    plain = not any(drawn.column(c).null_count or _has_nan(drawn.column(c)) for c in order)
+    splitters = {
+        i: _splitters(gaps[i], sorted(rows, key=None if plain else _sort_key)) for i, rows in sample.items()
+    }
 
     keys = [F.col(c) for c in order]
 
-    def cell_of(cuts: list[tuple], first: int, last: int) -> Column:
-        """Cell among ``cuts[first:last]`` by halving: even cells are gaps, odd ones are cuts."""
-        if first == last:
-            return F.lit(2 * first)
-        mid = (first + last) // 2
-        below, above = cell_of(cuts, first, mid), cell_of(cuts, mid + 1, last)
-        return F.when(_before(keys, cuts[mid]), below).when(_same(keys, cuts[mid]), F.lit(2 * mid + 1)).otherwise(above)
+    def cell_of(cuts: list[tuple]) -> Column:
+        """Even cells are gaps between cuts, odd cells are the cuts."""
+        return _locate(keys, cuts, lambda j: F.lit(2 * j), lambda j: F.lit(2 * j + 1))
 
-    cell = reduce(lambda acc, ic: acc.when(F.col(GAP) == ic[0], cell_of(ic[1], 0, len(ic[1]))), splitters.items(), F)
+    cell = reduce(lambda acc, ic: acc.when(F.col(GAP) == ic[0], cell_of(ic[1])), splitters.items(), F)
     counts = {
         (row[GAP], row[CELL]): row["count"]
         for row in tagged.select(GAP, cell.alias(CELL)).groupBy(GAP, CELL).count().collect()
@@ -332,10 +360,9 @@ def with_row_position(df: DataFrame, name: str) -> DataFrame:
 def tile_label(column: str, key: Sequence[str], edges: Sequence[Cut]) -> Column:
     """Tile number of a row by comparison with literal tile borders; NULL stays NULL."""
     keys = [F.col(c) for c in (column, *key)]
-    ladder = F.when(F.col(column).isNull(), F.lit(None).cast("int"))
-    for i, cut in enumerate(edges):
-        ladder = ladder.when(_before(keys, cut.values, or_same=True), F.lit(i + 1))
-    return ladder.otherwise(F.lit(len(edges) + 1))
+
+    place = _locate(keys, [cut.values for cut in edges], lambda j: F.lit(j + 1), lambda j: F.lit(j + 1))
+    return F.when(F.col(column).isNotNull(), place)
 
 
 def require_distinct(cuts: Iterable[Cut], key: Sequence[str]) -> None:

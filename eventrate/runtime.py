@@ -20,8 +20,8 @@ class Limits:
     ``broadcast_bytes`` most bytes of text, of a broadcast lookup table
     """
 
-    task_rows: int = 250_000
-    sample_rows: int = 50_000
+    task_rows: int = 500_000
+    sample_rows: int = 100_000
     broadcast_rows: int = 500_000
     broadcast_bytes: int = 64 * 1024 * 1024
 
