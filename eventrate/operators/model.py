@@ -244,6 +244,21 @@ def _logit(design: _Design, event: str, terms: Sequence[str], use: Sequence[int]
     )
 
 
+def _constant(design: _Design, event: str, session) -> LogitModel:
+    """Model of the intercept alone, which needs no solver."""
+    ones = design.data.agg(F.sum(EVENTS).alias("n")).first()["n"]
+    share = ones / design.rows
+    deviance = -2.0 * sum(n * math.log(n / design.rows) for n in (ones, design.rows - ones) if n)
+    odds = math.log(share / (1.0 - share)) if 0.0 < share < 1.0 else math.copysign(math.inf, share - 0.5)
+    spread = design.rows * share * (1.0 - share)
+    return LogitModel(
+        event=event, terms=(), encoder=design.encoder, slicer=None, fitted=None, names=(), aliased=(),
+        estimates=(odds,), errors=(1.0 / math.sqrt(spread) if spread else math.inf,),
+        null_deviance=deviance, deviance=deviance, null_df=design.rows - 1, residual_df=design.rows - 1,
+        aic=deviance + 2.0, session=session,
+    )
+
+
 def coef_table(model: LogitModel) -> DataFrame:
     """Estimate, standard error, z and p per coefficient; dependent features without numbers."""
     rows = []
@@ -336,6 +351,8 @@ def _profile_end(design: _Design, use: Sequence[int], k: int, model: LogitModel,
 
 def score(model: LogitModel, df: DataFrame, name: str = "probability") -> DataFrame:
     """Add the event probability of each row; a row with a NULL feature gets NULL."""
+    if model.fitted is None:
+        return df.withColumn(name, F.lit(1.0 / (1.0 + math.exp(-model.estimates[0]))))
     known = reduce(lambda a, b: a & b, [F.col(t).isNotNull() for t in model.terms])
     encoded = model.slicer.transform(model.encoder.transform(_encodable(df.where(known), model.terms)))
     scored = model.fitted.setPredictionCol(name).transform(encoded).select(*df.columns, name)
@@ -360,7 +377,7 @@ def stepwise(
 ) -> Selection:
     """Drop or add whole terms while the AIC falls.
 
-    ``backward`` starts with all terms, ``forward`` with the term that helps most.  All fits
+    ``backward`` starts with all terms, ``forward`` with the intercept alone.  All fits
     share one cached design; ``steps`` lists the path with the number of fits so far, and the
     search stops with an error once ``max_fits`` is reached.
     """
@@ -368,37 +385,31 @@ def stepwise(
     design = _design(df, event, terms)
     fits = 0
 
-    def attempt(chosen: Sequence[str]) -> LogitModel | None:
+    def attempt(chosen: Sequence[str]) -> LogitModel:
         nonlocal fits
         use = [i for i in design.usable if design.term_of[i] in chosen]
         if not use:
-            return None
+            return _constant(design, event, df.sparkSession)
         fits += 1
         if fits > max_fits:
             raise RuntimeError(f"stepwise search needs more than max_fits={max_fits} fits")
         return _logit(design, event, chosen, use, df.sparkSession)
 
-    path = []
+    backward = direction == "backward"
     try:
-        if direction == "backward":
-            chosen, best = list(terms), attempt(terms)
-        else:
-            chosen, best = [], None
-        while True:
-            if direction == "backward":
-                moves = [("-", t, [c for c in chosen if c != t]) for t in chosen]
-            else:
-                moves = [("+", t, [*chosen, t]) for t in terms if t not in chosen]
-            if best is not None and not path:
-                path.append((0, "", None, best.aic, fits))
-            tried = [(m.aic, sign, t, kept, m) for sign, t, kept in moves if (m := attempt(kept)) is not None]
-            if not tried:
-                break
-            aic, sign, t, kept, m = min(tried, key=lambda x: x[0])
-            if best is not None and aic >= best.aic:
+        chosen = list(terms) if backward else []
+        best = attempt(chosen)
+        path = [(0, "", None, best.aic, fits)]
+        while moves := [t for t in terms if (t in chosen) == backward]:
+            tried = []
+            for t in moves:
+                kept = [c for c in chosen if c != t] if backward else [*chosen, t]
+                tried.append((attempt(kept), t, kept))
+            model, t, kept = min(tried, key=lambda found: found[0].aic)
+            if model.aic >= best.aic:
                 break
-            chosen, best = kept, m
-            path.append((len(path), sign, t, aic, fits))
+            best, chosen = model, kept
+            path.append((len(path), "-" if backward else "+", t, best.aic, fits))
     finally:
         design.release()
     steps = df.sparkSession.createDataFrame(
@@ -455,7 +466,7 @@ def fit_tree(
         design.release()
     counts = {r["leaf"]: (r["events"], r["total"]) for r in found}
     rows = []
-    for leaf, (rule, predicted) in enumerate(_leaf_rules(tree.toDebugString, design.names)):
+    for leaf, (rule, predicted) in enumerate(_leaf_rules(tree.toDebugString, design)):
         events, total = counts.get(leaf, (0, 0))
         rows.append((leaf, rule, predicted, events, total, events / total if total else None))
     rules = df.sparkSession.createDataFrame(
@@ -464,15 +475,24 @@ def fit_tree(
     return TreeFit(tree, design.encoder, rules)
 
 
-def _leaf_rules(text: str, names: Sequence[str]) -> list[tuple[str, int]]:
-    """Conditions and class of each leaf, left to right, from the printed tree."""
+def _leaf_rules(text: str, design: _Design) -> list[tuple[str, int]]:
+    """Conditions (as SQL) and class of each leaf, left to right, from the printed tree."""
     path: list[tuple[int, str]] = []
     leaves = []
     for line in text.splitlines():
         depth = len(line) - len(line.lstrip())
         path = [(d, c) for d, c in path if d < depth]
         if found := re.match(r"\s*(?:If|Else) \(feature (\d+) (.*)\)", line):
-            path.append((depth, f"{names[int(found.group(1))]} {found.group(2)}"))
+            path.append((depth, _condition(design, int(found.group(1)), found.group(2))))
         elif found := re.match(r"\s*Predict: ([0-9.eE+-]+)", line):
             leaves.append((" and ".join(c for _, c in path) or "all rows", int(float(found.group(1)))))
     return leaves
+
+
+def _condition(design: _Design, feature: int, test: str) -> str:
+    name, term = design.names[feature], design.term_of[feature]
+    if found := re.fullmatch(r"(not )?in \{(0.0|1.0)\}", test):
+        level = name[len(term) + 1:].replace("'", "''")
+        has = (found.group(2) == "1.0") != bool(found.group(1))
+        return f"{term} {'=' if has else '<>'} '{level}'"
+    return f"{name} {test}"

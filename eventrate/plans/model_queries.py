@@ -130,14 +130,56 @@ def logit_all_columns(spark, folder):
     return model.coef_table(model.fit_logit(line_features(spark, folder), "finished", exclude=["p_type"]))
 
 
-@query()
+# Deviance of the model on ``tens`` alone, by Newton steps with two coefficients.
+NEWTON_TENS = """
+lines AS (SELECT x1, sum(e) AS e, sum(n) AS n FROM cells GROUP BY x1),
+walk AS (
+  SELECT 0 AS i, 0::DOUBLE AS b0, 0::DOUBLE AS b1
+  UNION ALL
+  SELECT i + 1, b0 + (c*g0 - a*g1) / (h*c - a*a), b1 + (h*g1 - a*g0) / (h*c - a*a)
+  FROM (SELECT i, b0, b1, sum(e - n*p) AS g0, sum((e - n*p)*x1) AS g1, sum(w) AS h, sum(w*x1) AS a, sum(w*x1*x1) AS c
+        FROM (SELECT *, n*p*(1 - p) AS w FROM (SELECT *, 1 / (1 + exp(-(b0 + b1*x1))) AS p FROM lines, walk WHERE i < 12))
+        GROUP BY i, b0, b1)),
+alone AS (
+  SELECT (SELECT dev + 6 FROM fitted) AS complete,
+         (SELECT -2 * sum(e*ln(p) + (n - e)*ln(1 - p)) + 4 FROM (
+            SELECT *, 1 / (1 + exp(-(b0 + b1*x1))) AS p FROM lines, walk WHERE i = 12)) AS tens,
+         (SELECT -2 * sum(e*ln(e / n) + (n - e)*ln(1 - e / n)) + 4 FROM (
+            SELECT x2, sum(e) AS e, sum(n) AS n FROM cells GROUP BY x2)) AS urgent,
+         (SELECT base + 2 FROM fitted) AS none)"""
+
+
+@query(f"""WITH RECURSIVE {NEWTON}, {NEWTON_TENS}
+SELECT 0::BIGINT AS step, '' AS move, NULL::VARCHAR AS term, {sql_round("complete", 4)} AS aic FROM alone
+UNION ALL SELECT 1, '-', CASE WHEN tens < urgent THEN 'urgent' ELSE 'tens' END, {sql_round('least(tens, urgent)', 4)}
+  FROM alone WHERE least(tens, urgent) < complete
+UNION ALL SELECT 2, '-', CASE WHEN tens < urgent THEN 'tens' ELSE 'urgent' END, {sql_round('none', 4)}
+  FROM alone WHERE least(tens, urgent) < complete AND none < least(tens, urgent)""")
 def stepwise(spark, folder):
-    """Backward selection by AIC; the path of refits has no SQL form."""
-    return model.stepwise(line_features(spark, folder), "finished", ["tens", "l_discount", "l_returnflag", "p_size"]).steps
+    """Backward selection by AIC, down to the intercept if need be."""
+    path = model.stepwise(line_features(spark, folder), "finished", ["tens", "urgent"]).steps
+    return rounded(path.drop("fits"), 4, "aic")
 
 
 @query()
+def stepwise_factors(spark, folder):
+    """Backward selection with a whole category as one term; its refits have no SQL form."""
+    return model.stepwise(line_features(spark, folder), "finished", ["tens", "l_discount", "l_returnflag", "p_size"]).steps
+
+
+@query("""WITH rows AS (SELECT l_quantity, l_returnflag, CASE WHEN l_quantity > 25 OR l_returnflag = 'R' THEN 1 ELSE 0 END AS e FROM lineitem),
+leaves AS (SELECT CASE WHEN l_quantity > 25.5 THEN 2 WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS leaf, e FROM rows)
+SELECT leaf::BIGINT AS leaf, ['l_quantity <= 25.5 and l_returnflag <> ''R''', 'l_quantity <= 25.5 and l_returnflag = ''R''', 'l_quantity > 25.5'][leaf + 1] AS rule,
+  CASE WHEN leaf = 0 THEN 0 ELSE 1 END::INTEGER AS predicted, sum(e)::BIGINT AS events, count(*)::BIGINT AS total,
+  sum(e)::DOUBLE / count(*)::DOUBLE AS rate FROM leaves GROUP BY leaf""")
 def tree_rules(spark, folder):
-    return model.fit_tree(
-        line_features(spark, folder), "finished", ["tens", "l_returnflag", "p_type", "o_orderpriority"], max_depth=3
-    ).rules
+    """A tree must recover the two conditions from which its event was made."""
+    lines = table(spark, folder, "lineitem").select("l_quantity", "l_returnflag", "l_linestatus")
+    made = lines.withColumn("e", flag((F.col("l_quantity") > 25) | (F.col("l_returnflag") == "R")))
+    return model.fit_tree(made, "e", ["l_quantity", "l_returnflag", "l_linestatus"], max_depth=3).rules
+
+
+@query()
+def tree_all_columns(spark, folder):
+    """A tree on all columns but one; its leaves have no SQL form."""
+    return model.fit_tree(line_features(spark, folder), "finished", exclude=["p_type"]).rules

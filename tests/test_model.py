@@ -107,6 +107,14 @@ def test_stepwise_drops_noise_and_keeps_whole_factor(data, direction):
     assert aics == sorted(aics, reverse=True)
 
 
+def test_stepwise_may_end_at_the_intercept(spark):
+    df = spark.range(400).select((F.col("id") % 2).alias("e"), F.sin(F.col("id") * 3.7).alias("a"))
+    done = model.stepwise(df, "e", ["a"])
+    assert done.model.terms == () and done.steps.count() == 2
+    assert model.coef_table(done.model).first()["estimate"] == pytest.approx(0.0)
+    assert model.score(done.model, df).first()["probability"] == pytest.approx(0.5)
+
+
 def test_null_feature_scores_null(data, spark):
     df, _, _ = data
     fit = model.fit_logit(df, formula="e ~ x1 + g")
@@ -148,5 +156,6 @@ def test_tree_rules(spark):
     fit = model.fit_tree(df, "e", max_depth=1)
     rules = fit.rules.orderBy("leaf").collect()
     assert sorted((r["events"], r["total"]) for r in rules) == [(0, 150), (50, 50)]
-    assert all("g_y" in r["rule"] for r in rules)
+    assert {r["rule"] for r in rules} == {"g <> 'y'", "g = 'y'"}
+    assert df.where(rules[0]["rule"]).count() == rules[0]["total"]
     assert {r["predicted"] for r in rules} == {0, 1}
