@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from eventrate.runtime import LIMITS, Limits, materialise
 
-SERIES, GAP, CELL, PART = "_series", "_gap", "_cell", "_part"
+SERIES, GAP, CELL, PART, TIE = "_series", "_gap", "_cell", "_part", "_tie"
+COLUMNS_PER_SCAN = 16  # keeps the generated conditions of one scan small
+MAX_PARTS = 10_000  # range partitions of a running sum; beyond it the parts grow
 
 
 class Cut(NamedTuple):
@@ -131,6 +133,9 @@ def rows_at_ranks(
             _rank_within(long, order, small, found)
         gaps = _narrow(long, order, large, found, attempt, limits) if large else []
         attempt += 1
+    lost = {s: [r for r in ranks if r not in found[s]] for s, ranks in ranks_of.items() if sizes.get(s, 0)}
+    if any(lost.values()):
+        raise RuntimeError(f"the table gave different rows in different scans; ranks not found: {lost}")
     return found
 
 
@@ -288,7 +293,7 @@ def order_statistics(
     """Values (and ``key``) at exact ranks of several columns, NULLs left out.
 
     ``ranks_of(column, rows)`` names the ranks.  Columns of like type are unpivoted so
-    that all of them are served by the same scans.
+    that a batch of them is served by the same scans.
     """
     columns = list(columns)
     sizes = dict(sizes) if sizes is not None else column_sizes(df, columns)
@@ -298,7 +303,11 @@ def order_statistics(
         families.setdefault(_family(types[c]), []).append(c)
     cuts: dict[str, dict[int, Cut]] = {}
     names = [f"_key{i}" for i in range(len(key))]
-    for family, members in families.items():
+    batches = [
+        (family, members[i:i + COLUMNS_PER_SCAN])
+        for family, members in families.items() for i in range(0, len(members), COLUMNS_PER_SCAN)
+    ]
+    for family, members in batches:
         keys = [F.col(k).alias(n) for k, n in zip(key, names)]
         if len(members) == 1:
             long = df.select(F.lit(members[0]).alias(SERIES), F.col(members[0]).cast(family).alias("_value"), *keys)
@@ -376,19 +385,25 @@ def ntile(
 ) -> DataFrame:
     """Add the tile (1..``tiles``) of each row by ``column``, ties split in ``key`` order.
 
-    ``key`` must make rows distinct; ``None`` splits ties by row position.
+    ``key`` must make rows distinct.  ``None`` splits ties by a hash of the whole row; only if
+    copies of one row straddle a border is the table stored with row positions.
     """
-    position = None
     if key is None:
-        position = "_position"
-        df = with_row_position(df, position)
-        key = [position]
+        hashed = df.withColumn(TIE, F.xxhash64(*df.columns))
+        edges = _edges(hashed, column, tiles, [TIE], limits)
+        if any(cut.shared for cut in edges):
+            numbered = with_row_position(df, TIE)
+            return ntile(numbered, column, tiles, TIE, name, limits).drop(TIE)
+        return hashed.withColumn(name, tile_label(column, [TIE], edges)).drop(TIE)
     key = [key] if isinstance(key, str) else list(key)
-    cuts, sizes = order_statistics(df, [column], lambda _, n: tile_edges(n, tiles), key, limits=limits)
-    edges = [cuts[column][r] for r in tile_edges(sizes[column], tiles)]
+    edges = _edges(df, column, tiles, key, limits)
     require_distinct(edges, key)
-    out = df.withColumn(name, tile_label(column, key, edges))
-    return out.drop(position) if position else out
+    return df.withColumn(name, tile_label(column, key, edges))
+
+
+def _edges(df: DataFrame, column: str, tiles: int, key: Sequence[str], limits: Limits) -> list[Cut]:
+    cuts, sizes = order_statistics(df, [column], lambda _, n: tile_edges(n, tiles), key, limits=limits)
+    return [cuts[column][r] for r in tile_edges(sizes[column], tiles)]
 
 
 # --- running sums and ranks of every row -----------------------------------------------
@@ -403,7 +418,7 @@ def running_sums(
     totals of the parts give each part its starting value.  ``order`` must be a total order
     and ``df`` should be a stored table, since it is counted first.
     """
-    parts = math.ceil(df.count() / limits.task_rows)
+    parts = min(math.ceil(df.count() / limits.task_rows), MAX_PARTS)
     keys = [F.col(c) for c in order]
     if parts <= 1:
         ranged, start = df.withColumn(PART, F.lit(0)), {}
@@ -415,7 +430,7 @@ def running_sums(
         offsets = totals.select(
             PART, *[F.coalesce(F.sum(f"_total_{new}").over(earlier), F.lit(0)).alias(f"_start_{new}") for new in sums]
         )
-        # One row per part: rows / task_rows of them, so this stays small.
+        # One row per part, MAX_PARTS at most.
         ranged = ranged.join(F.broadcast(offsets), PART)
         start = {new: F.col(f"_start_{new}") for new in sums}
     w = Window.partitionBy(PART).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)

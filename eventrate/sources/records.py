@@ -61,13 +61,15 @@ def read_records(
     null_tokens: Sequence[str] = NULL_TOKENS,
     types: Mapping[str, str] | None = None,
     infer: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read delimited text with a header, turn null tokens into NULL and apply types.
 
     ``types`` declares the type of columns (others stay text); ``infer`` finds types with one
-    extra scan.  Values that do not fit a declared type become NULL.
+    extra scan.  Values that do not fit a declared type become NULL.  ``multi_line`` allows line
+    breaks inside quoted texts, at the price of reading each file in a single task.
     """
-    reader = spark.read.options(quote='"', escape='"')
+    reader = spark.read.options(quote='"', escape='"', multiLine=multi_line)
     headers = reader.csv(path, header=False).first() or []
     fields = [T.StructField(n, T.StringType()) for n in identifiers(headers)]
     raw = reader.schema(T.StructType(fields)).csv(path, header=True)

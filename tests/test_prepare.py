@@ -45,6 +45,12 @@ def test_read_records_declared_types_and_odd_names(spark, raw):
     assert records.clean_names(odd).columns == ["a_b", "A_b_1", "X"]
 
 
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('a,b\n1,"x\ny"\n2,z\n')
+    got = records.read_records(spark, str(tmp_path / "m.csv"), infer=True, multi_line=True).collect()
+    assert [tuple(r) for r in got] == [(1, "x\ny"), (2, "z")]
+
+
 def test_reports_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("b", 2, None), ("a", 1, 'q "x", y')], "k string, n int, t string")
     reports.write_report(df, str(tmp_path / "r"), index_by=["k"])

@@ -49,6 +49,25 @@ def test_ntile_without_key_splits_copies(spark):
         rank.ntile(df.withColumn("k", F.lit(1)), "v", 3, "k")
 
 
+def test_ntile_without_key_uses_the_whole_row(rows):
+    got = rank.ntile(rows, "v", 10, None, "t", TINY)
+    sizes = [r["count"] for r in got.where("t is not null").groupBy("t").count().collect()]
+    assert len(sizes) == 10 and max(sizes) - min(sizes) <= 1 and got.columns == [*rows.columns, "t"]
+    assert got.groupBy("t").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo > hi").count() == 0
+
+
+def test_many_columns_in_batches(spark):
+    df = spark.range(300).select(*[(F.col("id") * (i + 1)).alias(f"c{i}") for i in range(20)])
+    got = rank.quantile_values(df, df.columns, [0.5], limits=TINY)
+    assert got == {f"c{i}": [149.5 * (i + 1)] for i in range(20)}
+
+
+def test_changing_table_is_reported(spark):
+    df = spark.range(10).withColumn(rank.SERIES, F.lit("s"))
+    with pytest.raises(RuntimeError):
+        rank.rows_at_ranks(df, ["id"], {"s": [12]}, {"s": 12})
+
+
 def test_fixture_tiles(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 11)] + [(None,)], "v double")
     got = rank.ntile(df, "v", 3, ["v"]).groupBy("tile").count().collect()
