@@ -73,12 +73,13 @@ def _borders(
 
 def bin_event_table(
     df: DataFrame, event: str, columns: Sequence[str], bins: int = 10, adaptive: bool = True,
-    key: Sequence[str] | str | None = None, limits: Limits = LIMITS,
+    key: Sequence[str] | str | None = None, digits: int | None = 2, limits: Limits = LIMITS,
 ) -> DataFrame:
     """Events, rows, rate and range of each quantile bin of each column, plus a NULL bin.
 
     ``adaptive`` lowers the number of bins while the first one holds only zeros.  ``key`` makes
-    rows distinct and splits ties; ``None`` splits them by row position.
+    rows distinct and splits ties; ``None`` splits them by row position.  ``digits=None`` leaves
+    rate, range and mean unrounded.
     """
     columns = list(columns)
     if key is None:
@@ -96,10 +97,13 @@ def bin_event_table(
     found = long.groupBy("var_name", "bin").agg(
         F.sum("_event").cast("bigint").alias("_events"),
         F.count(F.lit(1)).alias("total"),
-        round_k(F.max("_value"), 2).alias("max"),
-        round_k(F.min("_value"), 2).alias("min"),
-        round_k(F.avg("_value"), 2).alias("mean"),
+        *[
+            (value if digits is None else round_k(value, digits)).alias(name)
+            for name, value in (("max", F.max("_value")), ("min", F.min("_value")), ("mean", F.avg("_value")))
+        ],
     )
+    exact = F.col("_events") / F.col("total")
+    rate = exact if digits is None else units_to_rate(rate_units("_events", "total", digits), digits)
     frame = [
         (c, i, b, types[c], picked[c] + 1)
         for i, c in enumerate(columns, 1) for b in (*range(1, picked[c] + 1), None)
@@ -111,7 +115,7 @@ def bin_event_table(
     joined = F.broadcast(wanted).alias("w").join(found.alias("f"), same, "left")
     return joined.select(
         "w.bin", F.coalesce("_events", F.lit(0).cast("bigint")).alias("events"), "w.var_name", "total",
-        units_to_rate(rate_units("_events", "total", 2), 2).alias("rate"),
+        rate.alias("rate"),
         "col_num", "data_type", "max", "min", "mean", "levels",
     ).select(BIN_COLUMNS)
 

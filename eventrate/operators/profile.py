@@ -192,8 +192,12 @@ def summarise(df: DataFrame, top: int = 6, limits: Limits = LIMITS) -> DataFrame
 
 
 def freq(df: DataFrame, column: str) -> DataFrame:
-    """Rows per level, NULL left out."""
-    return df.dropna(subset=[column]).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
+    """Rows per level, NULL left out.
+
+    NULL is left out after counting: a filter on the level would move down to the rows and
+    evaluate the expression behind the level a second time.
+    """
+    return df.groupBy(column).agg(F.count(F.col(column)).alias("rows")).where(F.col("rows") > 0)
 
 
 def class_share(df: DataFrame, event: str) -> DataFrame:
@@ -209,7 +213,8 @@ def distinct_levels(df: DataFrame, column: str) -> DataFrame:
 
 def crosstab(df: DataFrame, rows: str, columns: str, levels: Sequence | None = None) -> DataFrame:
     """Two-way table of counts without NULLs; ``levels`` fixes the columns and saves a job."""
-    counts = df.dropna(subset=[rows, columns]).groupBy(rows, columns).agg(F.count(F.lit(1)).alias("_n"))
+    known = F.col(rows).isNotNull() & F.col(columns).isNotNull()
+    counts = df.groupBy(rows, columns).agg(F.count_if(known).alias("_n")).where(F.col("_n") > 0)
     wide = counts.groupBy(rows).pivot(columns, None if levels is None else list(levels)).agg(F.sum("_n"))
     return wide.na.fill(0)
 

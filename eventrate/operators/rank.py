@@ -58,16 +58,27 @@ class _Gap:
 
 
 def _same(columns: Sequence[Column], values: Sequence) -> Column:
-    return reduce(lambda a, b: a & b, [c.eqNullSafe(F.lit(v)) for c, v in zip(columns, values)])
+    """Whether a row equals the literal row; its first column is never NULL."""
+    rest = [c.eqNullSafe(F.lit(v)) for c, v in zip(columns[1:], values[1:])]
+    return reduce(lambda a, b: a & b, rest, columns[0] == F.lit(values[0]))
 
 
 def _before(columns: Sequence[Column], values: Sequence, or_same: bool = False) -> Column:
-    """Whether a row sorts before the literal row (NULLs first, as in ``orderBy``)."""
-    head, value = columns[0], values[0]
-    less = F.lit(False) if value is None else F.coalesce(head < F.lit(value), F.lit(True))
+    """Whether a row sorts before the literal row; its first column is never NULL."""
+    first, value = columns[0], F.lit(values[0])
     if len(columns) == 1:
-        return less | head.eqNullSafe(F.lit(value)) if or_same else less
-    return less | (head.eqNullSafe(F.lit(value)) & _before(columns[1:], values[1:], or_same))
+        return first <= value if or_same else first < value
+    return (first < value) | ((first == value) & _before_nullable(columns[1:], values[1:], or_same))
+
+
+def _before_nullable(columns: Sequence[Column], values: Sequence, or_same: bool) -> Column:
+    """The same for columns that may be NULL, which sorts first."""
+    first, value = columns[0], values[0]
+    less = F.lit(False) if value is None else F.coalesce(first < F.lit(value), F.lit(True))
+    same = first.eqNullSafe(F.lit(value))
+    if len(columns) == 1:
+        return less | same if or_same else less
+    return less | (same & _before_nullable(columns[1:], values[1:], or_same))
 
 
 def _locate(

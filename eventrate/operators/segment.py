@@ -25,9 +25,9 @@ def tier(
 
 def tier_bounds(df: DataFrame, tier_column: str, column: str) -> DataFrame:
     """Largest and smallest score of each tier."""
-    return df.dropna(subset=[tier_column]).groupBy(tier_column).agg(
-        F.max(column).alias("max"), F.min(column).alias("min"), F.count(F.lit(1)).alias("rows")
-    )
+    return df.groupBy(tier_column).agg(
+        F.max(column).alias("max"), F.min(column).alias("min"), F.count(tier_column).alias("rows")
+    ).where(F.col("rows") > 0)
 
 
 def tier_crosstab(df: DataFrame, rows: str, columns: str, levels: Sequence | None = None) -> DataFrame:

@@ -57,17 +57,17 @@ def finished_orders(spark, folder):
     )
 
 
-def bins_cte(source, columns, key, tiles):
+def bins_cte(source, columns, key, tiles, digits=2):
     """Bin table in SQL; ``columns`` maps each column to its type, ``tiles`` to its bins."""
     parts = []
     for i, (c, t) in enumerate(columns.items(), 1):
         j = tiles[c] if isinstance(tiles, dict) else tiles
         parts.append(f"""
-SELECT b.bin::BIGINT AS bin, coalesce(f.events, 0)::BIGINT AS events, '{c}' AS var_name, f.total, {sql_rate('f.events', 'f.total', 2)} AS rate,
+SELECT b.bin::BIGINT AS bin, coalesce(f.events, 0)::BIGINT AS events, '{c}' AS var_name, f.total, {sql_rate('f.events', 'f.total', digits)} AS rate,
        {i}::BIGINT AS col_num, '{t}' AS data_type, f.max, f.min, f.mean, {j + 1}::BIGINT AS levels
 FROM (SELECT unnest(list_concat(range(1, {j + 1}), [NULL])) AS bin) b LEFT JOIN (
-  SELECT bin, sum(e)::BIGINT AS events, count(*)::BIGINT AS total, {sql_round(f'max({c})', 2)} AS max,
-         {sql_round(f'min({c})', 2)} AS min, {sql_round(f'avg({c})', 2)} AS mean
+  SELECT bin, sum(e)::BIGINT AS events, count(*)::BIGINT AS total, {sql_round(f'max({c})', digits)} AS max,
+         {sql_round(f'min({c})', digits)} AS min, {sql_round(f'avg({c})', digits)} AS mean
   FROM (SELECT {c}, e, CASE WHEN {c} IS NOT NULL
           THEN ntile({j}) OVER (PARTITION BY {c} IS NULL ORDER BY {c}, {key}) END AS bin FROM {source})
   GROUP BY bin) f ON f.bin IS NOT DISTINCT FROM b.bin""")
@@ -88,11 +88,13 @@ def rate_series(spark, folder):
     return bins.rate_series(bin_event_table(spark, folder), "o_totalprice")
 
 
-@query(f"WITH {ORDER_ROWS} {bins_cte('rows', {'o_totalprice': 'double'}, 'o_orderkey', 2)}")
+@query(f"WITH {ORDER_ROWS} {bins_cte('rows', {'o_totalprice': 'double'}, 'o_orderkey', 2, 5)}")
 def half_split(spark, folder):
-    return bins.bin_event_table(
-        finished_orders(spark, folder), "e", ["o_totalprice"], bins=2, adaptive=False, key="o_orderkey"
+    """Two halves with unrounded rate and range; rounding follows only for the comparison."""
+    halves = bins.bin_event_table(
+        finished_orders(spark, folder), "e", ["o_totalprice"], bins=2, adaptive=False, key="o_orderkey", digits=None
     )
+    return rounded(halves, 5, "rate", "max", "min", "mean")
 
 
 def gappy_events(spark, folder):
