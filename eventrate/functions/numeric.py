@@ -18,7 +18,9 @@ def col(c: Column | str) -> Column:
 def round_k(value: Column | str, digits: int = 2) -> Column:
     """Round a double half away from zero to ``digits`` places."""
     value, scale = col(value), F.lit(float(10**digits))
-    return F.signum(value) * F.floor(F.abs(value) * scale + F.lit(0.5)) / scale
+    whole = F.signum(value) * F.floor(F.abs(value) * scale + F.lit(0.5)) / scale
+    # Beyond this size a double has no such places left, and the scaled value no integer.
+    return F.when(F.abs(value) < F.lit(2.0**52 / 10**digits), whole).otherwise(value.cast("double"))
 
 
 def rate_units(events: Column | str, total: Column | str, digits: int = 3) -> Column:

@@ -283,7 +283,9 @@ def _salted_lookup(df: DataFrame, lookup: DataFrame, column: str) -> DataFrame:
     is_hot = reduce(lambda a, b: a | b, [F.col("_level").eqNullSafe(F.lit(v)) for v in hot], F.lit(False))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     hot_row = reduce(lambda a, b: a | b, [F.col(column).eqNullSafe(F.lit(v)) for v in hot], F.lit(False))
-    salt = F.when(hot_row, F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    # The task number tells copies of one row apart; any salt finds the code, as hot levels have all.
+    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *df.columns), F.lit(SALTS))
+    salt = F.when(hot_row, spread).otherwise(F.lit(0)).cast("int")
     return df.withColumn("_row_salt", salt).join(
         lookup.withColumn("_salt", F.explode(copies)),
         F.col(column).eqNullSafe(F.col("_level")) & (F.col("_row_salt") == F.col("_salt")),

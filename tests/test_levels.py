@@ -109,6 +109,17 @@ def test_decode_matches_null_and_keeps_unmapped(spark, limits):
     assert [r["g"] for r in got] == ["1", "1", "b", "0"]
 
 
+def test_shuffled_decode_of_copies_and_hot_levels(spark):
+    """A third of the rows are copies of one row; the lookup is too large to broadcast."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("l"), F.col("id") % 50)).alias("g"))
+    names = [r["g"] for r in df.distinct().collect()]
+    decode = spark.createDataFrame([("g", 1, n, n[:2]) for n in names],
+                                   "var_name string, col_num bigint, level string, imputed_lvl string")
+    a = levels.apply_decode(df, decode, limits=Limits(broadcast_rows=0)).groupBy("g").count()
+    b = levels.apply_decode(df, decode).groupBy("g").count()
+    assert a.exceptAll(b).count() == 0 and a.agg(F.sum("count")).first()[0] == 3000
+
+
 def test_reduce_levels_end_to_end(spark):
     df = records(spark, FIXTURE).withColumn("near", F.when(F.col("g") == "a", "x").otherwise("y"))
     df = df.withColumn("same", F.lit("only"))

@@ -187,8 +187,8 @@ def test_correlation(spark):
 
 
 def test_rounding(spark):
-    df = spark.createDataFrame([(0.125,), (-0.125,), (2.0 / 3,), (0.0,), (None,)], "v double")
-    assert [r[0] for r in df.select(round_k("v", 2)).collect()] == [0.13, -0.13, 0.67, 0.0, None]
+    df = spark.createDataFrame([(0.125,), (-0.125,), (2.0 / 3,), (0.0,), (None,), (-1e300,)], "v double")
+    assert [r[0] for r in df.select(round_k("v", 2)).collect()] == [0.13, -0.13, 0.67, 0.0, None, -1e300]
     df = spark.createDataFrame([(1, 2000), (1, 3), (0, 5), (3, 0), (4503599627, 9007199254)], "n bigint, d bigint")
     assert [r[0] for r in df.select(rate_units("n", "d")).collect()] == [1, 333, 0, None, 500]
 
