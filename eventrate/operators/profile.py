@@ -97,7 +97,7 @@ def quality_report(df: DataFrame, approximate: bool = False, limits: Limits = LI
         spread = {c: seen[f"_quantiles_{df.columns.index(c)}"] for c in numeric}
     else:
         distinct = distinct_counts(df)
-        spread = rank.quantile_values(df, numeric, list(QUANTILES.values()), sizes, limits)
+        spread = rank.quantile_values(df, numeric, list(QUANTILES.values()), sizes, limits, distinct)
     rows, records = [], seen["_records"]
     for i, (c, type_name) in enumerate(df.dtypes):
         missing = records - sizes[c]
@@ -131,9 +131,10 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, limits:
         F.count(F.lit(1)).alias("_records"),
         *[F.avg(F.col(c).cast("double")).alias(f"_mean_{i}") for i, c in enumerate(columns)],
         *[F.count(F.col(c)).alias(f"_available_{i}") for i, c in enumerate(columns)],
+        *[F.approx_count_distinct(c, 0.03).alias(f"_distinct_{i}") for i, c in enumerate(columns)],
     ).first()
-    sizes = {c: seen[f"_available_{i}"] for i, c in enumerate(columns)}
-    five = rank.quantile_values(df, columns, [0.0, 0.25, 0.5, 0.75, 1.0], sizes, limits)
+    sizes, distinct = ({c: seen[f"_{n}_{i}"] for i, c in enumerate(columns)} for n in ("available", "distinct"))
+    five = rank.quantile_values(df, columns, [0.0, 0.25, 0.5, 0.75, 1.0], sizes, limits, distinct)
     rows = [(c, *five[c], seen[f"_mean_{i}"], seen["_records"] - sizes[c]) for i, c in enumerate(columns)]
     return df.sparkSession.createDataFrame(
         rows, "var_name string, min double, q1 double, median double, q3 double, max double, mean double, missing bigint"

@@ -121,11 +121,14 @@ def rows_at_ranks(
     ranks_of: Mapping[Any, Iterable[int]],
     sizes: Mapping[Any, int],
     limits: Limits = LIMITS,
+    distinct: Mapping[Any, int] | None = None,
 ) -> dict[Any, dict[int, Cut]]:
     """Ordering values at the given 1-based ranks of each series.
 
     ``long`` holds the series label in ``_series`` and the ``order`` columns, the first
-    of them never NULL.  ``sizes`` gives the rows of each series.
+    of them never NULL.  ``sizes`` gives the rows of each series.  ``distinct`` may tell, for a
+    single ordering column, about how many values a series has: few values are counted at
+    once, however many rows hold them.
     """
     found: dict[Any, dict[int, Cut]] = {s: {} for s in ranks_of}
     gaps = [
@@ -137,9 +140,10 @@ def rows_at_ranks(
         if gap.ranks[0] < 1 or gap.ranks[-1] > gap.rows:
             raise ValueError(f"rank outside 1..{gap.rows} for {gap.series!r}")
     attempt = 0
+    few = {s for s, n in (distinct or {}).items() if len(order) == 1 and 1.25 * n <= limits.task_rows}
     while gaps:
-        small = [g for g in gaps if g.rows <= limits.task_rows]
-        large = [g for g in gaps if g.rows > limits.task_rows]
+        small = [g for g in gaps if g.rows <= limits.task_rows or g.series in few]
+        large = [g for g in gaps if g not in small]
         if small:
             _rank_within(long, order, small, found)
         gaps = _narrow(long, order, large, found, attempt, limits) if large else []
@@ -278,12 +282,17 @@ def _splitters(gap: _Gap, sample: list[tuple]) -> list[tuple]:
 # --- several columns of one table ------------------------------------------------------
 
 
-def column_sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Non-NULL rows of each column."""
+def column_sizes(df: DataFrame, columns: Sequence[str], values: bool = False) -> tuple[dict[str, int], dict[str, int]]:
+    """Non-NULL rows of each column and, if asked for, about how many distinct values."""
     if not columns:
-        return {}
-    row = df.agg(*[F.count(F.col(c)).alias(c) for c in columns]).first()
-    return {c: row[c] for c in columns}
+        return {}, {}
+    counts = [F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(columns)]
+    sketches = [F.approx_count_distinct(c, 0.03).alias(f"d{i}") for i, c in enumerate(columns)] if values else []
+    row = df.agg(*counts, *sketches).first()
+    return (
+        {c: row[f"n{i}"] for i, c in enumerate(columns)},
+        {c: row[f"d{i}"] for i, c in enumerate(columns)} if values else {},
+    )
 
 
 def _family(type_name: str) -> str:
@@ -300,6 +309,7 @@ def order_statistics(
     key: Sequence[str] = (),
     sizes: Mapping[str, int] | None = None,
     limits: Limits = LIMITS,
+    distinct: Mapping[str, int] | None = None,
 ) -> tuple[dict[str, dict[int, Cut]], dict[str, int]]:
     """Values (and ``key``) at exact ranks of several columns, NULLs left out.
 
@@ -307,7 +317,9 @@ def order_statistics(
     that a batch of them is served by the same scans.
     """
     columns = list(columns)
-    sizes = dict(sizes) if sizes is not None else column_sizes(df, columns)
+    if sizes is None:
+        sizes, distinct = column_sizes(df, columns, values=not key)
+    sizes = dict(sizes)
     families: dict[str, list[str]] = {}
     types = dict(df.dtypes)
     for c in columns:
@@ -327,13 +339,13 @@ def order_statistics(
             long = wide.unpivot(names, members, SERIES, "_value")
         long = long.where(F.col("_value").isNotNull())
         wanted = {c: list(ranks_of(c, sizes[c])) if sizes[c] else [] for c in members}
-        cuts.update(rows_at_ranks(long, ["_value", *names], wanted, sizes, limits))
+        cuts.update(rows_at_ranks(long, ["_value", *names], wanted, sizes, limits, distinct))
     return {c: cuts[c] for c in columns}, sizes
 
 
 def quantile_values(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-    sizes: Mapping[str, int] | None = None, limits: Limits = LIMITS,
+    sizes: Mapping[str, int] | None = None, limits: Limits = LIMITS, distinct: Mapping[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation between neighbouring ranks."""
 
@@ -343,7 +355,8 @@ def quantile_values(
         return low + 1, min(low + 2, n), max(at - low, 0.0)
 
     cuts, sizes = order_statistics(
-        df, columns, lambda _, n: {r for p in probs for r in position(p, n)[:2]}, sizes=sizes, limits=limits
+        df, columns, lambda _, n: {r for p in probs for r in position(p, n)[:2]}, sizes=sizes, limits=limits,
+        distinct=distinct,
     )
     out: dict[str, list[float | None]] = {}
     for c in columns:

@@ -107,3 +107,9 @@ def test_lag_difference(spark):
     df = spark.createDataFrame([("a", 1, 0.3), ("a", 2, 0.1), ("b", 1, 0.5)], "g string, o int, v double")
     got = rank.lag_difference(df, "g", "o", "v").orderBy("g", "o").collect()
     assert got[0]["difference"] is None and got[1]["difference"] == pytest.approx(0.2)
+
+
+def test_few_values_are_counted_at_once(spark, monkeypatch):
+    monkeypatch.setattr(rank, "_narrow", lambda *a: pytest.fail("no sampling needed"))
+    df = spark.range(2000).select((F.col("id") % 7).alias("v"))
+    assert rank.quantile_values(df, ["v"], [0.0, 0.5, 1.0], limits=TINY) == {"v": [0.0, 3.0, 6.0]}
