@@ -153,7 +153,7 @@ def null_fill_values(bin_table: DataFrame) -> DataFrame:
 
 
 def impute_null_by_bin(df: DataFrame, bin_table: DataFrame) -> DataFrame:
-    """Replace NULLs of numeric columns by the value of the bin with the nearest event rate."""
+    """Replace NULLs by the value of the bin with the nearest event rate; such columns become double."""
     fills = {r["var_name"]: r["fill"] for r in null_fill_values(bin_table).collect()}
     if not fills:
         return df
