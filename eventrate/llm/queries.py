@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventrate.llm import rendezvous
+from eventrate.llm import rendezvous, superminhash, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,3 +32,19 @@ def op3_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op3_rendezvous"] = rendezvous.sql(SHARDS)
+
+END_ID = 2
+
+
+@query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, written to files of frequency ranks and read back."""
+    return token_files.round_trip(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID
+    )
+
+
+@query
+def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents by 2-word shingles at 80 %."""
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"), superminhash.Settings(words=2))
