@@ -47,49 +47,56 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def group(
-    members: DataFrame, may_link: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """``node`` and ``component`` of every node that is linked with another one.
+    members: DataFrame, attributes: DataFrame, may_link: Callable[[str, str], Column],
+    confirm: Callable[[DataFrame], DataFrame],
+) -> DataFrame | None:
+    """``node`` and ``component`` of every node that is linked with another one; None if there is no link.
 
-    ``members`` has ``key``, ``node`` and the attributes that ``may_link(x, y)`` reads to rule out pairs of
-    sides x and y early; it should be cheap to read twice.  ``confirm`` gets pairs (a, b) with a < b and returns
-    those that are linked.  Two nodes are compared if they share a key and are not already in one group.
+    ``members`` has ``key`` and ``node`` and should be cheap to read twice.  ``attributes`` has one row per
+    ``node``; ``may_link(x, y)`` reads them with the name prefixes of two sides and rules pairs out early.
+    ``confirm`` gets stored pairs (a, b) with a < b, never none, and returns those that are linked.  Two
+    nodes are compared if they share a key, may link and are not yet in one group.
     """
-    rest = [c for c in members.columns if c != "key"]
-    size = F.count(F.lit(1)).alias("_size")
     # Buckets of one node, by far the most, end here; the others are stored once.
-    shared = members.groupBy("key").agg(size, F.min("node").alias("_first"), F.max("node").alias("_last"))
-    shared = shared.where(F.col("_first") != F.col("_last")).select("key")
-    held = materialise(members.join(shared, "key").select("key", *rest), "buckets")
-    edges = None
-    centres = held.groupBy("key").agg(F.min_by(F.struct(*rest), "node").alias("_c"))
+    shared = members.groupBy("key").agg(F.min("node").alias("_first"), F.max("node").alias("_last"))
+    shared = shared.where("_first <> _last").select("key", F.col("_first").alias("_centre"))
+    held = materialise(members.join(shared, "key"), "buckets")
+    plain = [c for c in attributes.columns if c != "node"]
+    # Only sizes and short marks: the attributes of nodes that share a bucket.
+    known = materialise(attributes.join(held.select("node").distinct(), "node", "left_semi"), "attributes")
+    other = known.select(F.col("node").alias("_centre"), *[F.col(c).alias(f"_c_{c}") for c in plain])
+
+    def compare(pairs: DataFrame, edges: DataFrame | None) -> DataFrame | None:
+        near = pairs.join(known, "node").join(other, "_centre").where(may_link("", "_c_"))
+        near = near.select(F.least("node", "_centre").alias("a"), F.greatest("node", "_centre").alias("b"))
+        near = materialise(near, "pairs")
+        found = None if near.isEmpty() else confirm(near)
+        if found is None or edges is None:
+            return edges if found is None else materialise(found, "links")
+        return materialise(found.unionByName(edges), "links")
+
+    edges, groups, tried = None, None, None
     for _ in range(STAR_ROUNDS):
-        tried = held.join(centres, "key").where(F.col("node") != F.col("_c.node"))
-        flat = tried.select("*", *[F.col(f"_c.{c}").alias(f"_c_{c}") for c in rest])
-        pairs = flat.where(may_link("", "_c_")).select(
-            F.least("node", "_c_node").alias("a"), F.greatest("node", "_c_node").alias("b")
+        star = held.where("node <> _centre").select("node", "_centre").distinct()
+        edges = compare(star, edges)
+        if edges is None:
+            labelled = held.withColumn("component", F.col("node"))
+        else:
+            groups = components(edges)
+            labelled = held.drop("component").join(groups, "node", "left")
+            labelled = labelled.withColumn("component", F.coalesce("component", "node"))
+        ends = labelled.groupBy("key").agg(
+            F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_size")
         )
-        found = confirm(pairs.distinct())
-        if edges is not None:
-            found = found.unionByName(edges)
-        edges = materialise(found, "links")
-        groups = components(edges)
-        labelled = held.drop("component").join(groups, "node", "left").withColumn(
-            "component", F.coalesce("component", "node")
-        )
-        several = labelled.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
-        several = several.where(F.col("_a") != F.col("_b")).select("key")
-        held = materialise(labelled.join(several, "key").select("key", *rest, "component"), "buckets")
+        # A bucket of two has been compared; one of a single group needs no more.
+        ends = ends.where("_low <> _high and _size > 2").drop("_high", "_size")
+        labelled = labelled.select("key", "node", "component").join(ends, "key")
+        centres = labelled.where("component <> _low").groupBy("key").agg(F.min("node").alias("_centre"))
+        held = materialise(labelled.join(centres, "key").select("key", "node", "component", "_centre"), "buckets")
         if held.isEmpty():
             return groups
-        # Next centre: the first member outside the group of the bucket's first one.
-        first = held.groupBy("key").agg(F.min("component").alias("_g"))
-        outside = held.join(first, "key").where(F.col("component") != F.col("_g"))
-        centres = outside.groupBy("key").agg(F.min_by(F.struct(*rest), "node").alias("_c"))
     # What is left: members of different groups that share a bucket.
-    other = held.select("key", *[F.col(c).alias(f"_c_{c}") for c in [*rest, "component"]])
-    pairs = held.join(other, "key").where(
-        (F.col("node") < F.col("_c_node")) & (F.col("component") != F.col("_c_component")) & may_link("", "_c_")
-    )
-    last = confirm(pairs.select(F.col("node").alias("a"), F.col("_c_node").alias("b")).distinct())
-    return components(materialise(last.unionByName(edges), "links"))
+    mates = held.select("key", F.col("node").alias("_mate"), F.col("component").alias("_other"))
+    apart = held.join(mates, "key").where("node < _mate and component <> _other")
+    edges = compare(apart.select("node", F.col("_mate").alias("_centre")).distinct(), edges)
+    return components(edges) if edges is not None else None

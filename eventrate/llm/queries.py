@@ -6,8 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from eventrate.llm import rendezvous, superminhash, token_files
+from pyspark.sql import functions as F
+
+from eventrate.llm import (
+    ecoc,
+    fuzzy_lines,
+    mtree,
+    pieces,
+    rendezvous,
+    site_templates,
+    superminhash,
+    templates,
+    token_files,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,6 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 SHARDS = 24
+END_ID = 2
+PIECES = "piece_bpe_32k.model"
+CRAWL_DATE = "2024-01-01T00:00:00Z"
 
 
 @query
@@ -33,8 +48,6 @@ def op3_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op3_rendezvous"] = rendezvous.sql(SHARDS)
 
-END_ID = 2
-
 
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,3 +61,61 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents by 2-word shingles at 80 %."""
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"), superminhash.Settings(words=2))
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and plain-text records of all pages, taken as stored responses."""
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages"), CRAWL_DATE))
+    return made.select(
+        "record_id", "type", "target_uri", "date", F.col("headers")["WARC-Refers-To"].alias("refers_to"),
+        F.col("headers")["WARC-Block-Digest"].alias("block_digest"), F.col("headers")["Content-Type"].alias("content_type"),
+        F.octet_length("block").alias("content_length"), F.col("block").cast("string").alias("block"),
+    )
+
+
+@query
+def op4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, whether they hold a benchmark passage, and which items."""
+    judged = templates.judge_documents(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    )
+    return judged.select("doc_id", "contaminated", "items")
+
+
+@query
+def op5_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents").withColumn(
+        "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    )
+    model = ecoc.learn(docs.where(~F.col("held_out")).select("text", "lang"))
+    return ecoc.identify(docs, model, keep=["doc_id", "held_out"])
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, and whether they decode to the text."""
+    return pieces.encode_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), keep=["doc_id"]
+    )
+
+
+@query
+def op7_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best vectors by inner product for every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return mtree.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+@query
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that repeat another one."""
+    done = fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", "lines_dropped", "lines_left")
+
+
+@query
+def op9_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return site_templates.extract(table(spark, sf_dir, "pages"))

@@ -206,16 +206,21 @@ def near_duplicates(
     sets = materialise(
         told.groupBy("n", "d1", "d2").agg(F.min("doc").alias("node"), F.first("bands").alias("bands")), "sets"
     )
-    members = sets.where("bands is not null").select(F.explode("bands").alias("key"), "node", "n")
+    banded = sets.where("bands is not null")
+    members = banded.select(F.explode("bands").alias("key"), "node")
 
     def may_link(x: str, y: str) -> Column:
         low, high = F.least(f"{x}n", f"{y}n"), F.greatest(f"{x}n", f"{y}n")
         return low * 100 >= high * settings.percent
 
-    groups = group(members, may_link, lambda pairs: confirm(materialise(pairs, "pairs"), docs, settings, key, text))
-    named = sets.select("n", "d1", "d2", "node").join(groups, "node", "left").select(
-        "n", "d1", "d2", F.coalesce("component", "node").alias("component")
+    groups = group(
+        members, banded.select("node", "n"), may_link, lambda pairs: confirm(pairs, docs, settings, key, text)
     )
+    named = sets.select("n", "d1", "d2", "node", F.col("node").alias("component"))
+    if groups is not None:
+        named = named.drop("component").join(groups, "node", "left")
+        named = named.withColumn("component", F.coalesce("component", "node"))
+    named = named.drop("node")
     found = sketched.select("doc", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
     own = F.when((F.col("n") == 0) | F.col("doc").isNull(), F.col("doc")).otherwise(F.col("component"))
     return found.select(

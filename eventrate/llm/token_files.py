@@ -11,15 +11,15 @@ from __future__ import annotations
 
 import math
 import struct
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventrate.llm.files import new_file
 from eventrate.llm.flat import slices, starts_of
 from eventrate.llm.word_ids import encoder
 from eventrate.runtime import materialise, scratch_path
@@ -142,20 +142,19 @@ def count_ids(stored: DataFrame, size: int, kind: str) -> np.ndarray:
 def write_files(
     docs: DataFrame, folder: str, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text",
     file_ids: int = FILE_IDS,
-) -> None:
+) -> bool:
     """Encode all documents, rank the ids by frequency, write files in ascending key order.
 
     ``vocabulary`` is the path of a tokenizer file that splits words at white space; special tokens are not
     added, ``end_id`` ends each document.  The table of ranks has one entry per id of the vocabulary.
     A task writes one file of about ``file_ids`` ids under a name of its own and moves it into place, so a
     repeated task replaces a file by an equal one.  NULL and empty texts have the end id alone; NULL keys
-    come first; rows with one key stand together, ordered by their ids.  An empty table gives no file.
+    come first; rows with one key stand together, ordered by their ids.  An empty table gives no file and False.
     """
-    spark = docs.sparkSession
     stored = materialise(encode_documents(docs, vocabulary, end_id, key, text), "ids")
     total = stored.agg(F.sum("n")).first()[0] or 0
     if not total:
-        return
+        return False
     size = max(encoder(vocabulary).size, end_id + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"
     id_of_rank = np.argsort(-count_ids(stored, size, kind), kind="stable")
@@ -165,11 +164,8 @@ def write_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId()
-        fs, root = file_system(folder)
-        fs.create_dir(root, recursive=True)
-        draft = f"{root}/.{place:06d}-{uuid.uuid4().hex}"
         rows = 0
-        with fs.open_output_stream(draft) as out:
+        with new_file(folder, f"{place:06d}{SUFFIX}") as out:
             out.write(head)
             for batch in batches:
                 doc_ids, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -177,10 +173,6 @@ def write_files(
                     ids = _ids(batch.column(2).slice(a, b - a), kind)
                     out.write(pack_block(doc_ids[a:b], np.array(counts[a:b]), rank_of_id[np.concatenate(ids)]))
                     rows += b - a
-        if rows:
-            fs.move(draft, f"{root}/{place:06d}{SUFFIX}")
-        else:
-            fs.delete_file(draft)
         yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([rows])], ["file", "docs"])
 
     ordered = (
@@ -188,21 +180,13 @@ def write_files(
         .sortWithinPartitions("doc", F.crc32("packed"))
     )
     ordered.select("doc", "n", "packed").mapInArrow(run, "file bigint, docs bigint").agg(F.sum("docs")).first()
-
-
-def file_system(folder: str):
-    """File system and path of a folder named by a URI or a plain path."""
-    from pyarrow import fs
-
-    if "://" in folder or folder.startswith("file:"):
-        return fs.FileSystem.from_uri(folder)
-    return fs.LocalFileSystem(), folder
+    return True
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents of written files: ``doc``, ``file``, ``start`` in all files, ``n_tokens`` and ``ids``.
+    """Documents of written files: ``doc``, ``file``, ``place`` in the file, ``n_tokens`` and ``ids``.
 
-    ``ids`` holds 32-bit little-endian numbers.  Starts follow from the totals of the files, one row each.
+    ``ids`` holds 32-bit little-endian numbers; places count the ids before the document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,23 +214,14 @@ def round_trip(
     """Write all documents and read them back: key, start, n_tokens and a checksum of the ids."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "token-files")
-    write_files(docs, folder, vocabulary, end_id, key, text, file_ids)
     kind = docs.select(key).dtypes[0][1]
-    names = (key, "start", "n_tokens", "ids_crc32")
-    fs, root = file_system(folder)
-    from pyarrow.fs import FileType
-
-    if fs.get_file_info(root).type == FileType.NotFound:
+    if not write_files(docs, folder, vocabulary, end_id, key, text, file_ids):
         return spark.createDataFrame([], f"{key} {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
-    read = materialise(
-        read_files(spark, folder).select("doc", "file", "place", "n_tokens", F.crc32("ids").alias("ids_crc32")), "read"
-    )
-    from pyspark.sql import Window
-
+    read = read_files(spark, folder).select("doc", "file", "place", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    read = materialise(read, "read")
     totals = read.groupBy("file").agg(F.sum("n_tokens").alias("_ids"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     starts = totals.select("file", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_start"))
-    joined = read.join(starts, "file")
-    return joined.select(
-        F.col("doc").cast(kind).alias(names[0]), (F.col("_start") + F.col("place")).alias(names[1]), *names[2:]
+    return read.join(starts, "file").select(
+        F.col("doc").cast(kind).alias(key), (F.col("_start") + F.col("place")).alias("start"), "n_tokens", "ids_crc32"
     )

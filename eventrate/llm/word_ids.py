@@ -7,19 +7,19 @@ words in a row.  Words seen before come from a bounded cache; new ones are encod
 from __future__ import annotations
 
 import os
-from array import array
+import re
 from collections.abc import Sequence
+from itertools import chain
 
 import numpy as np
 import regex
 
 from eventrate.llm.flat import gather, starts_of
 
-CACHED_WORDS = 400_000
-#: Letters, digits and signs up to this one keep their form in the tokenizer's normaliser, but for case.
-PLAIN_UPTO = "\xff"
-UNICODE_BLANKS = ("\x85", "\xa0")
-SPECIAL = "<|"
+CACHED_WORDS = 250_000
+#: Bytes of a word that the pattern alone cannot place: characters beyond U+00FF, whose form the normaliser may
+#: change, the blanks U+0085 and U+00A0, and what may be a special token.
+ODD = re.compile(rb"[\xc4-\xff]|\xc2[\x85\xa0]|<\|")
 WORD_END = "</w>"
 
 _encoders: dict[str, WordEncoder] = {}
@@ -42,64 +42,80 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             splits = json.load(f)["pre_tokenizer"]["pretokenizers"]
-        self.pattern = regex.compile(next(s["pattern"]["Regex"] for s in splits if s["type"] == "Split"))
+        pattern = next(s["pattern"]["Regex"] for s in splits if s["type"] == "Split")
+        self.pattern = regex.compile(f"\\n|{pattern}")
         vocabulary = self.library.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith(WORD_END)]] = True
         self.cached = cached
         self._clear()
+        self._clear_pieces()
 
     def _clear(self) -> None:
         self.words: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.lengths, self.flat = array("q"), array("I")
+        self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _plain_ids(self, pieces: Sequence[str]) -> list[list[int]]:
-        """Ids of pieces that are one word of the tokenizer each."""
-        ids = np.array(self.library.encode(" ".join(pieces), add_special_tokens=False).ids, np.int64)
+    def _clear_pieces(self) -> None:
+        self.pieces: dict[str, int] = {}
+        self.piece_lengths, self.piece_flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _piece_ids(self, pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that are one word of the tokenizer each, and how many each has."""
+        ids = np.array(self.library.encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
         after = np.flatnonzero(self.ends[ids]) + 1
-        if len(after) != len(pieces):
-            return [e.ids for e in self.library.encode_batch(list(pieces), add_special_tokens=False)]
-        flat = ids.tolist()
-        return [flat[a:b] for a, b in zip([0, *after[:-1].tolist()], after.tolist())]
-
-    def _learn(self, new: Sequence[bytes]) -> None:
-        split: list[list[str] | None] = []
-        other: list[str] = []
-        for word in new:
-            text = word.decode("utf-8", "replace")
-            if max(text) <= PLAIN_UPTO and SPECIAL not in text and not any(b in text for b in UNICODE_BLANKS):
-                split.append(self.pattern.findall(text.lower()))
-            else:
-                split.append(None)
-                other.append(text)
-        fresh = list({p for parts in split if parts for p in parts if p not in self.pieces})
+        if len(after) == len(pieces):
+            return ids, np.diff(after, prepend=0)
+        return self._whole_ids(pieces)
+
+    def _whole_ids(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.library.encode_batch(list(texts), add_special_tokens=False)]
+        return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64)
+
+    def _split_ids(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words, from the pieces that the tokenizer's pattern cuts them into."""
+        found = self.pattern.findall(b"\n".join([*words, b""]).decode().lower())
+        fresh = list(set(found) - self.pieces.keys() - {"\n"})
         if fresh:
-            self.pieces.update(zip(fresh, self._plain_ids(fresh)))
-        rest = iter(self.library.encode_batch(other, add_special_tokens=False)) if other else iter(())
-        for word, parts in zip(new, split):
-            before = len(self.flat)
-            if parts is None:
-                self.flat.extend(next(rest).ids)
-            else:
-                for p in parts:
-                    self.flat.extend(self.pieces[p])
-            self.words[word] = len(self.lengths)
-            self.lengths.append(len(self.flat) - before)
+            ids, counts = self._piece_ids(fresh)
+            self.pieces.update(zip(fresh, range(len(self.pieces), len(self.pieces) + len(fresh))))
+            self.piece_flat = np.concatenate([self.piece_flat, ids])
+            self.piece_lengths = np.concatenate([self.piece_lengths, counts])
+        at = self.pieces
+        places = np.array([-1 if p == "\n" else at[p] for p in found], np.int64)
+        ends = places < 0
+        own = places[~ends]
+        total = starts_of(self.piece_lengths[own])
+        # Pieces before the end of each word, and so the ids before it.
+        upto = total[np.flatnonzero(ends) - np.arange(len(words))]
+        ids = gather(self.piece_flat, starts_of(self.piece_lengths)[:-1], self.piece_lengths, own)
+        return ids, np.diff(upto, prepend=0)
+
+    def _learn(self, new: list[bytes]) -> None:
+        odd = {i for i, w in enumerate(new) if ODD.search(w)}
+        plain = [w for i, w in enumerate(new) if i not in odd] if odd else new
+        parts = []
+        if plain:
+            parts.append((plain, *self._split_ids(plain)))
+        if odd:
+            other = [new[i] for i in sorted(odd)]
+            parts.append((other, *self._whole_ids([w.decode("utf-8", "replace") for w in other])))
+        for words, ids, counts in parts:
+            self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+            self.flat = np.concatenate([self.flat, ids])
+            self.lengths = np.concatenate([self.lengths, counts])
 
     def encode(self, texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and how many each text has."""
-        if len(self.words) > self.cached or len(self.pieces) > self.cached:
+        if len(self.words) > self.cached:
             self._clear()
+        if len(self.pieces) > 2 * self.cached:
+            self._clear_pieces()
         split = [text.split() for text in texts]
-        new = list({w for words in split for w in words if w not in self.words})
+        new = list(set().union(*split) - self.words.keys())
         if new:
             self._learn(new)
-        at = self.words
-        chosen = np.array([at[w] for words in split for w in words], np.int64)
-        lengths = np.array(self.lengths, np.int64)
-        ids = gather(np.array(self.flat, np.uint32), starts_of(lengths)[:-1], lengths, chosen)
-        ends = starts_of(lengths[chosen])
-        counts = np.diff(ends[starts_of(np.array([len(w) for w in split], np.int64))])
-        return ids, counts
+        chosen = np.array(list(map(self.words.__getitem__, chain.from_iterable(split))), np.int64)
+        ids = gather(self.flat, starts_of(self.lengths)[:-1], self.lengths, chosen)
+        ends = starts_of(self.lengths[chosen])
+        return ids, np.diff(ends[starts_of(np.array([len(w) for w in split], np.int64))])
