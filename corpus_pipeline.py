@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from eventrate.llm import ecoc, fuzzy_lines, pieces, superminhash, templates
 from eventrate.llm.queries import PIECES, table
+from eventrate.llm.shipping import ship
 from eventrate.llm.tables import without
 from eventrate.runtime import scratch_path
 
@@ -59,6 +60,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written and read again by the next."""
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, name)

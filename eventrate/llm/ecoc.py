@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 from eventrate.llm.flat import U64, mix, slices, starts_of
 
@@ -43,7 +44,7 @@ class Settings:
     smoothing: float = 0.5
     exhaustive: int = 5
     bits_per_doubling: int = 10
-    ambiguous: float = 0.2
+    ambiguous: float = 0.5
 
 
 @dataclass
@@ -196,7 +197,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[s
     """
     added = ["lang_pred", "score", "ambiguous"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    schema = docs.select(*kept).schema.add("lang_pred", StringType()).add("score", DoubleType()).add("ambiguous", BooleanType())
     bits = max(1, model.code.shape[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

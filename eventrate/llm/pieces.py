@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType
 
 from eventrate.llm.flat import gather, slices, starts_of
 
@@ -210,7 +211,7 @@ def encode_documents(
     """
     added = ["n_tokens", "ids", "round_trip"]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    schema = docs.select(*kept).schema.add("n_tokens", "bigint").add("ids", "array<int>").add("round_trip", "boolean")
+    schema = docs.select(*kept).schema.add("n_tokens", LongType()).add("ids", ArrayType(IntegerType())).add("round_trip", BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
@@ -230,7 +231,7 @@ def encode_documents(
 
 def decode_documents(encoded: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """Other columns of ``encoded`` and the ``text`` of its ``ids``; NULL for NULL ids."""
-    schema = encoded.drop(text).schema.add(text, "string")
+    schema = encoded.drop(text).schema.add(text, StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
