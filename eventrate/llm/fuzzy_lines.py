@@ -57,7 +57,7 @@ def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
     hashed = words.withColumn("word", F.xxhash64("word"))
     place = ["doc", "body", "line", "node", "chars"]
     sums = [
-        F.sum(F.shiftrightunsigned("word", k).bitwiseAND(F.lit(FIELDS))).alias(f"s{k}") for k in range(SUMS)
+        F.try_sum(F.shiftrightunsigned("word", k).bitwiseAND(F.lit(FIELDS))).alias(f"s{k}") for k in range(SUMS)
     ]
     counted = hashed.groupBy(*place).agg(F.count(F.lit(1)).alias("words"), *sums)
     mask = F.lit((1 << FIELD) - 1)
@@ -152,15 +152,15 @@ def dedup_lines(
     own = docs.withColumn("_hash", F.xxhash64(text))
     match = F.col(key).eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_body"))
     joined = own.join(F.broadcast(dropped) if small else dropped, match, "left")
-    split = F.split(F.col(text), "\n")
-    # Set membership of a sorted array by difference keeps documents of many lines linear.
-    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_drop")))
+    split = joined.withColumn("_lines", F.when(F.col("_drop").isNotNull(), F.split(text, "\n")))
+    # Kept numbers by difference of sets, so that a document of very many lines stays linear.
+    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop")))
+    numbered = split.withColumn("_kept", kept)
     body = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.element_at(split, i + 1)), "\n")
+        F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n")
     )
-    dropped_count = F.coalesce(F.size("_drop"), F.lit(0))
-    rebuilt = joined.withColumn("_text", body).withColumn(
-        added[0], F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(dropped_count)
+    rebuilt = numbered.withColumn("_text", body).withColumn(
+        added[0], F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop"))
     )
     left = F.size(F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]")))
     rebuilt = rebuilt.withColumn(added[1], F.when(F.col("_text").isNull(), F.lit(0)).otherwise(left))

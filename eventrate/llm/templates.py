@@ -76,24 +76,31 @@ def is_slot(word: Column) -> Column:
     return F.startswith(word, F.lit(MARK))
 
 
-def hashes(words: str, width: int) -> Column:
-    """Hash of every window of ``width`` words; none if there are fewer words."""
-    starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - width + 1)).otherwise(
+def hashes(hashed: str, width: int) -> Column:
+    """Hash of every window of ``width`` hashed words; none if there are fewer words.
+
+    Words are taken one by one: in a lambda, a slice would copy the whole array for each window.
+    """
+    starts = F.when(F.size(hashed) >= width, F.sequence(F.lit(0), F.size(hashed) - width)).otherwise(
         F.array().cast("array<int>")
     )
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, width)))
+    return F.transform(starts, lambda i: F.xxhash64(*[F.get(hashed, i + k) for k in range(width)]))
+
+
+def hashed_words(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def item_windows(items: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
     """Windows of the items: ``item``, ``version``, ``item_at``, ``hash``, ``width``, ``total`` windows of the item."""
     words = items.select(
         F.col(key).alias("item"), F.xxhash64(text).alias("version"), template(F.col(text)).alias("words")
-    ).where(F.size("words") >= settings.literals).distinct()
+    ).where(F.size("words") >= settings.literals).distinct().withColumn("hashed", hashed_words(F.col("words")))
     short = F.size("words") < settings.window
     parts = []
     for width in range(settings.literals, settings.window + 1):
         fitting = words.where(~short if width == settings.window else F.size("words") == width)
-        placed = fitting.withColumn("all", hashes("words", width))
+        placed = fitting.withColumn("all", hashes("hashed", width))
         parts.append(placed.select(
             "item", "version", "words", F.size("all").alias("total"), F.lit(width).alias("width"),
             F.posexplode("all").alias("item_at", "hash"),
@@ -114,14 +121,13 @@ def matches(
     seen = found.groupBy("width").count().collect()  # one row per width
     small = sum(n for _, n in seen) <= limits.broadcast_rows
     words = docs.where(F.col(text).isNotNull()).select(
-        F.col(key).alias("doc"), F.xxhash64(text).alias("body"), template(F.col(text)).alias("words")
+        F.col(key).alias("doc"), F.xxhash64(text).alias("body"), hashed_words(template(F.col(text))).alias("hashed")
     )
+    widths = [width for width, _ in seen] or [settings.window]
     every = [
-        words.select("doc", "body", F.lit(width).alias("width"), F.posexplode(hashes("words", width)).alias("at", "hash"))
-        for width, _ in seen
+        words.select("doc", "body", F.lit(width).alias("width"), F.posexplode(hashes("hashed", width)).alias("at", "hash"))
+        for width in widths
     ]
-    if not every:
-        every = [words.select("doc", "body", F.lit(0).alias("width"), F.posexplode(hashes("words", 1)).alias("at", "hash"))]
     joined = every[0]
     for part in every[1:]:
         joined = joined.unionByName(part)

@@ -108,3 +108,60 @@ def dedup_lines(docs, min_words=5, bits=3, percent=90):
         ]
         out.append((d, "\n".join(kept)))
     return out
+
+
+MARK = "\x01"
+
+
+def template(text):
+    """(template words, words as written) of a text, by scanning it word by word."""
+    from eventrate.llm.templates import NUMBER_WORDS, UNITS
+
+    tokens = list(regex.finditer(r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+", text.replace(MARK, " ")))
+    kinds, raw = [], []
+    for m in tokens:
+        word, before = m.group(), m.string[:m.start()]
+        apart = not regex.search(r"[\p{L}\p{M}\p{N}]$", before)
+        apart_after = not regex.match(r"[\p{L}\p{M}\p{N}]", m.string[m.end():])
+        kind = word.lower()
+        if regex.match(r"\p{N}", word) or apart and apart_after and word.lower() in NUMBER_WORDS:
+            kind = "number"
+        elif regex.match(r"\p{Lu}\p{Ll}", word) and regex.search(r"[\p{L}\p{N},;]\s$", before):
+            kind = "name"
+        elif word.lower() in UNITS and kinds and kinds[-1] == "number" and regex.search(r"[\p{N}\p{L}]\s?$", before) and apart_after:
+            kind = "unit" if regex.sub(r"\s$", "", before).endswith(raw[-1]) or before.lower().rstrip().endswith(raw[-1]) else kind
+        kinds.append(kind)
+        raw.append(word.lower())
+    return kinds, raw
+
+
+def contaminated(docs, items, window=8, literals=5, percent=40):
+    """{(doc, item): (percent, verbatim)} by sliding every item window over every document."""
+    slots = {"number", "unit", "name"}
+    out = {}
+    for item, asked in items:
+        kinds, raw = template(asked or "")
+        if len(kinds) < literals:
+            continue
+        width = min(window, len(kinds))
+        starts = range(len(kinds) - width + 1)
+        for doc, text in docs:
+            dk, dr = template(text or "")
+            runs = {}
+            for q in starts:
+                if sum(k not in slots for k in kinds[q:q + width]) < literals:
+                    continue
+                for p in range(len(dk) - width + 1):
+                    if dk[p:p + width] == kinds[q:q + width]:
+                        runs.setdefault(p - q, []).append(q)
+            covered, equal = set(), True
+            for shift, found in runs.items():
+                pairs = {
+                    (kinds[i], raw[i], dr[i + shift]) for q in found for i in range(q, q + width) if kinds[i] in slots
+                }
+                if len({x[:2] for x in pairs}) == len(pairs) == len({(x[0], x[2]) for x in pairs}):
+                    covered |= set(found)
+                    equal &= all(a == b for _, a, b in pairs)
+            if covered and 100 * len(covered) / len(starts) >= percent:
+                out[(doc, item)] = (100 * len(covered) / len(starts), equal)
+    return out
