@@ -13,37 +13,35 @@ from pyspark.sql import functions as F
 
 from eventrate.runtime import materialise
 
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+PAIRED = 8  # largest bucket whose pairs are listed at once
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and the smallest node reachable from it, ``component``, for all ends of ``edges`` (a, b).
 
-    Alternates the large-star and small-star steps of Kiveris et al. until the edges no longer change.
+    Alternates the large-star and small-star steps of Kiveris et al. until every node hangs on the root of its group.
     Each round is stored, so a lost executor repeats one round at most.
     """
     apart = F.col("a") != F.col("b")
     current = materialise(
         edges.where(apart).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    seen = _state(current)
-    while True:
+    while not _is_forest(current):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        before, seen = seen, _state(current)
-        if seen == before:
-            break
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _state(edges: DataFrame) -> tuple:
-    mixed = F.xxhash64("u", "v")
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(mixed), F.bit_xor(F.xxhash64(mixed))).first())
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root that hangs on nothing."""
+    seen = edges.select("u", F.lit(1).alias("below")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("below")).distinct())
+    return seen.groupBy("u").agg(F.sum("below").alias("up"), F.min("below").alias("root")).where("up > 1 or up > 0 and root = 0").isEmpty()
 
 
 def group(
@@ -58,45 +56,54 @@ def group(
     nodes are compared if they share a key, may link and are not yet in one group.
     """
     # Buckets of one node, by far the most, end here; the others are stored once.
-    shared = members.groupBy("key").agg(F.min("node").alias("_first"), F.max("node").alias("_last"))
-    shared = shared.where("_first <> _last").select("key", F.col("_first").alias("_centre"))
-    held = materialise(members.join(shared, "key"), "buckets")
+    shared = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("_size"), F.min("node").alias("_centre"), F.max("node").alias("_last")
+    ).where("_centre <> _last").drop("_last")
+    held = materialise(members.join(shared, "key").join(attributes, "node"), "buckets")
     plain = [c for c in attributes.columns if c != "node"]
-    # Only sizes and short marks: the attributes of nodes that share a bucket.
-    known = materialise(attributes.join(held.select("node").distinct(), "node", "left_semi"), "attributes")
-    other = known.select(F.col("node").alias("_centre"), *[F.col(c).alias(f"_c_{c}") for c in plain])
+    other = [F.col(c).alias(f"_c_{c}") for c in plain]
 
     def compare(pairs: DataFrame, edges: DataFrame | None) -> DataFrame | None:
-        near = pairs.join(known, "node").join(other, "_centre").where(may_link("", "_c_"))
-        near = near.select(F.least("node", "_centre").alias("a"), F.greatest("node", "_centre").alias("b"))
-        near = materialise(near, "pairs")
+        near = pairs.where(may_link("", "_c_")).select(
+            F.least("node", "_centre").alias("a"), F.greatest("node", "_centre").alias("b")
+        )
+        near = materialise(near.distinct(), "pairs")
         found = None if near.isEmpty() else confirm(near)
-        if found is None or edges is None:
-            return edges if found is None else materialise(found, "links")
-        return materialise(found.unionByName(edges), "links")
-
-    edges, groups, tried = None, None, None
+        if found is None:
+            return edges
+        return materialise(found if edges is None else found.unionByName(edges), "links")
+
+    def with_centre(rows: DataFrame) -> DataFrame:
+        centres = attributes.select(F.col("node").alias("_centre"), *other)
+        return rows.where("node <> _centre").select("node", "_centre", *plain).distinct().join(centres, "_centre")
+
+    # Small buckets give their pairs at once; they are done with the first comparison.
+    small, large = (held.where(F.col("_size") <= PAIRED), held.where(F.col("_size") > PAIRED).drop("_size"))
+    mates = small.select("key", F.col("node").alias("_centre"), *other)
+    pairs = small.select("key", "node", *plain).join(mates, "key").where("node < _centre").drop("key")
+    edges = compare(pairs.unionByName(with_centre(large)), None)
     for _ in range(STAR_ROUNDS):
-        star = held.where("node <> _centre").select("node", "_centre").distinct()
-        edges = compare(star, edges)
         if edges is None:
-            labelled = held.withColumn("component", F.col("node"))
+            labelled = large.withColumn("component", F.col("node"))
         else:
-            groups = components(edges)
-            labelled = held.drop("component").join(groups, "node", "left")
+            labelled = large.drop("component").join(components(edges), "node", "left")
             labelled = labelled.withColumn("component", F.coalesce("component", "node"))
-        ends = labelled.groupBy("key").agg(
-            F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_size")
-        )
-        # A bucket of two has been compared; one of a single group needs no more.
-        ends = ends.where("_low <> _high and _size > 2").drop("_high", "_size")
-        labelled = labelled.select("key", "node", "component").join(ends, "key")
-        centres = labelled.where("component <> _low").groupBy("key").agg(F.min("node").alias("_centre"))
-        held = materialise(labelled.join(centres, "key").select("key", "node", "component", "_centre"), "buckets")
-        if held.isEmpty():
-            return groups
+        ends = labelled.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+        several = labelled.drop("_centre").join(ends.where("_low <> _high").drop("_high"), "key")
+        # Next centre: the first member outside the group of the bucket's lowest.
+        centres = several.where("component <> _low").groupBy("key").agg(F.min("node").alias("_centre"))
+        large = materialise(several.drop("_low").join(centres, "key"), "buckets")
+        if large.isEmpty():
+            return None if edges is None else components(edges)
+        edges = compare(with_centre(large), edges)
     # What is left: members of different groups that share a bucket.
-    mates = held.select("key", F.col("node").alias("_mate"), F.col("component").alias("_other"))
-    apart = held.join(mates, "key").where("node < _mate and component <> _other")
-    edges = compare(apart.select("node", F.col("_mate").alias("_centre")).distinct(), edges)
-    return components(edges) if edges is not None else None
+    if edges is not None:
+        large = large.drop("component").join(components(edges), "node", "left")
+        large = large.withColumn("component", F.coalesce("component", "node"))
+    left = large.select("key", "node", "component", *plain)
+    mates = left.select("key", F.col("node").alias("_centre"), F.col("component").alias("_other"), *other)
+    apart = left.join(mates, "key").where("node < _centre and component <> _other").select(
+        "node", "_centre", *plain, *[f"_c_{c}" for c in plain]
+    )
+    edges = compare(apart, edges)
+    return None if edges is None else components(edges)

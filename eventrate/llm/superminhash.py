@@ -13,14 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventrate.llm.flat import U64, mix, slices, starts_of
-from eventrate.llm.links import group
-from eventrate.runtime import materialise
+from eventrate.llm.links import components
+from eventrate.runtime import LIMITS, Limits, materialise
 
 BATCH_BYTES = 1 << 20
+PAIRED = 8  # largest bucket whose pairs are listed
+TILE = 256  # sets compared at a time
+BLOCK_SHINGLES = 2_000_000
 GOLDEN = U64(0x9E3779B97F4A7C15)
 BASE, BASE_INVERSE = U64(0x2545F4914F6CDD1D), U64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
 #: Blanks that part words: space and U+0009 to U+000D.
@@ -161,8 +164,8 @@ def alone_upto(percent: int) -> int:
     return n
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, settings: Settings, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity."""
+def linked_pairs(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the similarity; ``texts`` has ``node`` and ``body``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,18 +182,121 @@ def confirm(pairs: DataFrame, docs: DataFrame, settings: Settings, key: str, tex
                 [batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"]
             )
 
-    # The texts of documents in pairs only; a document in many pairs is a skewed join, which Spark splits.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col(key).cast("bigint").alias("node"), F.col(text).alias("body"))
-    texts = materialise(texts.join(wanted, "node", "left_semi"), "texts")
+    # A document in many pairs is a skewed join, which Spark splits.
     one = texts.select(F.col("node").alias("a"), F.col("body").alias("one"))
     two = texts.select(F.col("node").alias("b"), F.col("body").alias("two"))
     joined = pairs.join(two, "b").join(one, "a").select("a", "b", "one", "two")
-    return joined.mapInArrow(run, "a bigint, b bigint").distinct()
+    return joined.mapInArrow(run, "a bigint, b bigint")
+
+
+def block_forest(nodes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Edges that connect all linked sets of two blocks (side 0 and 1; 2 for both), found without listing pairs.
+
+    Tiles of two times ``TILE`` sets are compared by one product of their 0/1 matrices; tiles whose sizes
+    differ too much to link, or whose sets are all connected already, are skipped.
+    """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets, nodes, side = [sets[i] for i in order], nodes[order], side[order]
+    size = np.array([len(s) for s in sets])
+    label = np.arange(len(sets))
+    edges = []
+    rows = [np.flatnonzero(side != 1), np.flatnonzero(side != 0)]
+    tiles = [[r[i:i + TILE] for i in range(0, len(r), TILE)] for r in rows]
+    same = bool((side == 2).all())
+    for k, one in enumerate(tiles[0]):
+        for two in tiles[1][k if same else 0:]:
+            low, high = min(size[one[-1]], size[two[-1]]), max(size[one[0]], size[two[0]])
+            if 100 * low < percent * high or len(np.unique(label[np.concatenate([one, two])])) == 1:
+                continue
+            flat, owner = [], []
+            for part in (one, two):
+                flat.append(np.concatenate([sets[i] for i in part]))
+                owner.append(np.repeat(np.arange(len(part)), size[part]))
+            shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+            both = []
+            for values, own, part in zip(flat, owner, (one, two)):
+                at = np.searchsorted(shared, values)
+                at[at == len(shared)] = 0
+                held = shared[at] == values if len(shared) else np.zeros(len(values), bool)
+                matrix = np.zeros((len(part), len(shared)), np.float32)
+                matrix[own[held], at[held]] = 1
+                both.append(matrix)
+            common = np.rint(both[0] @ both[1].T).astype(np.int64)
+            union = size[one][:, None] + size[two][None] - common
+            i, j = np.nonzero((100 * common >= percent * union) & (label[one][:, None] != label[two][None]))
+            for a, b in zip(one[i], two[j]):
+                if label[a] != label[b]:
+                    edges.append((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
+                    label[label == label[b]] = label[a]
+    return edges
+
+
+def linked_families(families: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Edges that connect all linked members of each family (``node``, ``component``, set size ``n``).
+
+    A family is cut into blocks of about ``BLOCK_SHINGLES`` by a hash of the node; each pair of blocks is compared
+    in one task, whatever the size of the family, and gives fewer edges than it has nodes.
+    """
+    blocks = families.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    placed = families.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = placed.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = ["component", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")]
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        nodes, side = group["node"].to_numpy(), group["side"].to_numpy()
+        raw = [t or b"" for t in group["body"].cast(pa.binary()).to_pylist()]
+        sets: list[np.ndarray] = []
+        for a, b in slices([len(t) for t in raw], BATCH_BYTES):
+            shingles, counts = shingle_sets(raw[a:b], settings.words)
+            sets += np.split(shingles, np.cumsum(counts)[:-1])
+        edges = np.array(block_forest(nodes, side, sets, settings.percent), np.int64).reshape(-1, 2)
+        return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
+
+    grouped = met.select(*unit, "node", "body", side.alias("side")).groupBy("component", "first", "second")
+    return grouped.applyInArrow(run, "a bigint, b bigint")
+
+
+def groups_of(sets: DataFrame, docs: DataFrame, settings: Settings, key: str, text: str, limits: Limits) -> DataFrame | None:
+    """``node`` and ``component`` of all nodes that are linked with another one; None if there are none.
+
+    Nodes that share a band are candidates.  A bucket of up to ``PAIRED`` nodes gives its pairs; larger ones
+    merge into families, inside which all sets are compared block by block.
+    """
+    members = sets.select(F.explode("bands").alias("key"), "node", "n")
+    buckets = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.min("node").alias("centre"), F.max("node").alias("last")
+    ).where("size > 1")
+    held = materialise(members.join(buckets, "key"), "buckets")
+    star = held.where(F.col("size") > PAIRED).select(F.col("node").alias("a"), F.col("centre").alias("b")).where("a <> b")
+    families = components(star)
+    families = materialise(families.join(sets.select("node", "n"), "node"), "families")
+    # Pairs of small buckets, but for those inside one family.
+    small = held.where(F.col("size") <= PAIRED).select("key", "node", "n")
+    other = small.select("key", F.col("node").alias("b"), F.col("n").alias("m"))
+    low, high = F.least("n", "m"), F.greatest("n", "m")
+    pairs = small.withColumnRenamed("node", "a").join(other, "key").where(
+        (F.col("a") < F.col("b")) & (low * 100 >= high * settings.percent)
+    ).select("a", "b").distinct()
+    of_a, of_b = (families.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in ("a", "b"))
+    outside = F.col("_a").isNull() | F.col("_b").isNull() | (F.col("_a") != F.col("_b"))
+    pairs = materialise(pairs.join(of_a, "a", "left").join(of_b, "b", "left").where(outside).select("a", "b"), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(families.select("node")).distinct()
+    wanted = materialise(wanted, "candidates")
+    few = wanted.count()
+    if not few:
+        return None
+    texts = docs.select(F.col(key).cast("bigint").alias("node"), F.col(text).alias("body"))
+    texts = materialise(
+        texts.join(F.broadcast(wanted) if few <= limits.broadcast_rows else wanted, "node", "left_semi"), "texts"
+    )
+    found = linked_families(families, texts, settings).unionByName(linked_pairs(pairs, texts, settings))
+    return components(materialise(found.where("a <> b"), "links"))
 
 
 def near_duplicates(
-    docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text",
+    docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", limits: Limits = LIMITS,
 ) -> DataFrame:
     """Size of each document's shingle set, its group and whether it is the group's first.
 
@@ -206,16 +312,7 @@ def near_duplicates(
     sets = materialise(
         told.groupBy("n", "d1", "d2").agg(F.min("doc").alias("node"), F.first("bands").alias("bands")), "sets"
     )
-    banded = sets.where("bands is not null")
-    members = banded.select(F.explode("bands").alias("key"), "node")
-
-    def may_link(x: str, y: str) -> Column:
-        low, high = F.least(f"{x}n", f"{y}n"), F.greatest(f"{x}n", f"{y}n")
-        return low * 100 >= high * settings.percent
-
-    groups = group(
-        members, banded.select("node", "n"), may_link, lambda pairs: confirm(pairs, docs, settings, key, text)
-    )
+    groups = groups_of(sets.where("bands is not null"), docs, settings, key, text, limits)
     named = sets.select("n", "d1", "d2", "node", F.col("node").alias("component"))
     if groups is not None:
         named = named.drop("component").join(groups, "node", "left")
