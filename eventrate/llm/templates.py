@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventrate.runtime import LIMITS, Limits, materialise
@@ -49,8 +49,8 @@ RAW_WORD = rf"{DIGITS}|[\p{{L}}\p{{M}}]+"
 class Settings:
     """Windows of ``window`` template words, of which ``literals`` or more are plain words.
 
-    A document is contaminated by an item if windows with a consistent mapping cover ``percent`` of the
-    item's windows.  An item of fewer words than a window is one window of its own; an item with fewer plain
+    A document is contaminated by an item if windows with a consistent mapping cover ``percent`` of those
+    of the item.  An item of fewer words than a window is one window of its own; an item with fewer plain
     words than ``literals`` cannot be told from chance and matches nothing.
     """
 
@@ -92,7 +92,10 @@ def hashed_words(words: Column) -> Column:
 
 
 def item_windows(items: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
-    """Windows of the items: ``item``, ``version``, ``item_at``, ``hash``, ``width``, ``total`` windows of the item."""
+    """Windows of the items: ``item``, ``version``, ``item_at``, ``hash``, ``width``, ``total``.
+
+    Only windows with enough plain words are judged; ``total`` counts those of the item.
+    """
     words = items.select(
         F.col(key).alias("item"), F.xxhash64(text).alias("version"), template(F.col(text)).alias("words")
     ).where(F.size("words") >= settings.literals).distinct().withColumn("hashed", hashed_words(F.col("words")))
@@ -102,14 +105,14 @@ def item_windows(items: DataFrame, key: str, text: str, settings: Settings) -> D
         fitting = words.where(~short if width == settings.window else F.size("words") == width)
         placed = fitting.withColumn("all", hashes("hashed", width))
         parts.append(placed.select(
-            "item", "version", "words", F.size("all").alias("total"), F.lit(width).alias("width"),
-            F.posexplode("all").alias("item_at", "hash"),
+            "item", "version", "words", F.lit(width).alias("width"), F.posexplode("all").alias("item_at", "hash"),
         ))
     joined = parts[0]
     for part in parts[1:]:
         joined = joined.unionByName(part)
     plain = F.size(F.filter(F.slice("words", F.col("item_at") + 1, F.col("width")), lambda w: ~is_slot(w)))
-    return joined.where(plain >= settings.literals).drop("words")
+    judged = joined.where(plain >= settings.literals).drop("words")
+    return judged.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("item", "version")))
 
 
 def matches(

@@ -144,13 +144,11 @@ def contaminated(docs, items, window=8, literals=5, percent=40):
         if len(kinds) < literals:
             continue
         width = min(window, len(kinds))
-        starts = range(len(kinds) - width + 1)
+        starts = [q for q in range(len(kinds) - width + 1) if sum(k not in slots for k in kinds[q:q + width]) >= literals]
         for doc, text in docs:
             dk, dr = template(text or "")
             runs = {}
             for q in starts:
-                if sum(k not in slots for k in kinds[q:q + width]) < literals:
-                    continue
                 for p in range(len(dk) - width + 1):
                     if dk[p:p + width] == kinds[q:q + width]:
                         runs.setdefault(p - q, []).append(q)
