@@ -1,8 +1,9 @@
 """Line dedup for near-equal lines, in DataFrame operations only.
 
-Lines are normalised; equal ones are one class.  A class gets a 63-bit SimHash of its words.  Classes whose
-SimHash differs in few bits agree on at least two of five blocks (pigeonhole), so they meet by a join on pairs
-of blocks; edit similarity decides.  Of each connected group the first occurrence stays.
+Lines are normalised; equal ones are one class.  A class gets a 63-bit SimHash of its words, each weighted by its
+letters, as the edit distance does.  Classes whose SimHash agrees on two of four blocks meet by a join on
+pairs of blocks: by the pigeonhole principle all that differ in at most two bits do, and many that differ in more.
+Edit similarity decides.  Of each connected group the first occurrence stays.
 """
 
 from __future__ import annotations
@@ -19,20 +20,19 @@ from eventrate.runtime import LIMITS, Limits, materialise
 #: The SimHash counts three bits in each number, 21 bits apart, so that 21 sums hold 63 counters.
 FIELD, SUMS = 21, 21
 FIELDS = sum(1 << FIELD * f for f in range(3))
-BLOCKS = (13, 13, 13, 12, 12)
+BLOCKS = (16, 16, 16, 15)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Lines of ``min_words`` or more link if at most ``bits`` of the SimHash differ and the edit
-    similarity (1 - distance / longer length, on normalised lines) is ``percent`` or more.
+    """Lines of ``min_words`` or more link if two blocks of their SimHash are equal, at most ``bits`` of it differ, and
+    the edit similarity (1 - distance / longer length, on normalised lines) is ``percent`` or more.
 
-    Shorter lines link only if equal: one changed word always moves more bits than that.  ``bits``
-    may be up to 3, the most that five blocks can guarantee to find.
+    Shorter lines link only if equal: one changed word is too much of them.
     """
 
     min_words: int = 5
-    bits: int = 3
+    bits: int = 12
     percent: int = 90
 
 
@@ -54,15 +54,15 @@ def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
         "doc", "body", "line", F.xxhash64("norm").alias("node"), F.char_length("norm").alias("chars"),
         F.explode(F.split("norm", " ")).alias("word"),
     )
-    hashed = words.withColumn("word", F.xxhash64("word"))
+    hashed = words.withColumns({"word": F.xxhash64("word"), "letters": F.char_length("word").cast("bigint")})
     place = ["doc", "body", "line", "node", "chars"]
     sums = [
-        F.try_sum(F.shiftrightunsigned("word", k).bitwiseAND(F.lit(FIELDS))).alias(f"s{k}") for k in range(SUMS)
+        F.try_sum(F.shiftrightunsigned("word", k).bitwiseAND(F.lit(FIELDS)) * F.col("letters")).alias(f"s{k}") for k in range(SUMS)
     ]
-    counted = hashed.groupBy(*place).agg(F.count(F.lit(1)).alias("words"), *sums)
+    counted = hashed.groupBy(*place).agg(F.count(F.lit(1)).alias("words"), F.sum("letters").alias("letters"), *sums)
     mask = F.lit((1 << FIELD) - 1)
     bits = [
-        F.when(F.shiftright(f"s{k}", FIELD * f).bitwiseAND(mask) * 2 > F.col("words"), F.lit(1 << k + FIELD * f))
+        F.when(F.shiftright(f"s{k}", FIELD * f).bitwiseAND(mask) * 2 > F.col("letters"), F.lit(1 << k + FIELD * f))
         .otherwise(F.lit(0).cast("bigint"))
         for f in range(3) for k in range(SUMS)
     ]
@@ -82,12 +82,27 @@ def block_keys(simhash: str) -> Column:
     return F.array(*[F.xxhash64(F.lit(n), blocks[i], blocks[j]) for n, (i, j) in enumerate(pairs)])
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, settings: Settings, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) of line hashes whose normal forms reach the edit similarity."""
+def confirm(
+    pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: Settings, key: str, text: str, limits: Limits,
+) -> DataFrame:
+    """The pairs (a, b) of line hashes whose normal forms reach the edit similarity.
+
+    Only documents that hold the first occurrence of a line in a pair are read for its text.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = lines(docs, key, text).select(F.xxhash64("norm").alias("node"), "norm")
-    # Equal lines occur many times: one of each is enough, and is kept before anything is shuffled.
-    forms = materialise(found.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("norm").alias("norm")), "forms")
+    places = classes.select("node", "first").join(wanted, "node", "left_semi")
+    places = materialise(places.select(
+        "node", F.col("first.doc").alias("_doc"), F.col("first.body").alias("_body"), F.col("first.line").alias("_line")
+    ), "places")
+    few = places.count() <= limits.broadcast_rows
+    holders = places.select("_doc", "_body").distinct()
+    own = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
+    held = F.col("_key").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_body"))
+    some = own.join(F.broadcast(holders) if few else holders, held, "left_semi")
+    same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("body") == F.col("_body")) & (F.col("line") == F.col("_line"))
+    found = lines(some, "_key", "_text").join(F.broadcast(places) if few else places, same)
+    # Repeated rows hold the same line.
+    forms = materialise(found.groupBy("node").agg(F.min("norm").alias("norm")), "forms")
     one = forms.select(F.col("node").alias("a"), F.col("norm").alias("one"))
     two = forms.select(F.col("node").alias("b"), F.col("norm").alias("two"))
     longer = "greatest(char_length(one), char_length(two))"
@@ -95,13 +110,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, settings: Settings, key: str, tex
     return pairs.join(two, "b").join(one, "a").where(f"levenshtein(one, two, {most}) >= 0").select("a", "b")
 
 
-def repeated_lines(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_lines(
+    docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", limits: Limits = LIMITS,
+) -> DataFrame:
     """Lines to be dropped: ``doc``, ``body``, ``line``, and the line they repeat.
 
     The first occurrence of a group by (key, hash of the text, line number) stays, NULL keys first.
     """
-    if not 0 <= settings.bits <= 3:
-        raise ValueError("bits must be 0 to 3")
     found = materialise(occurrences(docs, key, text), "lines")
     place = F.struct("doc", "body", "line")
     classes = materialise(
@@ -120,7 +135,7 @@ def repeated_lines(docs: DataFrame, settings: Settings = Settings(), key: str =
 
     groups = group(
         members, fuzzy.select("node", "simhash", "chars"), may_link,
-        lambda pairs: confirm(pairs, docs, settings, key, text),
+        lambda pairs: confirm(pairs, classes, docs, settings, key, text, limits),
     )
     if groups is None:
         keepers = classes.where("times > 1").select("node", "first")
@@ -144,7 +159,7 @@ def dedup_lines(
     rows with a NULL key take part.  Lines of more than two million words are compared for equality only.
     An empty table gives no rows.  Columns of the input named like the two added ones are replaced.
     """
-    dropped = repeated_lines(docs, settings, key, text).groupBy("doc", "body").agg(F.collect_set("line").alias("_drop"))
+    dropped = repeated_lines(docs, settings, key, text, limits).groupBy("doc", "body").agg(F.collect_set("line").alias("_drop"))
     dropped = materialise(dropped, "dropped-lines")
     seen = dropped.agg(F.count(F.lit(1)), F.sum(F.size("_drop"))).first()
     small = seen[0] <= limits.broadcast_rows and (seen[1] or 0) * 8 <= limits.broadcast_bytes

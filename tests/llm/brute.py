@@ -55,9 +55,13 @@ def norm(line):
 
 
 def simhash(form):
-    own = form.split(" ")
-    hashes = [spark_hash(w) for w in own]
-    return sum(1 << k for k in range(63) if 2 * sum(h >> k & 1 for h in hashes) > len(own))
+    own = [(spark_hash(w), len(w)) for w in form.split(" ")]
+    total = sum(n for _, n in own)
+    return sum(1 << k for k in range(63) if 2 * sum((h >> k & 1) * n for h, n in own) > total)
+
+
+def blocks(value):
+    return [value >> at & (1 << width) - 1 for at, width in ((0, 16), (16, 16), (32, 16), (48, 15))]
 
 
 def edit_distance(a, b):
@@ -73,7 +77,7 @@ def signed(value):
     return value - (1 << 64) if value >> 63 else value
 
 
-def dedup_lines(docs, min_words=5, bits=3, percent=90):
+def dedup_lines(docs, min_words=5, bits=12, percent=90):
     """(doc, text left) of documents (doc, text)."""
     placed = []
     for d, t in docs:
@@ -88,6 +92,8 @@ def dedup_lines(docs, min_words=5, bits=3, percent=90):
         for b in forms[i + 1:]:
             if min(len(a.split(" ")), len(b.split(" "))) < min_words or (hashes[a] ^ hashes[b]).bit_count() > bits:
                 continue
+            if sum(x == y for x, y in zip(blocks(hashes[a]), blocks(hashes[b]))) < 2:
+                continue
             longer = max(len(a), len(b))
             if edit_distance(a, b) <= longer * (100 - percent) // 100:
                 linked.append((a, b))
