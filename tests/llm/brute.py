@@ -145,19 +145,30 @@ def contaminated(docs, items, window=8, literals=5, percent=40):
     """{(doc, item): (percent, verbatim)} by sliding every item window over every document."""
     slots = {"number", "unit", "name"}
     out = {}
+    read = [(doc, *template(text or "")) for doc, text in docs]
+    placed = {}
+
+    def places(width):
+        if width not in placed:
+            placed[width] = []
+            for doc, kinds, raw in read:
+                at = {}
+                for p in range(len(kinds) - width + 1):
+                    at.setdefault(tuple(kinds[p:p + width]), []).append(p)
+                placed[width].append((doc, at, raw))
+        return placed[width]
+
     for item, asked in items:
         kinds, raw = template(asked or "")
         if len(kinds) < literals:
             continue
         width = min(window, len(kinds))
         starts = [q for q in range(len(kinds) - width + 1) if sum(k not in slots for k in kinds[q:q + width]) >= literals]
-        for doc, text in docs:
-            dk, dr = template(text or "")
+        for doc, at, dr in places(width):
             runs = {}
             for q in starts:
-                for p in range(len(dk) - width + 1):
-                    if dk[p:p + width] == kinds[q:q + width]:
-                        runs.setdefault(p - q, []).append(q)
+                for p in at.get(tuple(kinds[q:q + width]), ()):
+                    runs.setdefault(p - q, []).append(q)
             covered, equal = set(), True
             for shift, found in runs.items():
                 pairs = {
