@@ -66,8 +66,6 @@ def _borders(
         )
         cuts.update(more)
     edges = {c: [cuts[c][r] for r in rank.tile_edges(sizes[c], picked[c])] for c in columns}
-    for found in edges.values():
-        rank.require_distinct(found, key)
     return picked, edges
 
 
@@ -78,14 +76,20 @@ def bin_event_table(
     """Events, rows, rate and range of each quantile bin of each column, plus a NULL bin.
 
     ``adaptive`` lowers the number of bins while the first one holds only zeros.  ``key`` makes
-    rows distinct and splits ties; ``None`` splits them by row position.  ``digits=None`` leaves
+    rows distinct and splits ties; ``None`` splits them by a hash of the row.  ``digits=None`` leaves
     rate, range and mean unrounded.
     """
     columns = list(columns)
     if key is None:
-        df, key = rank.with_row_position(df.select(event, *columns), "_position"), ["_position"]
-    key = [key] if isinstance(key, str) else list(key)
-    picked, edges = _borders(df, columns, bins, adaptive, key, limits)
+        df, key, (picked, edges) = rank.split_copies(
+            df.select(event, *columns), lambda t, k: _borders(t, columns, bins, adaptive, k, limits),
+            lambda found: [cut for cuts in found[1].values() for cut in cuts],
+        )
+    else:
+        key = [key] if isinstance(key, str) else list(key)
+        picked, edges = _borders(df, columns, bins, adaptive, key, limits)
+        for found in edges.values():
+            rank.require_distinct(found, key)
     types = dict(df.dtypes)
     entries: list[Column] = []
     for c in columns:
@@ -134,7 +138,8 @@ def null_fill_values(bin_table: DataFrame) -> DataFrame:
     Bins whose rate is not above that of the NULLs win over bins equally far above; several
     such bins are averaged.  Variables without NULLs are left out.
     """
-    units = F.round(F.col("rate") * 100).cast("bigint")
+    # Billionths: exact for rates rounded to a few places, and near enough to tell unrounded ones apart.
+    units = F.round(F.col("rate") * 1_000_000_000).cast("bigint")
     whole = Window.partitionBy("var_name")  # one row per bin
     null_units = F.max(F.when(F.col("bin").isNull(), units)).over(whole)
     gaps = (
@@ -173,10 +178,8 @@ def _hinge_ranks(rows: int) -> tuple[int, int, int, int]:
     return low, high, rows + 1 - high, rows + 1 - low
 
 
-def whiskers(
-    df: DataFrame, columns: Sequence[str], coef: float = 1.5, limits: Limits = LIMITS
-) -> DataFrame:
-    """Box-plot statistics per column: hinges, and the most extreme values inside the fences."""
+def _whisker_values(df: DataFrame, columns: Sequence[str], coef: float, limits: Limits) -> list[tuple]:
+    """Column, hinges, and the most extreme values inside the fences, these in the column's own type."""
     cuts, sizes = rank.order_statistics(df, columns, lambda _, n: _hinge_ranks(n), limits=limits)
     hinges: dict[str, tuple[float, float]] = {}
     for c in columns:
@@ -186,10 +189,18 @@ def whiskers(
     inside = []
     for i, (c, (low, high)) in enumerate(hinges.items()):
         fence = coef * (high - low)
-        held = F.when(F.col(c).between(F.lit(low - fence), F.lit(high + fence)), F.col(c).cast("double"))
+        held = F.when(F.col(c).between(F.lit(low - fence), F.lit(high + fence)), F.col(c))
         inside += [F.min(held).alias(f"lo{i}"), F.max(held).alias(f"hi{i}")]
     row = df.agg(*inside).first() if inside else None
-    rows = [(c, low, high, row[f"lo{i}"], row[f"hi{i}"]) for i, (c, (low, high)) in enumerate(hinges.items())]
+    return [(c, low, high, row[f"lo{i}"], row[f"hi{i}"]) for i, (c, (low, high)) in enumerate(hinges.items())]
+
+
+def whiskers(
+    df: DataFrame, columns: Sequence[str], coef: float = 1.5, limits: Limits = LIMITS
+) -> DataFrame:
+    """Box-plot statistics per column: hinges, and the most extreme values inside the fences."""
+    rows = [(c, *(None if v is None else float(v) for v in values))
+            for c, *values in _whisker_values(df, columns, coef, limits)]
     return df.sparkSession.createDataFrame(
         rows, "var_name string, lower_hinge double, upper_hinge double, lower_whisker double, upper_whisker double"
     )
@@ -199,8 +210,7 @@ def winsorise(df: DataFrame, columns: Sequence[str], coef: float = 1.5, limits:
     """Pull values beyond the whiskers onto them; a column with equal whiskers is left alone."""
     types = dict(df.dtypes)
     changed = {}
-    for r in whiskers(df, columns, coef, limits).collect():
-        c, low, high = r["var_name"], r["lower_whisker"], r["upper_whisker"]
+    for c, _, _, low, high in _whisker_values(df, columns, coef, limits):
         if low != high:
             least, most = F.lit(low).cast(types[c]), F.lit(high).cast(types[c])
             changed[c] = F.when(F.col(c) < least, least).when(F.col(c) > most, most).otherwise(F.col(c))

@@ -12,8 +12,11 @@ from pyspark.sql import types as T
 
 
 class Variables(NamedTuple):
+    """Names by kind; ``other`` holds dates, timestamps, binary and nested columns."""
+
     categorical: list[str]
     numeric: list[str]
+    other: list[str] = []
 
 
 class TableAndReport(NamedTuple):
@@ -94,10 +97,10 @@ def check_aligned(df: DataFrame, report: DataFrame) -> bool:
 
 
 def split_variables(df: DataFrame, max_int_levels: int = 20, exclude: Sequence[str] = ()) -> Variables:
-    """Text and coarse integers are categorical, the rest numeric.
+    """Text, booleans and coarse integers are categorical, other numbers numeric, anything else ``other``.
 
-    A sketch first rules out integers with clearly more levels, so that the exact count
-    only shuffles columns with few values.
+    A sketch first rules out integers with twice the levels or more, many times its error, so that the
+    exact count only shuffles columns with few values; in that margin lies all that is not exact.
     """
     fields = [f for f in df.schema.fields if f.name not in exclude]
     text = [f.name for f in fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
@@ -114,7 +117,9 @@ def split_variables(df: DataFrame, max_int_levels: int = 20, exclude: Sequence[s
     numeric = [
         f.name for f in fields if isinstance(f.dataType, T.NumericType) and f.name not in coarse
     ]
-    return Variables([f.name for f in fields if f.name in text or f.name in coarse], numeric)
+    categorical = [f.name for f in fields if f.name in text or f.name in coarse]
+    placed = {*categorical, *numeric}
+    return Variables(categorical, numeric, [f.name for f in fields if f.name not in placed])
 
 
 def order_columns(df: DataFrame, event: str, variables: Variables | None = None) -> DataFrame:

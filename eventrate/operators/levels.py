@@ -110,7 +110,8 @@ def null_receivers(rates: DataFrame) -> DataFrame:
 
     Of two equally near levels the one with the lower rate is taken, then the first by name.
     """
-    units = F.round(F.col("rate") * 1000).cast("bigint")
+    # Billionths: exact for rates rounded to a few places, and near enough to tell unrounded ones apart.
+    units = F.round(F.col("rate") * 1_000_000_000).cast("bigint")
     nulls = rates.where(F.col("level").isNull()).select("var_name", units.alias("null_units"))
     gap = F.col("null_units") - units
     near = F.struct(F.abs(gap).alias("distance"), (gap < 0).alias("above"), F.col("level"))
@@ -142,8 +143,7 @@ def impute_null_level(df: DataFrame, rates: DataFrame) -> Imputed:
 
 def _group_of_level(rates: DataFrame, groups: int, limits: Limits) -> DataFrame:
     """Add ``tile``: the ``groups``-tile of each level within its variable, by rate and name."""
-    units = F.round(F.col("rate") * 1000).cast("bigint")
-    marked = rates.withColumn("_units", units)
+    marked = rates.withColumn("_units", F.col("rate"))
     sizes = {
         r["var_name"]: r["total_levels"]
         for r in rates.where(F.col("total_levels") > limits.task_rows)
@@ -191,37 +191,21 @@ def condense_levels(rates: DataFrame, groups: int = 3, limits: Limits = LIMITS)
 
 
 def club_map(groups: DataFrame, squared_tolerance: float = 0.0004) -> DataFrame:
-    """Which group of a variable each of its (at most three) groups is merged into.
+    """Which group of a variable each of its groups is merged into.
 
-    Neighbours are merged when the squared difference of their rates is below the tolerance:
-    with three groups both pairs are tested, the first pair taking precedence over the second.
+    A group joins the one before it when the squared difference of their rates is below the tolerance; a run of
+    such neighbours is merged into its first.  Condensed groups stand in the order of their numbers, levels that were
+    never condensed in the order of their names.
     """
-    # condense_levels leaves at most three groups per variable, so these windows are tiny.
-    by_name = Window.partitionBy("var_name").orderBy("level")
-    whole = Window.partitionBy("var_name")
-    placed = groups.withColumn("place", F.row_number().over(by_name))
-
-    def at(column: str, place: int) -> Column:
-        return F.max(F.when(F.col("place") == place, F.col(column))).over(whole)
-
-    first, second = at("rate", 1) - at("rate", 2), at("rate", 2) - at("rate", 3)
-    near = placed.select(
-        "*",
-        F.coalesce(first * first < squared_tolerance, F.lit(False)).alias("near_12"),
-        F.coalesce(second * second < squared_tolerance, F.lit(False)).alias("near_23"),
-        at("level", 1).alias("name_1"),
-        at("level", 2).alias("name_2"),
-        F.count(F.lit(1)).over(whole).alias("size"),
-    )
-    into = (
-        F.when((F.col("place") == 2) & F.col("near_12"), F.col("name_1"))
-        .when((F.col("place") == 3) & F.col("near_12") & F.col("near_23"), F.col("name_1"))
-        .when((F.col("place") == 3) & ~F.col("near_12") & F.col("near_23"), F.col("name_2"))
-        .otherwise(F.col("level"))
-    )
-    return near.withColumn("into", F.when(F.col("size") <= 3, into).otherwise(F.col("level"))).select(
-        *groups.columns, "into"
-    )
+    # condense_levels leaves a few groups per variable, so these windows are tiny.
+    number = F.when(F.col("condensed"), F.col("level").try_cast("int"))
+    in_order = Window.partitionBy("var_name").orderBy(number, "level")
+    step = F.col("rate") - F.lag("rate").over(in_order)
+    apart = F.when(F.coalesce(step * step < squared_tolerance, F.lit(False)), 0).otherwise(1)
+    runs = groups.withColumn("_number", number).withColumn("_apart", apart)
+    runs = runs.withColumn("_run", F.sum("_apart").over(in_order))
+    by_run = Window.partitionBy("var_name", "_run").orderBy("_number", "level")
+    return runs.withColumn("into", F.first("level").over(by_run)).select(*groups.columns, "into")
 
 
 def club_levels(groups: DataFrame, decode: DataFrame, squared_tolerance: float = 0.0004) -> Clubbed:
@@ -238,7 +222,7 @@ def club_levels(groups: DataFrame, decode: DataFrame, squared_tolerance: float =
         .withColumn("total_levels", F.count(F.lit(1)).over(Window.partitionBy("var_name")))
         .select(RATE_COLUMNS)
     )
-    # Three rows per variable at most.
+    # A row per group and variable.
     moves = mapped.where("condensed").select("var_name", F.col("level").alias("imputed_lvl"), "into")
     recoded = decode.join(F.broadcast(moves), ["var_name", "imputed_lvl"], "left").select(
         "var_name", "col_num", "level", F.coalesce("into", "imputed_lvl").alias("imputed_lvl")
@@ -255,31 +239,62 @@ def build_decode(decode: DataFrame, zero: DataFrame) -> DataFrame:
 
 
 def apply_decode(
-    df: DataFrame, decode: DataFrame, columns: Sequence[str] | None = None, limits: Limits = LIMITS
+    df: DataFrame, decode: DataFrame, columns: Sequence[str] | None = None, limits: Limits = LIMITS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Replace each level by its code; values without a code stay.  NULL matches NULL."""
-    if columns is None:
-        columns = [r["var_name"] for r in decode.select("var_name").distinct().collect()]
-    for c in [c for c in df.columns if c in set(columns)]:
+    """Replace each level by its code; values without a code stay.  NULL matches NULL.
+
+    ``counts``, the table of ``level_counts``, tells frequent levels of large lookups without reading the rows.
+    """
+    text = F.coalesce(F.octet_length("level"), F.lit(0)) + F.coalesce(F.octet_length("imputed_lvl"), F.lit(0))
+    # One row per column of the table.
+    sizes = {
+        r["var_name"]: (r["n"], r["bytes"])
+        for r in decode.groupBy("var_name").agg(F.count(F.lit(1)).alias("n"), F.sum(text).alias("bytes")).collect()
+    }
+    wanted = sizes if columns is None else set(columns) & set(sizes)
+    for c in [c for c in df.columns if c in wanted]:
         lookup = decode.where(F.col("var_name") == c).select(
             F.col("level").alias("_level"), F.col("imputed_lvl").alias("_code")
         )
         own = df.withColumn(c, F.col(c).cast("string"))
-        if fits_broadcast(lookup, limits):
-            joined = own.join(F.broadcast(lookup), F.col(c).eqNullSafe(F.col("_level")), "left")
-        else:
-            joined = _salted_lookup(own, lookup, c)
+        small = sizes[c][0] <= limits.broadcast_rows and sizes[c][1] <= limits.broadcast_bytes
+        joined = _lookup(own, lookup, c, small, _own_counts(counts, c))
         df = joined.withColumn(c, F.coalesce("_code", c)).select(df.columns)
-    return df
+    # Columns whose variable has no code at all are text all the same.
+    rest = [c for c in df.columns if columns is not None and c in set(columns) - set(sizes)]
+    return df.withColumns({c: F.col(c).cast("string") for c in rest}) if rest else df
+
+
+def _own_counts(counts: DataFrame | None, column: str) -> DataFrame | None:
+    return None if counts is None else counts.where(F.col("var_name") == column).select("level", "total")
+
+
+def rows_in_levels(
+    df: DataFrame, column: str, levels: DataFrame, keep: bool = True, limits: Limits = LIMITS,
+    counts: DataFrame | None = None,
+) -> DataFrame:
+    """Rows whose ``column`` is (``keep``) or is not among the ``level`` column of ``levels``; NULL matches NULL."""
+    lookup = levels.select(F.col("level").alias("_level")).distinct().withColumn("_code", F.lit(True))
+    own = df.withColumn("_text", F.col(column).cast("string"))
+    found = _lookup(own, lookup, "_text", fits_broadcast(lookup, limits), _own_counts(counts, column))
+    return found.where(F.col("_code").isNotNull() if keep else F.col("_code").isNull()).select(df.columns)
+
+
+def _lookup(df: DataFrame, lookup: DataFrame, column: str, small: bool, counts: DataFrame | None) -> DataFrame:
+    """Left join of rows with (``_level``, ``_code``): broadcast if small, else with frequent levels spread out."""
+    if small:
+        return df.join(F.broadcast(lookup), F.col(column).eqNullSafe(F.col("_level")), "left")
+    return _salted_lookup(df, lookup, column, counts)
 
 
-def _salted_lookup(df: DataFrame, lookup: DataFrame, column: str) -> DataFrame:
+def _salted_lookup(df: DataFrame, lookup: DataFrame, column: str, counts: DataFrame | None = None) -> DataFrame:
     """Shuffled left join on a level, with the rows of frequent levels spread over salts."""
-    share = df.agg(F.count(F.lit(1)).alias("rows")).first()["rows"] / (4 * SALTS)
+    if counts is None:
+        counts = df.groupBy(F.col(column).alias("level")).agg(F.count(F.lit(1)).alias("total"))
+    share = (counts.agg(F.sum("total")).first()[0] or 0) / (4 * SALTS)
     # A level above this share of the rows: fewer than 4 * SALTS of them can exist.
-    hot = [
-        r[column] for r in df.groupBy(column).count().where(F.col("count") > share).select(column).collect()
-    ]
+    hot = [r["level"] for r in counts.where(F.col("total") > share).select("level").collect()]
     is_hot = reduce(lambda a, b: a | b, [F.col("_level").eqNullSafe(F.lit(v)) for v in hot], F.lit(False))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     hot_row = reduce(lambda a, b: a | b, [F.col(column).eqNullSafe(F.lit(v)) for v in hot], F.lit(False))
@@ -314,5 +329,5 @@ def reduce_levels(
     )
     left = {r["var_name"]: r["n"] for r in codes.groupBy("var_name").agg(F.count_distinct("level").alias("n")).collect()}
     dropped = [c for c in columns if left.get(c, 0) <= 1]
-    data = apply_decode(imputed.data.drop(*dropped), decode, [c for c in columns if c not in dropped], limits)
+    data = apply_decode(imputed.data.drop(*dropped), decode, [c for c in columns if c not in dropped], limits, counts)
     return Reduced(data, clubbed.rates, decode, dropped)

@@ -1,7 +1,7 @@
-"""Train/test split, logistic regression, stepwise selection and a decision tree.
+"""Train/test split, logistic regression and stepwise selection.
 
-The solvers are those of ``pyspark.ml``.  Features are assembled and cached once per call;
-what reaches the driver are coefficients, p x p moments and tree rules.
+The solver is that of ``pyspark.ml``.  Rows with equal features are merged, assembled and cached once per
+call; what reaches the driver are coefficients, levels of categories and p x p moments.
 """
 
 from __future__ import annotations
@@ -9,15 +9,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from fractions import Fraction
-from functools import reduce
 from typing import Any, NamedTuple
 
 import numpy as np
-from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import RFormula, VectorSlicer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame
@@ -32,8 +31,8 @@ from eventrate.runtime import LIMITS, Limits
 FEATURES, CHOSEN, EVENTS, WEIGHT = "_features", "_chosen", "_events", "_weight"
 # Formulas accept plain names only, so the label and the terms get such names inside.
 LABEL, TERM = "sharexofxevents", "termxnumber"
-SPREAD_ROWS = 5_000_000
 MAX_FEATURES = 4096  # what the solver of Spark accepts
+FITS_AT_ONCE = 4
 
 
 class Split(NamedTuple):
@@ -67,13 +66,10 @@ def split_sample(
 
 @dataclass(frozen=True)
 class LogitModel:
-    """A fitted model: how features are built, which entered, and the fitted numbers."""
+    """A fitted model: the fitted numbers, and how each of them belongs to a term and a level."""
 
     event: str
     terms: tuple[str, ...]
-    encoder: Any
-    slicer: Any
-    fitted: Any
     names: tuple[str, ...]
     aliased: tuple[str, ...]
     estimates: tuple[float, ...]
@@ -84,16 +80,19 @@ class LogitModel:
     residual_df: int
     aic: float
     session: Any
+    parts: tuple[tuple[str, str | None], ...] = ()  # term and level (None for a number) of each name
+    levels: Mapping[str, tuple[str, ...]] = field(default_factory=dict)  # all levels of each category
 
 
 @dataclass(frozen=True)
 class _Design:
     data: DataFrame
-    encoder: Any
     names: list[str]
-    term_of: list[str]
+    parts: list[tuple[str, str | None]]
+    levels: dict[str, tuple[str, ...]]
     usable: list[int]
     rows: int
+    events: float
     saturated: float  # deviance of the merged rows themselves, against single rows
     cached: tuple[DataFrame, ...]
 
@@ -107,35 +106,29 @@ def _encodable(df: DataFrame, terms: Sequence[str]) -> DataFrame:
     return df.withColumns({f"{TERM}{i}": F.col(t) for i, t in enumerate(terms)})
 
 
-def _counted_rows(df: DataFrame, event: str, terms: Sequence[str]) -> tuple[DataFrame, int, bool]:
-    """Complete rows with numbers of events and rows, the total, and whether rows were merged.
+def merged_rows(df: DataFrame, event: str, terms: Sequence[str]) -> DataFrame:
+    """Complete rows with equal features as one row with numbers of events and rows, cached.
 
-    Every fit reads the rows many times.  Where a sketch finds far fewer combinations of
-    feature values than rows, as with categories and coarse numbers, rows with equal features
-    are merged first; the likelihood is the same up to a constant.
+    The likelihood is the same up to a constant.  The input is read once, and equal rows are summed before the
+    shuffle, so categories and coarse numbers move little data.
     """
-    rows = df.select(F.col(event).cast("double").alias(event), *terms).dropna()
-    types = dict(df.dtypes)
-    text = [t for t in terms if types[t] == "string"]
-    seen = rows.agg(
-        F.count(F.lit(1)).alias("_total"),
-        F.approx_count_distinct(F.xxhash64(*terms)).alias("_patterns"),
-        *[F.approx_count_distinct(c).alias(c) for c in text],
-    ).first()
+    rows = df.select(F.col(event).cast("double").alias(EVENTS), *terms).dropna()
+    merged = rows.groupBy(*terms).agg(F.sum(EVENTS).alias(EVENTS), F.count(F.lit(1)).cast("double").alias(WEIGHT))
+    return merged.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def category_levels(merged: DataFrame, terms: Sequence[str], numbers: int = 0) -> dict[str, tuple[str, ...]]:
+    """Levels of the text terms, in order; an error if they make too many features in all."""
+    text = [t for t, kind in merged.select(*terms).dtypes if kind == "string"]
+    if not text:
+        return {}
+    seen = merged.agg(*[F.count_distinct(c).alias(f"n{i}") for i, c in enumerate(text)]).first()
     # Level names go to the driver and become features, so their number is checked first.
-    wide = [c for c in text if seen[c] > MAX_FEATURES]
-    if wide:
-        raise ValueError(f"too many levels in {wide}; merge them with reduce_levels first")
-    total = seen["_total"]
-    if seen["_patterns"] * 4 <= total:
-        merged = rows.groupBy(*terms).agg(
-            F.sum(event).alias(EVENTS), F.count(F.lit(1)).cast("double").alias(WEIGHT)
-        )
-        return merged.persist(StorageLevel.MEMORY_AND_DISK), total, True
-    if total <= SPREAD_ROWS:
-        # A small table may lie in a single file; let all cores work on it.
-        rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return rows.withColumns({EVENTS: F.col(event), WEIGHT: F.lit(1.0)}), total, False
+    if sum(seen) - len(text) + numbers > MAX_FEATURES:
+        sizes = dict(zip(text, seen))
+        raise ValueError(f"more than {MAX_FEATURES} features from the levels {sizes}; merge levels with reduce_levels first")
+    sets = merged.agg(*[F.sort_array(F.collect_set(c)).alias(f"s{i}") for i, c in enumerate(text)]).first()
+    return {c: tuple(levels) for c, levels in zip(text, sets)}
 
 
 def _design(df: DataFrame, event: str, terms: Sequence[str]) -> _Design:
@@ -143,53 +136,64 @@ def _design(df: DataFrame, event: str, terms: Sequence[str]) -> _Design:
 
     The label is the share of events among the merged rows, weighted by their number.
     """
-    rows, total, merged = _counted_rows(df, event, terms)
-    rows = _encodable(rows.withColumn(LABEL, F.col(EVENTS) / F.col(WEIGHT)), terms)
-    encoder = RFormula(
-        formula=f"{LABEL} ~ " + " + ".join(f"{TERM}{i}" for i in range(len(terms))), featuresCol=FEATURES,
-        labelCol=LABEL, stringIndexerOrderType="alphabetDesc", forceIndexLabel=False,
-    ).fit(rows)
-    data = encoder.transform(rows).select(FEATURES, LABEL, EVENTS, WEIGHT).persist(StorageLevel.MEMORY_AND_DISK)
-    saturated = data.agg(
-        F.sum(sum(
-            F.when(n > 0, F.lit(-2.0) * n * F.log(n / F.col(WEIGHT))).otherwise(0.0)
-            for n in (F.col(EVENTS), F.col(WEIGHT) - F.col(EVENTS))
-        )).alias("d")
-    ).first()["d"] if merged else 0.0
-    attrs = data.schema[FEATURES].metadata["ml_attr"]["attrs"]
+    merged = merged_rows(df, event, terms)
+    share, n, w = F.col(EVENTS) / F.col(WEIGHT), F.col(EVENTS), F.col(WEIGHT)
+    saturated = [
+        F.sum(F.when(x > 0, F.lit(-2.0) * x * F.log(x / w)).otherwise(0.0)) for x in (n, w - n)
+    ]
+    patterns, total, events, *parts = merged.agg(F.count(F.lit(1)), F.sum(w), F.sum(n), *saturated).first()
+    if not patterns:
+        merged.unpersist()
+        raise ValueError("no row without NULL is left")
+    types = dict(merged.dtypes)
+    levels = category_levels(merged, terms, sum(types[t] != "string" for t in terms))
+    rows = _encodable(merged.withColumn(LABEL, share), terms)
+    # A category of one level has no dummy, and the encoder refuses it.
+    varied = [i for i, t in enumerate(terms) if len(levels.get(t, ("", ""))) > 1]
+    if varied:
+        encoder = RFormula(
+            formula=f"{LABEL} ~ " + " + ".join(f"{TERM}{i}" for i in varied), featuresCol=FEATURES,
+            labelCol=LABEL, stringIndexerOrderType="alphabetDesc", forceIndexLabel=False,
+        ).fit(rows)
+        encoded = encoder.transform(rows)
+    else:
+        encoded = rows.withColumn(FEATURES, array_to_vector(F.array().cast("array<double>")))
+    data = encoded.select(FEATURES, LABEL, EVENTS, WEIGHT).persist(StorageLevel.MEMORY_AND_DISK)
+    attrs = data.schema[FEATURES].metadata.get("ml_attr", {}).get("attrs", {})
     entries = sorted((a for group in attrs.values() for a in group), key=lambda a: a["idx"])
     # An entry is called after its term, followed by the level if the term is a category.
-    parts = [re.fullmatch(rf"{TERM}(\d+)(.*)", a["name"], re.DOTALL).groups() for a in entries]
-    term_of = [terms[int(i)] for i, _ in parts]
-    names = [t + level for t, (_, level) in zip(term_of, parts)]
-    return _Design(
-        data, encoder, names, term_of, _independent(data), total, saturated, (data, rows) if merged else (data,)
-    )
+    found = [re.fullmatch(rf"{TERM}(\d+)(.*)", a["name"], re.DOTALL).groups() for a in entries]
+    named = [(terms[int(i)], level[1:] if terms[int(i)] in levels else None) for i, level in found]
+    names = [t if level is None else f"{t}_{level}" for t, level in named]
+    usable = _independent(data) if patterns > 1 and names else []
+    return _Design(data, names, named, levels, usable, int(total), float(events), sum(parts), (data, merged))
 
 
 def _independent(data: DataFrame, tolerance: float = 1e-9) -> list[int]:
     """Columns that are neither constant nor a combination of earlier columns.
 
-    Reads the correlation matrix, which is one distributed aggregate, and eliminates its
-    columns from left to right.
+    Reads the correlation matrix, which is one distributed aggregate, and builds its Cholesky factor from left to
+    right; a column with nothing left after the earlier ones is left out.
     """
-    moments = data.select(Summarizer.metrics("variance").summary(F.col(FEATURES)).alias("m")).first()["m"]
-    rest = np.nan_to_num(Correlation.corr(data, FEATURES).first()[0].toArray(), nan=0.0)
+    variances = data.select(Summarizer.metrics("variance").summary(F.col(FEATURES)).alias("m")).first()["m"]["variance"]
+    corr = np.nan_to_num(Correlation.corr(data, FEATURES).first()[0].toArray(), nan=0.0)
+    factor = np.zeros((len(corr), 0))
     usable = []
-    for j, variance in enumerate(moments["variance"]):
-        if variance > 0 and rest[j, j] > tolerance:
+    for j, variance in enumerate(variances):
+        rest = corr[:, j] - factor @ factor[j]
+        if variance > 0 and rest[j] > tolerance:
             usable.append(j)
-            rest = rest - np.outer(rest[:, j], rest[j, :]) / rest[j, j]
+            factor = np.column_stack([factor, rest / math.sqrt(rest[j])])
     return usable
 
 
-def _fit(data: DataFrame, use: Sequence[int], **settings: Any) -> tuple[VectorSlicer, Any]:
+def _fit(data: DataFrame, use: Sequence[int], **settings: Any) -> Any:
     slicer = VectorSlicer(inputCol=FEATURES, outputCol=CHOSEN, indices=list(use))
     solver = GeneralizedLinearRegression(
         family="binomial", link="logit", maxIter=25, tol=1e-8, regParam=0.0, featuresCol=CHOSEN, labelCol=LABEL,
         weightCol=WEIGHT, **settings,
     )
-    return slicer, solver.fit(slicer.transform(data))
+    return solver.fit(slicer.transform(data))
 
 
 def _terms(df: DataFrame, event: str, features: Sequence[str] | None, exclude: Sequence[str]) -> list[str]:
@@ -222,18 +226,24 @@ def fit_logit(
     terms = _terms(df, event, features, exclude)
     design = _design(df, event, terms)
     try:
+        if not design.usable:
+            return _constant(design, event, terms, df.sparkSession)
         return _logit(design, event, terms, design.usable, df.sparkSession)
     finally:
         design.release()
 
 
+def _aliased(design: _Design, terms: Sequence[str], use: Sequence[int]) -> tuple[str, ...]:
+    used = set(use)
+    return tuple(n for i, (n, (t, _)) in enumerate(zip(design.names, design.parts)) if i not in used and t in terms)
+
+
 def _logit(design: _Design, event: str, terms: Sequence[str], use: Sequence[int], session) -> LogitModel:
-    slicer, fitted = _fit(design.data, use)
+    fitted = _fit(design.data, use)
     s = fitted.summary
     return LogitModel(
-        event=event, terms=tuple(terms), encoder=design.encoder, slicer=slicer, fitted=fitted,
-        names=tuple(design.names[i] for i in use),
-        aliased=tuple(n for i, n in enumerate(design.names) if i not in set(use) and design.term_of[i] in terms),
+        event=event, terms=tuple(terms), names=tuple(design.names[i] for i in use),
+        aliased=_aliased(design, terms, use),
         estimates=(float(fitted.intercept), *map(float, fitted.coefficients)),
         # Spark lists the intercept last; here it comes first.
         errors=tuple(np.roll(np.array(s.coefficientStandardErrors), 1).tolist()),
@@ -241,21 +251,25 @@ def _logit(design: _Design, event: str, terms: Sequence[str], use: Sequence[int]
         null_df=design.rows - 1, residual_df=design.rows - 1 - len(use),
         # For a 0/1 outcome the deviance is minus twice the log likelihood.
         aic=float(s.deviance) + design.saturated + 2.0 * (len(use) + 1), session=session,
+        parts=tuple(design.parts[i] for i in use), levels={t: v for t, v in design.levels.items() if t in terms},
     )
 
 
-def _constant(design: _Design, event: str, session) -> LogitModel:
+def _null_deviance(ones: float, rows: int) -> float:
+    return -2.0 * sum(n * math.log(n / rows) for n in (ones, rows - ones) if n)
+
+
+def _constant(design: _Design, event: str, terms: Sequence[str], session) -> LogitModel:
     """Model of the intercept alone, which needs no solver."""
-    ones = design.data.agg(F.sum(EVENTS).alias("n")).first()["n"]
-    share = ones / design.rows
-    deviance = -2.0 * sum(n * math.log(n / design.rows) for n in (ones, design.rows - ones) if n)
+    ones = design.events
+    share, deviance = ones / design.rows, _null_deviance(ones, design.rows)
     odds = math.log(share / (1.0 - share)) if 0.0 < share < 1.0 else math.copysign(math.inf, share - 0.5)
     spread = design.rows * share * (1.0 - share)
     return LogitModel(
-        event=event, terms=(), encoder=design.encoder, slicer=None, fitted=None, names=(), aliased=(),
+        event=event, terms=tuple(terms), names=(), aliased=_aliased(design, terms, ()),
         estimates=(odds,), errors=(1.0 / math.sqrt(spread) if spread else math.inf,),
         null_deviance=deviance, deviance=deviance, null_df=design.rows - 1, residual_df=design.rows - 1,
-        aic=deviance + 2.0, session=session,
+        aic=deviance + 2.0, session=session, levels={t: v for t, v in design.levels.items() if t in terms},
     )
 
 
@@ -309,54 +323,114 @@ def _profile(model: LogitModel, df: DataFrame, q: float, names: Sequence[str]) -
     design = _design(df, model.event, model.terms)
     try:
         use = [design.names.index(n) for n in model.names]
-        rows = []
-        for k, name in enumerate(names):
-            ends = [
-                _profile_end(design, use, k, model, sign * q) for sign in (-1.0, 1.0)
-            ]
-            rows.append((name, *ends))
-        return rows
+        sides = [(k, sign * q) for k in range(len(names)) for sign in (-1.0, 1.0)]
+        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+            ends = list(pool.map(lambda side: _profile_end(design, use, side[0], model, side[1]), sides))
+        return [(name, *ends[2 * k:2 * k + 2]) for k, name in enumerate(names)]
     finally:
         design.release()
 
 
-def _profile_end(design: _Design, use: Sequence[int], k: int, model: LogitModel, goal: float) -> float:
-    """Value of coefficient ``k`` (0 is the intercept) at which the signed root of the deviance
-    rise equals ``goal``; secant steps from the Wald end, where the root is nearly linear."""
+def _held_deviance(design: _Design, use: Sequence[int], k: int, value: float) -> float:
+    """Least deviance with coefficient ``k`` (0 is the intercept) held at ``value``."""
+    if k:
+        held = vector_to_array(F.col(FEATURES))[use[k - 1]] * F.lit(value)
+        kept = [u for i, u in enumerate(use, 1) if i != k]
+    else:
+        held, kept = F.lit(value), list(use)
+    data = design.data.withColumn("_offset", held.cast("double"))
+    if kept:
+        return _fit(data, kept, offsetCol="_offset", fitIntercept=bool(k)).summary.deviance + design.saturated
+    return _intercept_deviance(data, fit=bool(k))
+
+
+def _intercept_deviance(data: DataFrame, fit: bool) -> float:
+    """Least deviance of an intercept beside the offset (or of the offset alone), by guarded Newton steps."""
+    n, w = F.col(EVENTS), F.col(WEIGHT)
+
+    def at(value: float) -> tuple[float, float, float]:
+        eta = F.col("_offset") + F.lit(value)
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
+        # log(1 + exp(x)) without overflow.
+        softplus = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
+        return tuple(data.agg(F.sum(w * softplus - n * eta) * 2.0, F.sum(n - w * p), F.sum(w * p * (F.lit(1.0) - p))).first())
+
+    value, (deviance, slope, bend) = 0.0, at(0.0)
+    for _ in range(50 if fit else 0):
+        if bend < 1e-12 or abs(slope) < 1e-9:
+            break
+        step = max(-5.0, min(5.0, slope / bend))
+        tried = at(value + step)
+        if tried[0] > deviance + 1e-9:
+            step /= 4.0
+            tried = at(value + step)
+        moved = deviance - tried[0]
+        value, (deviance, slope, bend) = value + step, tried
+        if moved < 1e-10:
+            break
+    return deviance
+
+
+def _profile_end(design: _Design, use: Sequence[int], k: int, model: LogitModel, goal: float) -> float | None:
+    """Value of coefficient ``k`` at which the signed root of the deviance rise equals ``goal``.
+
+    The root grows with the value, so the end is bracketed by doubling steps and then closed in upon by secant
+    steps that stay inside the bracket.  None if the deviance never rises that far, as when the
+    feature separates the classes.
+    """
     est, se = model.estimates[k], model.errors[k]
 
-    def signed_root(value: float) -> float:
-        if k:
-            feature = vector_to_array(F.col(FEATURES))[use[k - 1]]
-            held, kept = feature * F.lit(value), [u for i, u in enumerate(use, 1) if i != k]
-        else:
-            held, kept = F.lit(value), list(use)
-        data = design.data.withColumn("_offset", held.cast("double"))
-        if not kept:
-            raise ValueError("profile intervals need a second feature besides the one held fixed")
-        _, refit = _fit(data, kept, offsetCol="_offset", fitIntercept=bool(k))
-        rise = refit.summary.deviance + design.saturated - model.deviance
-        return math.copysign(math.sqrt(max(rise, 0.0)), value - est)
-
-    a, fa = est, 0.0
-    b = est + goal * se
-    fb = signed_root(b)
-    for _ in range(8):
-        if abs(fb - goal) < 1e-5 or fb == fa:
+    def excess(value: float) -> float:
+        rise = _held_deviance(design, use, k, value) - model.deviance
+        return math.copysign(math.sqrt(max(rise, 0.0)), value - est) - goal
+
+    if not math.isfinite(est) or not math.isfinite(se) or se <= 0:
+        return None
+    inner, low = est, -goal
+    outer = est + goal * se
+    high = excess(outer)
+    for _ in range(12):
+        if high * goal >= 0:
             break
-        a, b, fa = b, b + (goal - fb) * (b - a) / (fb - fa), fb
-        fb = signed_root(b)
-    return b
+        inner, low = outer, high
+        outer = est + 2.0 * (outer - est)
+        high = excess(outer)
+        if abs(high - low) < 1e-6:
+            return None  # flat: the deviance has a limit below the goal
+    else:
+        return None
+    for _ in range(100):
+        if abs(high) < 1e-6:
+            return outer
+        guess = outer - high * (outer - inner) / (high - low)
+        width = abs(outer - inner)
+        if width <= 1e-9 * max(1.0, abs(outer)):
+            return outer
+        found = excess(guess)
+        if abs(found) < 1e-6:
+            return guess
+        # Keep the bracket; if one end stays, halve its weight so that it moves as well.
+        if found * goal >= 0:
+            outer, high, low = guess, found, low / 2.0
+        else:
+            inner, low, high = guess, found, high / 2.0
+    raise RuntimeError("profile interval did not converge")
 
 
 def score(model: LogitModel, df: DataFrame, name: str = "probability") -> DataFrame:
-    """Add the event probability of each row; a row with a NULL feature gets NULL."""
-    if model.fitted is None:
-        return df.withColumn(name, F.lit(1.0 / (1.0 + math.exp(-model.estimates[0]))))
-    known = reduce(lambda a, b: a & b, [F.col(t).isNotNull() for t in model.terms])
-    encoded = model.slicer.transform(model.encoder.transform(_encodable(df.where(known), model.terms)))
-    scored = model.fitted.setPredictionCol(name).transform(encoded).select(*df.columns, name)
-    return scored.unionByName(df.where(~known).withColumn(name, F.lit(None).cast("double")))
+    """Add the event probability of each row, as one expression over its columns.
+
+    A row with a NULL feature, or with a level that was not there in training, gets NULL.
+    """
+    parts = dict(zip(model.parts, model.estimates[1:]))
+    eta = F.lit(model.estimates[0])
+    for term in model.terms:
+        if term in model.levels:
+            known = [F.lit(x) for level in model.levels[term] for x in (level, float(parts.get((term, level), 0.0)))]
+            eta = eta + F.create_map(*known)[F.col(term)]
+        else:
+            eta = eta + F.lit(parts.get((term, None), 0.0)) * F.col(term).cast("double")
+    return df.withColumn(name, X.logistic(eta))
 
 
 def score_equation(
@@ -373,126 +447,45 @@ class Selection(NamedTuple):
 
 def stepwise(
     df: DataFrame, event: str, features: Sequence[str] | None = None, direction: str = "backward",
-    exclude: Sequence[str] = (), max_fits: int = 500,
+    exclude: Sequence[str] = (), max_fits: int | None = None,
 ) -> Selection:
     """Drop or add whole terms while the AIC falls.
 
-    ``backward`` starts with all terms, ``forward`` with the intercept alone.  All fits
-    share one cached design; ``steps`` lists the path with the number of fits so far, and the
-    search stops with an error once ``max_fits`` is reached.
+    ``backward`` starts with all terms, ``forward`` with the intercept alone.  All fits share one cached design, and
+    those of one step run side by side.  ``steps`` lists the path with the number of fits so far; the search stops
+    with an error once ``max_fits``, if given, is passed.
     """
     terms = _terms(df, event, features, exclude)
     design = _design(df, event, terms)
     fits = 0
 
     def attempt(chosen: Sequence[str]) -> LogitModel:
-        nonlocal fits
-        use = [i for i in design.usable if design.term_of[i] in chosen]
+        use = [i for i in design.usable if design.parts[i][0] in chosen]
         if not use:
-            return _constant(design, event, df.sparkSession)
-        fits += 1
-        if fits > max_fits:
-            raise RuntimeError(f"stepwise search needs more than max_fits={max_fits} fits")
+            return _constant(design, event, chosen, df.sparkSession)
         return _logit(design, event, chosen, use, df.sparkSession)
 
     backward = direction == "backward"
     try:
-        chosen = list(terms) if backward else []
-        best = attempt(chosen)
-        path = [(0, "", None, best.aic, fits)]
-        while moves := [t for t in terms if (t in chosen) == backward]:
-            tried = []
-            for t in moves:
-                kept = [c for c in chosen if c != t] if backward else [*chosen, t]
-                tried.append((attempt(kept), t, kept))
-            model, t, kept = min(tried, key=lambda found: found[0].aic)
-            if model.aic >= best.aic:
-                break
-            best, chosen = model, kept
-            path.append((len(path), "-" if backward else "+", t, best.aic, fits))
+        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+            chosen = list(terms) if backward else []
+            best = attempt(chosen)
+            fits = int(bool(chosen))
+            path = [(0, "", None, best.aic, fits)]
+            while moves := [t for t in terms if (t in chosen) == backward]:
+                tried = [[c for c in chosen if c != t] if backward else [*chosen, t] for t in moves]
+                fits += sum(bool(kept) for kept in tried)
+                if max_fits is not None and fits > max_fits:
+                    raise RuntimeError(f"stepwise search needs more than max_fits={max_fits} fits")
+                found = zip(pool.map(attempt, tried), moves, tried)
+                model, t, kept = min(found, key=lambda f: f[0].aic)
+                if model.aic >= best.aic:
+                    break
+                best, chosen = model, kept
+                path.append((len(path), "-" if backward else "+", t, best.aic, fits))
     finally:
         design.release()
     steps = df.sparkSession.createDataFrame(
         path, "step bigint, move string, term string, aic double, fits bigint"
     )
     return Selection(best, steps)
-
-
-# --- decision tree ---------------------------------------------------------------------
-
-
-class TreeFit(NamedTuple):
-    model: Any
-    encoder: Any
-    rules: DataFrame
-
-
-def fit_tree(
-    df: DataFrame, event: str, features: Sequence[str] | None = None, exclude: Sequence[str] = (),
-    max_depth: int = 5, min_rows: int = 7, min_gain: float = 0.0, max_bins: int = 64,
-) -> TreeFit:
-    """Classification tree on the event with its leaves as a rule table.
-
-    Categories enter as dummies.  There is no pruning by cost and no surrogate split;
-    ``min_gain`` stops weak splits instead.
-    """
-    terms = _terms(df, event, features, exclude)
-    design = _design(df, event, terms)
-    # The tree wants classes: merged rows are split into their events and their non-events.
-    sides = F.array(
-        F.struct(F.lit(1.0).alias("y"), F.col(EVENTS).alias("n")),
-        F.struct(F.lit(0.0).alias("y"), (F.col(WEIGHT) - F.col(EVENTS)).alias("n")),
-    )
-    classes = (
-        design.data.select(FEATURES, F.inline(sides)).where(F.col("n") > 0)
-        .select(FEATURES, F.col("y").alias(LABEL), F.col("n").alias(WEIGHT))
-    )
-    try:
-        tree = DecisionTreeClassifier(
-            featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, impurity="gini", maxDepth=max_depth,
-            # Rows may be merged, so the least size of a leaf is stated as a share of the weight.
-            minInstancesPerNode=1, minWeightFractionPerNode=min(min_rows / design.rows, 0.499),
-            minInfoGain=min_gain, maxBins=max_bins, leafCol="_leaf", seed=100,
-        ).fit(classes)
-        found = (
-            tree.transform(classes).groupBy(F.col("_leaf").cast("bigint").alias("leaf"))
-            .agg(
-                F.sum(F.col(LABEL) * F.col(WEIGHT)).cast("bigint").alias("events"),
-                F.sum(WEIGHT).cast("bigint").alias("total"),
-            )
-            .collect()
-        )
-    finally:
-        design.release()
-    counts = {r["leaf"]: (r["events"], r["total"]) for r in found}
-    rows = []
-    for leaf, (rule, predicted) in enumerate(_leaf_rules(tree.toDebugString, design)):
-        events, total = counts.get(leaf, (0, 0))
-        rows.append((leaf, rule, predicted, events, total, events / total if total else None))
-    rules = df.sparkSession.createDataFrame(
-        rows, "leaf bigint, rule string, predicted int, events bigint, total bigint, rate double"
-    )
-    return TreeFit(tree, design.encoder, rules)
-
-
-def _leaf_rules(text: str, design: _Design) -> list[tuple[str, int]]:
-    """Conditions (as SQL) and class of each leaf, left to right, from the printed tree."""
-    path: list[tuple[int, str]] = []
-    leaves = []
-    for line in text.splitlines():
-        depth = len(line) - len(line.lstrip())
-        path = [(d, c) for d, c in path if d < depth]
-        if found := re.match(r"\s*(?:If|Else) \(feature (\d+) (.*)\)", line):
-            path.append((depth, _condition(design, int(found.group(1)), found.group(2))))
-        elif found := re.match(r"\s*Predict: ([0-9.eE+-]+)", line):
-            leaves.append((" and ".join(c for _, c in path) or "all rows", int(float(found.group(1)))))
-    return leaves
-
-
-def _condition(design: _Design, feature: int, test: str) -> str:
-    name, term = design.names[feature], design.term_of[feature]
-    if found := re.fullmatch(r"(not )?in \{(0.0|1.0)\}", test):
-        level = name[len(term) + 1:].replace("'", "''")
-        has = (found.group(2) == "1.0") != bool(found.group(1))
-        return f"{term} {'=' if has else '<>'} '{level}'"
-    return f"{name} {test}"

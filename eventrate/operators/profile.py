@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventrate.functions.numeric import round_k
+from eventrate.functions.numeric import rate_units, units_to_rate
 from eventrate.operators import rank
 from eventrate.runtime import LIMITS, Limits
 
 QUANTILES = {"p5": 0.05, "p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95}
-LONG_TEXT = 64
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -28,10 +28,8 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def _compact(column: str, type_name: str) -> Column:
-    """Stand-in for a value when only equality matters: long texts become a digest."""
-    if type_name != "string":
-        return F.col(column)
-    return F.when(F.length(column) > LONG_TEXT, F.sha2(F.col(column), 256)).otherwise(F.col(column))
+    """Stand-in for a value when only equality matters: texts become a digest of 16 bytes."""
+    return F.unhex(F.md5(F.col(column).cast("binary"))) if type_name == "string" else F.col(column)
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, int]:
@@ -47,7 +45,9 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> dict
         families.setdefault(rank._family(types[c]), []).append(c)
     parts = []
     for family, members in families.items():
-        narrow = df.select(*[_compact(c, types[c]).cast(family).alias(c) for c in members])
+        narrow = df.select(*[
+            (_compact(c, types[c]) if family == "string" else F.col(c).cast(family)).alias(c) for c in members
+        ])
         long = narrow.unpivot([], members, "var_name", "value").where(F.col("value").isNotNull())
         parts.append(long.distinct().groupBy("var_name").agg(F.count(F.lit(1)).alias("n")))
     out = dict.fromkeys(columns, 0)
@@ -118,12 +118,6 @@ def _hundredths(part: int, whole: int) -> float | None:
     return ((200 * part + whole) // (2 * whole)) / 100.0 if whole else None
 
 
-def structure(df: DataFrame) -> DataFrame:
-    """Position, name and type of each column."""
-    rows = [(i, n, t) for i, (n, t) in enumerate(df.dtypes, 1)]
-    return df.sparkSession.createDataFrame(rows, "position bigint, var_name string, datatype string")
-
-
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, limits: Limits = LIMITS) -> DataFrame:
     """Five-number summary, mean and missing values per numeric column."""
     columns = numeric_columns(df) if columns is None else list(columns)
@@ -168,9 +162,12 @@ def category_summary(df: DataFrame, columns: Sequence[str], top: int = 6) -> Dat
 
 
 def summarise(df: DataFrame, top: int = 6, limits: Limits = LIMITS) -> DataFrame:
-    """Summary of every column in long form: ``var_name``, ``item``, ``level``, ``value``."""
+    """Summary of every column in long form: ``var_name``, ``item``, ``level``, ``value``.
+
+    Anything but numbers is summarised by its most frequent levels, written as text.
+    """
     numeric = numeric_columns(df)
-    text = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BooleanType))]
+    text = [c for c in df.columns if c not in numeric]
     parts = []
     if numeric:
         table = numeric_summary(df, numeric, limits).withColumn("missing", F.col("missing").cast("double"))
@@ -221,13 +218,48 @@ def crosstab(df: DataFrame, rows: str, columns: str, levels: Sequence | None = N
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair, from one aggregate, in long form."""
-    pairs = list(combinations(columns, 2))
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    entries = [F.struct(F.lit(a).alias("var_1"), F.lit(b).alias("var_2"), F.col(f"c{i}").alias("corr"))
-               for i, (x, y) in enumerate(pairs) for a, b in ((x, y), (y, x))]
-    entries += [F.struct(F.lit(a).alias("var_1"), F.lit(a).alias("var_2"), F.lit(1.0).alias("corr")) for a in columns]
-    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    """Pearson correlation of every pair, in long form, over the rows in which both values are present.
+
+    Each task sums the moments of all pairs of its rows by matrix products; values are first moved by their
+    column's mean, so that large offsets cost no digits.
+    """
+    columns = list(columns)
+    values = [F.col(c).cast("double") for c in columns]
+    means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)]).first()
+    centred = df.select(*[(v - F.lit(float(m or 0.0))).alias(f"v{i}") for i, (v, m) in enumerate(zip(values, means))])
+    width = len(columns)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, x, xx, xy = (np.zeros((width, width)) for _ in range(4))
+        for batch in batches:
+            raw = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            there = (~np.isnan(raw)).astype(float)
+            filled = np.nan_to_num(raw, nan=0.0) * there
+            n += there.T @ there
+            x += filled.T @ there
+            xx += (filled**2).T @ there
+            xy += filled.T @ filled
+        i, j = np.indices((width, width)).reshape(2, -1)
+        parts = [n, x, x.T, xx, xx.T, xy]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i), pa.array(j), *[pa.array(np.ascontiguousarray(p).ravel()) for p in parts]],
+            ["i", "j", "n", "x", "y", "xx", "yy", "xy"],
+        )
+
+    kinds = "i bigint, j bigint, n double, x double, y double, xx double, yy double, xy double"
+    sums = centred.mapInArrow(moments, kinds).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")]
+    )
+    n = F.col("n")
+    cross = F.col("xy") - F.col("x") * F.col("y") / n
+    spread = (F.col("xx") - F.col("x") * F.col("x") / n) * (F.col("yy") - F.col("y") * F.col("y") / n)
+    corr = F.when(F.col("i") == F.col("j"), F.lit(1.0)).when(spread > 0, cross / F.sqrt(spread))
+    names = F.array(*[F.lit(c) for c in columns])
+    found = sums.where((n > 1) | (F.col("i") == F.col("j")))
+    return found.select(
+        F.get(names, F.col("i").cast("int")).alias("var_1"), F.get(names, F.col("j").cast("int")).alias("var_2"),
+        corr.alias("corr"),
+    )
 
 
 # --- dropping weak columns -------------------------------------------------------------
@@ -247,7 +279,7 @@ def missing_shares(df: DataFrame) -> DataFrame:
     counts = df.agg(
         F.count(F.lit(1)).alias("_records"), *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]
     ).unpivot(["_records"], df.columns, "var_name", "missing")
-    return counts.select("var_name", "missing", round_k(F.col("missing") / F.col("_records"), 2).alias("missing_pct"))
+    return counts.select("var_name", "missing", units_to_rate(rate_units("missing", "_records", 2), 2).alias("missing_pct"))
 
 
 def high_cardinality_columns(
@@ -256,7 +288,7 @@ def high_cardinality_columns(
     """Columns with more distinct values (NULL is one) than ``fraction`` of the rows.
 
     A sketch with one percent error settles the clear cases in one scan; only columns within
-    a fifth of the limit are counted exactly.
+    a fifth of the limit, twenty standard errors, are counted exactly.
     """
     wanted = [c for c in columns if c not in keep]
     if not wanted:

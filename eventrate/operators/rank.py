@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from eventrate.runtime import LIMITS, Limits, materialise
 
-SERIES, GAP, CELL, PART, TIE = "_series", "_gap", "_cell", "_part", "_tie"
+SERIES, GAP, CELL, PART, TIE, COPY = "_series", "_gap", "_cell", "_part", "_tie", "_copy"
 COLUMNS_PER_SCAN = 16  # keeps the generated conditions of one scan small
 MAX_PARTS = 10_000  # range partitions of a running sum; beyond it the parts grow
+COPIES_AT_ONCE = 100_000  # rows that one row of counts becomes in a step
 
 
 class Cut(NamedTuple):
@@ -381,13 +382,30 @@ def tile_edges(rows: int, tiles: int) -> list[int]:
     return [e for e in edges if 0 < e < rows]
 
 
-def with_row_position(df: DataFrame, name: str) -> DataFrame:
-    """Add a fixed unique number per row, for tables in which no key is unique.
+def split_copies(
+    df: DataFrame, cut: Callable[[DataFrame, list[str]], Any], cuts_of: Callable[[Any], Iterable[Cut]]
+) -> tuple[DataFrame, list[str], Any]:
+    """Rows with a key that splits ties where no column does: a hash of the row and, if need be, a copy number.
 
-    The numbered table is written once, because the number depends on how the input was
-    split into tasks and must not change between jobs.
+    ``cut(table, key)`` places cuts and ``cuts_of`` lists them.  Where copies of one row lie on both sides of a cut,
+    the copies of that row are counted and numbered; they are alike, so any of them may bear any number.  Nothing
+    is stored, and every job gives the same numbers.
     """
-    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "positions")
+    hashed = df.withColumn(TIE, F.xxhash64(*df.columns))
+    found = cut(hashed, [TIE])
+    crowded = sorted({c.values[-1] for c in cuts_of(found) if c.shared})
+    if not crowded:
+        return hashed, [TIE], found
+    inside = F.col(TIE).isin(crowded)
+    counted = hashed.where(inside).groupBy(*hashed.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    steps = counted.withColumn("_step", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / COPIES_AT_ONCE))))
+    first = F.col("_step") * COPIES_AT_ONCE
+    last = F.least(first + COPIES_AT_ONCE, F.col("_copies")) - 1
+    # Dealt out again between the steps, so that a row that fills a third of the table is not rebuilt by one task.
+    spread = steps.repartition(TIE, "_step")
+    numbered = spread.withColumn(COPY, F.explode(F.sequence(first, last))).select(*hashed.columns, COPY)
+    whole = hashed.where(~inside).withColumn(COPY, F.lit(0).cast("bigint")).unionByName(numbered)
+    return whole, [TIE, COPY], cut(whole, [TIE, COPY])
 
 
 def tile_label(column: str, key: Sequence[str], edges: Sequence[Cut]) -> Column:
@@ -409,16 +427,12 @@ def ntile(
 ) -> DataFrame:
     """Add the tile (1..``tiles``) of each row by ``column``, ties split in ``key`` order.
 
-    ``key`` must make rows distinct.  ``None`` splits ties by a hash of the whole row; only if
-    copies of one row straddle a border is the table stored with row positions.
+    ``key`` must make rows distinct.  ``None`` splits ties by a hash of the whole row, and copies of one
+    row by number.
     """
     if key is None:
-        hashed = df.withColumn(TIE, F.xxhash64(*df.columns))
-        edges = _edges(hashed, column, tiles, [TIE], limits)
-        if any(cut.shared for cut in edges):
-            numbered = with_row_position(df, TIE)
-            return ntile(numbered, column, tiles, TIE, name, limits).drop(TIE)
-        return hashed.withColumn(name, tile_label(column, [TIE], edges)).drop(TIE)
+        table, key, edges = split_copies(df, lambda t, k: _edges(t, column, tiles, k, limits), lambda found: found)
+        return table.withColumn(name, tile_label(column, key, edges)).select(*df.columns, name)
     key = [key] if isinstance(key, str) else list(key)
     edges = _edges(df, column, tiles, key, limits)
     require_distinct(edges, key)

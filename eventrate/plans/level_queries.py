@@ -247,7 +247,7 @@ def rows_in_event_levels(spark, folder):
     """Semi join: rows whose level has an event somewhere."""
     rows = big_purchases(spark, folder)
     hit = rows.where("e = 1").select(F.col("user_id").alias("level")).distinct()
-    return rows.join(hit, F.col("user_id").eqNullSafe(F.col("level")), "left_semi").select("event_id", "user_id")
+    return levels.rows_in_levels(rows, "user_id", hit).select("event_id", "user_id")
 
 
 @query("""SELECT event_id, user_id FROM events WHERE user_id NOT IN
@@ -256,4 +256,4 @@ def rows_in_zero_levels(spark, folder):
     """Anti join: rows whose level never has an event."""
     rows = big_purchases(spark, folder)
     hit = rows.where("e = 1").select(F.col("user_id").alias("level")).distinct()
-    return rows.join(hit, F.col("user_id").eqNullSafe(F.col("level")), "left_anti").select("event_id", "user_id")
+    return levels.rows_in_levels(rows, "user_id", hit, keep=False).select("event_id", "user_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eventrate.operators import model
+from eventrate.operators import model, tree
 from eventrate.plans.registry import flag, query, rounded, sql_round, table
 
 
@@ -93,12 +93,42 @@ def conf_int(spark, folder):
     return rounded(model.conf_int(_fit(spark, folder)), 6, "low", "high")
 
 
-@query()
+# One 0/1 feature: the ends of a profile interval by bisection, each step with Newton steps of the other coefficient.
+ONE_FEATURE = """
+sides AS (SELECT (CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END)::DOUBLE AS x,
+                 sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::DOUBLE AS e, count(*)::DOUBLE AS n
+          FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1),
+known AS (SELECT max(ln(e / (n - e))) FILTER (x = 0) AS b0,
+                 max(ln(e / (n - e))) FILTER (x = 1) - max(ln(e / (n - e))) FILTER (x = 0) AS b1,
+                 -2 * sum(e*ln(e / n) + (n - e)*ln(1 - e / n)) AS dev,
+                 sqrt(max(1 / e + 1 / (n - e)) FILTER (x = 0)) AS s0, sqrt(sum(1 / e + 1 / (n - e))) AS s1 FROM sides),
+ends AS (SELECT unnest(['(Intercept)', '(Intercept)', 'urgent', 'urgent']) AS term, unnest([-1, 1, -1, 1]) AS side),
+search AS (
+  SELECT 0 AS i, term, side, CASE WHEN term = 'urgent' THEN b1 ELSE b0 END AS a,
+         CASE WHEN term = 'urgent' THEN b1 + side * 6 * s1 ELSE b0 + side * 6 * s0 END AS b,
+         CASE WHEN term = 'urgent' THEN b0 ELSE b1 END AS free, 0 AS k FROM ends, known
+  UNION ALL
+  -- 12 Newton steps of the free coefficient for every halving of the interval.
+  SELECT i + 1, term, side,
+         CASE WHEN k = 12 AND d - dev < 3.841458820694124 THEN (a + b) / 2 ELSE a END,
+         CASE WHEN k = 12 AND d - dev >= 3.841458820694124 THEN (a + b) / 2 ELSE b END,
+         CASE WHEN k = 12 THEN free ELSE free + g / w END, CASE WHEN k = 12 THEN 0 ELSE k + 1 END
+  FROM (SELECT i, term, side, a, b, free, k, sum(z * (e - n*p)) AS g, sum(z * z * n*p*(1 - p)) AS w,
+               -2 * sum(e*ln(p) + (n - e)*ln(1 - p)) AS d
+        FROM (SELECT *, CASE WHEN term = 'urgent' THEN 1 ELSE x END AS z,
+                     1 / (1 + exp(-(CASE WHEN term = 'urgent' THEN free + (a + b) / 2 * x ELSE (a + b) / 2 + free * x END))) AS p
+              FROM search, sides WHERE i < 13 * 45)
+        GROUP BY i, term, side, a, b, free, k), known)"""
+
+
+@query(f"""WITH RECURSIVE {ONE_FEATURE}
+SELECT term, {sql_round("max((a + b) / 2) FILTER (side = -1)", 4)} AS low, {sql_round("max((a + b) / 2) FILTER (side = 1)", 4)} AS high
+FROM search WHERE i = 13 * 45 GROUP BY term""")
 def conf_int_profile(spark, folder):
-    """Profile-likelihood intervals: each end is found by refitting, so there is no SQL."""
+    """Profile-likelihood intervals of a model with a single feature."""
     rows = line_features(spark, folder)
-    fit = model.fit_logit(rows, formula="finished ~ tens + urgent")
-    return model.conf_int(fit, df=rows, method="profile")
+    fit = model.fit_logit(rows, formula="finished ~ urgent")
+    return rounded(model.conf_int(fit, df=rows, method="profile"), 4, "low", "high")
 
 
 @query(f"""WITH RECURSIVE {NEWTON} SELECT {sql_round('x1', 1)} AS tens, x2::INTEGER AS urgent, {sql_round('p', 6)} AS probability,
@@ -124,10 +154,12 @@ def logit_factor(spark, folder):
     return rounded(model.coef_table(fit).select("term", "estimate", "std_error"), 6, "estimate", "std_error")
 
 
-@query()
+@query(f"""WITH RECURSIVE {NEWTON} SELECT term, {sql_round('estimate', 6)} AS estimate, {sql_round('std_error', 6)} AS std_error FROM coefs""")
 def logit_all_columns(spark, folder):
-    """All columns as features but the excluded one; ``urgent`` depends on the priority."""
-    return model.coef_table(model.fit_logit(line_features(spark, folder), "finished", exclude=["p_type"]))
+    """All columns of a frame as features but the excluded one."""
+    rows = line_features(spark, folder).select("finished", "tens", "urgent", "p_type")
+    found = model.coef_table(model.fit_logit(rows, "finished", exclude=["p_type"]))
+    return rounded(found.select("term", "estimate", "std_error"), 6, "estimate", "std_error")
 
 
 # Deviance of the model on ``tens`` alone, by Newton steps with two coefficients.
@@ -161,25 +193,72 @@ def stepwise(spark, folder):
     return rounded(path.drop("fits"), 4, "aic")
 
 
-@query()
+@query(f"""WITH cells AS (SELECT p_type, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::DOUBLE AS e, count(*)::DOUBLE AS n
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY p_type),
+aics AS (SELECT -2 * sum(e*ln(e / n) + (n - e)*ln(1 - e / n)) + 2 * count(*) AS complete,
+                -2 * (sum(e)*ln(sum(e)/sum(n)) + (sum(n) - sum(e))*ln(1 - sum(e)/sum(n))) + 2 AS none FROM cells)
+SELECT 0::BIGINT AS step, '' AS move, NULL::VARCHAR AS term, {sql_round('complete', 4)} AS aic FROM aics
+UNION ALL SELECT 1, '-', 'p_type', {sql_round('none', 4)} FROM aics WHERE none < complete""")
 def stepwise_factors(spark, folder):
-    """Backward selection with a whole category as one term; its refits have no SQL form."""
-    return model.stepwise(line_features(spark, folder), "finished", ["tens", "l_discount", "l_returnflag", "p_size"]).steps
+    """Backward selection with a whole category as one term; with one category the AIC is known in closed form."""
+    path = model.stepwise(line_features(spark, folder), "finished", ["p_type"]).steps
+    return rounded(path.drop("fits"), 4, "aic")
+
+
+def _tree_sql(source, low, high, digits=6):
+    """Two leaves of a planted rule; ``low`` and ``high`` are SQL for the text of their conditions."""
+    return f"""WITH rows AS ({source})
+SELECT leaf::BIGINT AS leaf, CASE WHEN leaf = 0 THEN {low} ELSE {high} END AS rule, leaf::INTEGER AS predicted,
+  sum(e)::BIGINT AS events, count(*)::BIGINT AS total, {sql_round('(sum(e)::DOUBLE / count(*)::DOUBLE)', digits)} AS rate
+FROM rows GROUP BY leaf"""
+
+
+def _levels_sql(source, leaf):
+    return (f"(SELECT 'p_type IN (' || string_agg(chr(39) || p_type || chr(39), ', ' ORDER BY p_type) || ')' "
+            f"FROM (SELECT DISTINCT p_type FROM ({source}) WHERE leaf = {leaf}))")
+
+
+TYPED_PARTS = """SELECT p_type, CASE WHEN length(p_type) % 2 = 0 THEN 1 ELSE 0 END AS leaf,
+  CASE WHEN (length(p_type) % 2 = 0) <> (l_orderkey % 40 = 0) THEN 1 ELSE 0 END AS e
+  FROM lineitem JOIN part ON l_partkey = p_partkey"""
+PLANTED = """SELECT p_type, CASE WHEN length(p_type) % 2 = 0 THEN 1 ELSE 0 END AS leaf,
+  CASE WHEN length(p_type) % 2 = 0 THEN 1 ELSE 0 END AS e FROM lineitem JOIN part ON l_partkey = p_partkey"""
+
+
+def planted(spark, folder):
+    """Line items whose event is a set of part types, and the same with every fortieth order turned round."""
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"
+    )
+    joined = lines.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    inside = F.length("p_type") % 2 == 0
+    return joined.select(
+        flag(inside).alias("pure"), flag(inside != (F.col("l_orderkey") % 40 == 0)).alias("noisy"), "p_type",
+        "p_size", "l_quantity", "l_discount", "l_returnflag", "l_linestatus",
+    )
+
+
+@query(_tree_sql(PLANTED, _levels_sql(PLANTED, 0), _levels_sql(PLANTED, 1)))
+def tree_subset(spark, folder):
+    """A category is split into two sets of levels at once."""
+    rows = planted(spark, folder)
+    return rounded(tree.fit_tree(rows, "pure", exclude=["noisy"], max_depth=1).rules, 6, "rate")
+
+
+@query(_tree_sql(TYPED_PARTS, _levels_sql(TYPED_PARTS, 0), _levels_sql(TYPED_PARTS, 1)))
+def tree_all_columns(spark, folder):
+    """All columns, any depth, with noise that pruning takes away."""
+    rows = planted(spark, folder)
+    return rounded(tree.fit_tree(rows, "noisy", exclude=["pure"]).rules, 6, "rate")
 
 
 @query("""WITH rows AS (SELECT l_quantity, l_returnflag, CASE WHEN l_quantity > 25 OR l_returnflag = 'R' THEN 1 ELSE 0 END AS e FROM lineitem),
 leaves AS (SELECT CASE WHEN l_quantity > 25.5 THEN 2 WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS leaf, e FROM rows)
-SELECT leaf::BIGINT AS leaf, ['l_quantity <= 25.5 and l_returnflag <> ''R''', 'l_quantity <= 25.5 and l_returnflag = ''R''', 'l_quantity > 25.5'][leaf + 1] AS rule,
+SELECT leaf::BIGINT AS leaf, ['l_quantity <= 25.5 and l_returnflag IN (''A'', ''N'')', 'l_quantity <= 25.5 and l_returnflag IN (''R'')', 'l_quantity > 25.5'][leaf + 1] AS rule,
   CASE WHEN leaf = 0 THEN 0 ELSE 1 END::INTEGER AS predicted, sum(e)::BIGINT AS events, count(*)::BIGINT AS total,
   sum(e)::DOUBLE / count(*)::DOUBLE AS rate FROM leaves GROUP BY leaf""")
 def tree_rules(spark, folder):
     """A tree must recover the two conditions from which its event was made."""
     lines = table(spark, folder, "lineitem").select("l_quantity", "l_returnflag", "l_linestatus")
     made = lines.withColumn("e", flag((F.col("l_quantity") > 25) | (F.col("l_returnflag") == "R")))
-    return model.fit_tree(made, "e", ["l_quantity", "l_returnflag", "l_linestatus"], max_depth=3).rules
-
-
-@query()
-def tree_all_columns(spark, folder):
-    """A tree on all columns but one; its leaves have no SQL form."""
-    return model.fit_tree(line_features(spark, folder), "finished", exclude=["p_type"]).rules
+    return tree.fit_tree(made, "e", ["l_quantity", "l_returnflag", "l_linestatus"], max_depth=3).rules

@@ -55,14 +55,6 @@ def null_counts(spark, folder):
     return profile.null_counts(labelled(spark, folder))
 
 
-@query("""SELECT column_index AS position, name AS var_name, type AS datatype FROM (VALUES
-  (1::BIGINT, 'o_orderkey', 'bigint'), (2, 'o_custkey', 'bigint'), (3, 'o_orderstatus', 'string'),
-  (4, 'o_totalprice', 'double'), (5, 'o_orderdate', 'timestamp_ntz'), (6, 'o_orderpriority', 'string'))
-  AS t(column_index, name, type) WHERE (SELECT count(*) FROM orders) > 0""")
-def structure(spark, folder):
-    return profile.structure(table(spark, folder, "orders"))
-
-
 QUANTILE_PROBS = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]
 
 
@@ -81,7 +73,7 @@ def quantiles(spark, folder):
 
 def _summary_sql():
     parts = []
-    for c in ("o_totalprice", "o_orderkey"):
+    for c in ("o_totalprice", "o_orderkey", "o_custkey"):
         items = {"min": f"min({c})", "q1": f"quantile_cont({c}::DOUBLE, 0.25)", "median": f"quantile_cont({c}::DOUBLE, 0.5)",
                  "mean": f"avg({c})", "q3": f"quantile_cont({c}::DOUBLE, 0.75)", "max": f"max({c})",
                  "missing": f"count(*) - count({c})"}
@@ -89,18 +81,18 @@ def _summary_sql():
             f"SELECT '{c}' AS var_name, '{i}' AS item, NULL::VARCHAR AS level, {sql_round(f'({e})::DOUBLE', 4)} AS value FROM orders"
             for i, e in items.items()
         ]
-    for c in ("o_orderpriority", "o_orderstatus"):
+    for c in ("o_orderpriority", "o_orderstatus", "o_orderdate"):
         parts.append(f"""SELECT '{c}', 'level', level, rows::DOUBLE FROM (
-          SELECT CASE WHEN place <= 3 THEN {c} ELSE '(Other)' END AS level, sum(rows) AS rows FROM (
-            SELECT {c}, count(*) AS rows, row_number() OVER (ORDER BY count(*) DESC, {c}) AS place
-            FROM orders GROUP BY {c}) GROUP BY 1)""")
+          SELECT CASE WHEN place <= 3 THEN v ELSE '(Other)' END AS level, sum(rows) AS rows FROM (
+            SELECT v, count(*) AS rows, row_number() OVER (ORDER BY count(*) DESC, v) AS place
+            FROM (SELECT CAST({c} AS VARCHAR) AS v FROM orders) GROUP BY v) GROUP BY 1)""")
     return " UNION ALL ".join(parts)
 
 
 @query(_summary_sql())
 def summarise(spark, folder):
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
-    return rounded(profile.summarise(orders, top=3), 4, "value")
+    """All columns of a table, dates among them."""
+    return rounded(profile.summarise(table(spark, folder, "orders"), top=3), 4, "value")
 
 
 @query("SELECT o_orderpriority, count(*)::BIGINT AS rows FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1")
@@ -167,6 +159,43 @@ def drop_constant(spark, folder):
     return profile.drop_constant(orders, ["o_orderstatus", "one", "nothing"])
 
 
+def decisions(before, after):
+    """What a screening step decided: one row per column of ``before``."""
+    rows = [(c, c not in after.columns) for c in before.columns]
+    return before.sparkSession.createDataFrame(rows, "var_name string, dropped boolean")
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{c}' AS var_name, {sql_rate(f'(count(*) - count({c}))', 'count(*)', 2)} > 0.26 AS dropped {LABELLED}"
+    for c in LABELLED_TYPES))
+def sparse_decisions(spark, folder):
+    return decisions(labelled(spark, folder), drop_sparse(spark, folder))
+
+
+CUSTOMER_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+SCREENED = ["c_name", "c_nationkey", "c_mktsegment"]
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{c}' AS var_name, "
+    + (f"count(DISTINCT {c}) + CASE WHEN count(*) > count({c}) THEN 1 ELSE 0 END > 0.3 * count(*)" if c in SCREENED else "count(*) < 0")
+    + " AS dropped FROM customer" for c in CUSTOMER_COLUMNS))
+def cardinality_decisions(spark, folder):
+    customer = table(spark, folder, "customer").select(*CUSTOMER_COLUMNS)
+    return decisions(customer, profile.drop_high_cardinality(customer, SCREENED, 0.3))
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{c}' AS var_name, min(v) IS NOT DISTINCT FROM max(v) AS dropped FROM (SELECT {e} AS v FROM orders)"
+    for c, e in (("o_orderstatus", "o_orderstatus"), ("closed", "o_orderstatus IN ('F', 'O', 'P')"), ("late", "CASE WHEN o_totalprice < 0 THEN 1 END"))))
+def constant_decisions(spark, folder):
+    orders = table(spark, folder, "orders").select(
+        "o_orderstatus", F.col("o_orderstatus").isin("F", "O", "P").alias("closed"),
+        F.when(F.col("o_totalprice") < 0, 1).alias("late"),
+    )
+    return decisions(orders, profile.drop_constant(orders, orders.columns))
+
+
 @query("SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part")
 def drop_columns(spark, folder):
     return table(spark, folder, "part").drop("p_retailprice")
@@ -181,13 +210,13 @@ def drop_vars(spark, folder):
     return clean.drop_vars(rows, profile.null_counts(rows), ["text", "source"]).report
 
 
-@query("""SELECT var_name, in_table, in_report FROM (VALUES ('doc_id', true, true), ('lang', true, true),
-  ('n_chars', true, true), ('quality', true, true), ('source', true, true), ('text', false, true),
-  ('toxic', true, true)) AS t(var_name, in_table, in_report) WHERE (SELECT count(*) FROM documents) > 0""")
+@query("SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS var_name, {'false' if c == 'text' else 'true'} AS in_table, count(*) > count({c}) AS in_report {LABELLED}"
+    for c in LABELLED_TYPES) + ") WHERE in_table OR in_report")
 def check_aligned(spark, folder):
-    """Variables of a table against its report, after one was dropped from the table only."""
+    """Variables of a table without its text against a report of the incomplete variables."""
     rows = labelled(spark, folder)
-    return clean.alignment(rows.drop("text"), profile.null_counts(rows))
+    return clean.alignment(rows.drop("text"), profile.null_counts(rows).where("missing > 0"))
 
 
 # --- cleaning --------------------------------------------------------------------------
@@ -227,21 +256,43 @@ def encode_event(spark, folder):
 
 
 @query("""SELECT CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END::INTEGER AS event, o_orderpriority, o_orderkey,
-  o_custkey, o_totalprice FROM orders""")
+  o_custkey, o_totalprice, CAST(o_orderdate AS VARCHAR) AS o_orderdate FROM orders""")
 def order_columns(spark, folder):
+    """Target, categories, numbers, and the date behind them."""
     orders = clean.encode_event(table(spark, folder, "orders"), "o_orderstatus", "F", "event")
-    return clean.order_columns(orders.drop("o_orderstatus", "o_orderdate"), "event")
+    ordered = clean.order_columns(orders.drop("o_orderstatus"), "event")
+    return clean.to_text(ordered, ["o_orderdate"])
 
 
-@query("""SELECT 'doc_id' AS var_name, 'numeric' AS kind FROM documents GROUP BY () UNION ALL SELECT 'text', 'categorical'
-  UNION ALL SELECT 'lang', 'categorical' UNION ALL SELECT 'source', 'categorical' UNION ALL SELECT 'n_chars', 'numeric'
-  UNION ALL SELECT 'quality', 'categorical' UNION ALL SELECT 'toxic', 'categorical'""")
-def split_variables(spark, folder):
-    found = clean.split_variables(labelled(spark, folder))
-    rows = [(c, "categorical") for c in found.categorical] + [(c, "numeric") for c in found.numeric]
+def _kind_sql(column, type_name, source):
+    if type_name == "string":
+        return f"SELECT '{column}' AS var_name, 'categorical' AS kind {source} GROUP BY ()"
+    if type_name not in ("int", "bigint"):
+        return f"SELECT '{column}' AS var_name, '{'numeric' if type_name == 'double' else 'other'}' AS kind {source} GROUP BY ()"
+    levels = f"count(DISTINCT {column}) + CASE WHEN count(*) > count({column}) THEN 1 ELSE 0 END"
+    return f"SELECT '{column}' AS var_name, CASE WHEN {levels} < 20 THEN 'categorical' ELSE 'numeric' END AS kind {source}"
+
+
+def _kinds(spark, found):
+    rows = [(c, kind) for kind, columns in found._asdict().items() for c in columns]
     return spark.createDataFrame(rows, "var_name string, kind string")
 
 
+@query(" UNION ALL ".join(_kind_sql(c, t, LABELLED) for c, t in LABELLED_TYPES.items()))
+def split_variables(spark, folder):
+    return _kinds(spark, clean.split_variables(labelled(spark, folder)))
+
+
+ORDER_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+               "o_orderdate": "timestamp", "o_orderpriority": "string"}
+
+
+@query(" UNION ALL ".join(_kind_sql(c, t, "FROM orders") for c, t in ORDER_TYPES.items()))
+def split_order_variables(spark, folder):
+    """Variables of a table with a date, which is neither category nor number."""
+    return _kinds(spark, clean.split_variables(table(spark, folder, "orders")))
+
+
 @query("""SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, TRY_CAST(left(o_orderpriority, 1) AS DOUBLE) AS rank,
   TRY_CAST(o_orderstatus AS DOUBLE) AS status, 'orders' AS origin FROM orders""")
 def casts(spark, folder):

@@ -93,10 +93,39 @@ def confusion_stats(spark, folder):
     return rounded(evaluate.confusion_stats(confusion(spark, folder)), 9, *STATS)
 
 
-@query()
+# Binomial tails by their terms; the interval by halving; a normal tail by Simpson's rule.
+def _normal_sql(z: str) -> str:
+    """Two-sided normal tail of ``z`` (an expression of one-row ``m``)."""
+    point = f"(i * least(abs({z}), 9.0::DOUBLE) / 4000.0::DOUBLE)"
+    weight = "CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"sum({weight} * exp(-{point} * {point} / 2)) * max(least(abs({z}), 9.0::DOUBLE)) / 12000.0::DOUBLE / sqrt(2 * pi())"
+    return f"(SELECT greatest(1 - 2 * ({area}), 0) FROM m, range(0, 4001) t(i))"
+
+
+CELL_TESTS = f"""{CLASSIFIED},
+m AS (SELECT (tp + fn + fp + tn) AS n, (tp + tn) AS hits, greatest(tp + fn, fp + tn)::DOUBLE / (tp + fn + fp + tn) AS base,
+             CASE WHEN fp + fn > 0 THEN (abs(fp - fn) - 1)::DOUBLE * (abs(fp - fn) - 1) / (fp + fn) END AS chi FROM cells),
+terms AS (SELECT k, n, hits, lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0) AS c FROM m, (SELECT unnest(range(0, n + 1)) AS k FROM m)),
+halves AS (
+  SELECT 0 AS i, side, CASE WHEN side = 0 THEN 0::DOUBLE ELSE hits::DOUBLE / n END AS a,
+         CASE WHEN side = 0 THEN hits::DOUBLE / n ELSE 1::DOUBLE END AS b FROM m, (VALUES (0), (1)) AS t(side)
+  UNION ALL
+  -- The low end has an upper tail of 2.5 %, the high end a lower one.
+  SELECT i + 1, side, CASE WHEN (side = 0) = (tail < 0.025) THEN (a + b) / 2 ELSE a END,
+         CASE WHEN (side = 0) = (tail < 0.025) THEN b ELSE (a + b) / 2 END
+  FROM (SELECT i, side, a, b, sum(exp(c + k * ln((a + b) / 2) + (n - k) * ln(1 - (a + b) / 2))) AS tail
+        FROM halves, terms WHERE i < 40 AND CASE WHEN side = 0 THEN k >= hits ELSE k <= hits END GROUP BY i, side, a, b))"""
+
+
+@query(f"""WITH RECURSIVE {CELL_TESTS}
+SELECT {sql_round("(SELECT (a + b) / 2 FROM halves WHERE i = 40 AND side = 0)", 6)} AS accuracy_low,
+  {sql_round("(SELECT (a + b) / 2 FROM halves WHERE i = 40 AND side = 1)", 6)} AS accuracy_high,
+  {sql_round("(SELECT sum(exp(c + k * ln(base) + (t.n - k) * ln(1 - base))) FROM terms t, m WHERE k >= m.hits)", 6)} AS accuracy_p,
+  {sql_round("(SELECT chi FROM m)", 6)} AS mcnemar, {sql_round(_normal_sql("sqrt(chi)"), 6)} AS mcnemar_p""")
 def confusion_tests(spark, folder):
-    """Exact accuracy interval and tests; their tail functions have no SQL form."""
-    return evaluate.confusion_tests(confusion(spark, folder))
+    """Exact accuracy interval, its test, and McNemar's test."""
+    found = evaluate.confusion_tests(confusion(spark, folder))
+    return rounded(found, 6, *found.columns)
 
 
 @query(f"WITH {CLASSIFIED} SELECT {sql_round('avg(CASE WHEN predicted <> e THEN 1 ELSE 0 END)', 9)} AS error_rate FROM classed")
@@ -116,6 +145,21 @@ def kappa(spark, folder):
     return rounded(rounded(found, 9, "kappa"), 6, "z")
 
 
+KAPPA = f"""{CLASSIFIED},
+w AS (SELECT {_N} AS n, (tp + tn)::DOUBLE AS same, (tp + fp)::DOUBLE AS r1, (fn + tn)::DOUBLE AS r0,
+             (tp + fn)::DOUBLE AS c1, (fp + tn)::DOUBLE AS c0 FROM cells),
+k AS (SELECT n, same / n AS po, (r1 * c1 + r0 * c0) / (n * n) AS pe,
+             (r1 * c1 * (r1 + c1) + r0 * c0 * (r0 + c0)) / (n * n * n) AS s FROM w),
+m AS (SELECT n, (po - pe) / (1 - pe) AS kappa, ((po - pe) / (1 - pe)) / (sqrt(pe + pe * pe - s) / ((1 - pe) * sqrt(n))) AS z FROM k)"""
+
+
+@query(f"""WITH {KAPPA} SELECT n::BIGINT AS subjects, {sql_round('kappa', 9)} AS kappa, {sql_round('z', 6)} AS z,
+  {sql_round(_normal_sql('z'), 6)} AS p_value FROM m""")
+def kappa_test(spark, folder):
+    found = evaluate.kappa_test(classified(spark, folder), "predicted", "e")
+    return rounded(rounded(found, 9, "kappa"), 6, "z", "p_value")
+
+
 # --- curves and pairs ------------------------------------------------------------------
 
 BY_SCORE = f"""{LINE_SCORES},

@@ -51,8 +51,9 @@ def prepare_records(
 ) -> Prepared:
     """Clean records, profile them, and drop columns too sparse or too fine to use.
 
-    ``target`` is a pattern for the outcome column; rows without outcome are left out.  The
-    cleaned rows are stored once, since the report and the screening read them several times.
+    ``target`` is a pattern for the outcome column; rows without outcome are left out.  Columns that are
+    neither categories nor numbers, as dates, are kept behind those.  The cleaned rows are stored
+    once, since the report and the screening read them several times.
     """
     df = clean.rename_matching(raw, target, event)
     for column, mapping in (spellings or {}).items():
@@ -70,9 +71,8 @@ def prepare_records(
     fine = profile.high_cardinality_columns(df, variables.categorical, cardinality, keep=[key])
     df = df.drop(*fine)
     kept = clean.Variables([c for c in variables.categorical if c not in fine and c != key],
-                           [c for c in variables.numeric if c != key])
-    front = [key, event]
-    df = df.select(*front, *kept.categorical, *kept.numeric)
+                           [c for c in variables.numeric if c != key], [c for c in variables.other if c != key])
+    df = df.select(key, event, *kept.categorical, *kept.numeric, *kept.other)
     return Prepared(df, report, kept, sparse + fine)
 
 

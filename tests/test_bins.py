@@ -112,3 +112,27 @@ def test_bins_of_many_columns_match_plain_ntile(spark):
         )
         got = table.where((F.col("var_name") == c) & F.col("bin").isNotNull()).select("bin", "events", "total")
         assert got.exceptAll(plain).count() == 0 and got.count() == 5
+
+
+def test_large_whole_numbers_keep_their_digits(spark):
+    base = 2**60
+    df = spark.range(4000).select((F.col("id") + base).alias("v")).unionByName(spark.range(1).select(F.lit(2**62).alias("v")))
+    done = bins.winsorise(df, ["v"])
+    assert done.agg(F.max("v")).first()[0] == base + 3999 and done.where(F.col("v") < base).count() == 0
+
+
+def test_bins_without_key_split_copies_of_a_row(spark):
+    """Two thirds of the rows are copies of one row, so borders fall among copies."""
+    df = spark.range(900).select(
+        F.when(F.col("id") % 3 == 0, F.col("id") / 900).otherwise(0.5).alias("x"), (F.col("id") % 3 == 1).cast("int").alias("e")
+    )
+    for parts in (1, 7):
+        table = bins.bin_event_table(df.repartition(parts), "e", ["x"], adaptive=False).collect()
+        assert sorted(r["total"] for r in table if r["bin"]) == [90] * 10
+        assert sum(r["events"] for r in table) == 300
+
+
+def test_nearest_bin_of_unrounded_rates(spark):
+    rows = [(1, 0.10005, 1.0), (2, 0.10004, 2.0), (3, 0.10001, 3.0), (None, 0.10002, None)]
+    table = spark.createDataFrame([("x", *r) for r in rows], "var_name string, bin bigint, rate double, mean double")
+    assert bins.null_fill_values(table).first()["fill"] == 3.0

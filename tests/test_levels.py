@@ -145,3 +145,30 @@ def test_no_events_and_empty_input(spark):
     assert levels.zero_event_levels(df, "e", ["g"]).count() == 2
     done = levels.reduce_levels(df.limit(0), "e", ["g"])
     assert done.data.count() == 0 and done.dropped == ["g"]
+
+
+def test_condensing_orders_unrounded_rates(spark):
+    rows = [("v", 1, f"l{i}", 10_005 - i, 100_000, (10_005 - i) / 100_000, 6) for i in range(6)]
+    rates = spark.createDataFrame(rows, "var_name string, col_num bigint, level string, events bigint, total bigint, rate double, total_levels bigint")
+    tiles = {r["level"]: r["imputed_lvl"] for r in levels.condense_levels(rates, 3).decode.collect()}
+    assert tiles == {"l5": "1", "l4": "1", "l3": "2", "l2": "2", "l1": "3", "l0": "3"}
+
+
+@pytest.mark.parametrize("groups", [3, 4, 12])
+def test_any_number_of_groups_is_clubbed(spark, groups):
+    df = records(spark, {f"g{i:02d}": (100 + i, 1000) for i in range(14)})
+    done = levels.reduce_levels(df, "e", ["g"], groups=groups)
+    assert done.rates.count() == 1 and done.dropped == ["g"]
+
+
+@pytest.mark.parametrize("limits", [Limits(), Limits(broadcast_rows=0)])
+def test_rows_in_levels(spark, limits):
+    df = spark.range(600).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 != 0, F.concat(F.lit("l"), F.col("id") % 20)).alias("g"))
+    counts = levels.level_counts(df.withColumn("e", F.lit(0)), "e", ["g"])
+    wanted = spark.createDataFrame([("hot",), (None,), ("l4",), ("absent",), ("hot",)], "level string")
+    inside = F.col("g").isNull() | F.col("g").isin("hot", "l4")
+    for given in (None, counts):
+        kept = levels.rows_in_levels(df, "g", wanted, limits=limits, counts=given)
+        assert kept.exceptAll(df.where(inside)).count() == 0 and kept.count() == df.where(inside).count()
+        gone = levels.rows_in_levels(df, "g", wanted, keep=False, limits=limits, counts=given)
+        assert gone.count() == 600 - kept.count() and gone.where(F.col("g").isin("hot", "l4")).count() == 0

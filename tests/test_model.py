@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventrate.operators import model
+from eventrate.operators import model, tree
 from eventrate.runtime import Limits
 
 
@@ -52,7 +52,6 @@ def test_logit_agrees_with_independent_fit(data, spark):
 def test_merged_rows_give_the_same_fit(data):
     df, design, e = data
     coarse = df.withColumn("c1", F.round("x1")).select("c1", "g", "e")
-    assert model._counted_rows(coarse, "e", ["c1", "g"])[2]
     fit = model.fit_logit(coarse, "e")
     ids = df.orderBy("id").select(F.round("x1").alias("c1")).collect()
     design = np.column_stack([design[:, 0], [r["c1"] for r in ids], design[:, 3:]])
@@ -153,9 +152,104 @@ def test_tree_rules(spark):
         F.when(F.col("id") % 4 == 0, "x").otherwise("y").alias("g"), (F.col("id") % 7).cast("double").alias("v"),
         F.when(F.col("id") % 4 == 0, 1).otherwise(0).alias("e"),
     )
-    fit = model.fit_tree(df, "e", max_depth=1)
+    fit = tree.fit_tree(df, "e", max_depth=1)
     rules = fit.rules.orderBy("leaf").collect()
     assert sorted((r["events"], r["total"]) for r in rules) == [(0, 150), (50, 50)]
-    assert {r["rule"] for r in rules} == {"g <> 'y'", "g = 'y'"}
+    assert {r["rule"] for r in rules} == {"g IN ('x')", "g IN ('y')"}
     assert df.where(rules[0]["rule"]).count() == rules[0]["total"]
     assert {r["predicted"] for r in rules} == {0, 1}
+
+
+def test_tree_splits_a_category_into_sets(spark):
+    df = spark.range(4000).select(F.element_at(F.array(*[F.lit(x) for x in "abcdefgh"]), (F.col("id") % 8 + 1).cast("int")).alias("g"))
+    df = df.withColumn("e", F.col("g").isin("a", "c", "e", "g").cast("int"))
+    rules = [r["rule"] for r in tree.fit_tree(df, "e", max_depth=1).rules.orderBy("leaf").collect()]
+    assert rules == ["g IN ('b', 'd', 'f', 'h')", "g IN ('a', 'c', 'e', 'g')"]
+
+
+def test_tree_is_pruned_by_complexity(spark):
+    # Eight rows among the 2,000 of one level are turned round: two splits put them right, four rows each.
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "o'x").otherwise("y").alias("g"), F.col("id").alias("v"))
+    turned = F.col("v").between(1500, 1511) & (F.col("g") == "y")
+    df = df.withColumn("e", ((F.col("g") == "o'x") | turned).cast("int"))
+    whole, pruned = (tree.fit_tree(df, "e", cp=cp, max_bins=4000) for cp in (0.0, 0.01))
+    assert whole.rules.count() > pruned.rules.count() == 2
+    for fit in (whole, pruned):
+        leaves = fit.rules.collect()
+        assert sum(r["total"] for r in leaves) == 3000 and min(r["total"] for r in leaves) >= 7
+        assert [df.where(r["rule"]).count() for r in leaves] == [r["total"] for r in leaves]
+        table = fit.complexity.collect()
+        assert table[0]["splits"] == 0 and table[0]["rel_error"] == 1.0
+        assert [r["splits"] for r in table] == sorted({r["splits"] for r in table})
+        errors = [r["rel_error"] for r in table]
+        assert errors == sorted(errors, reverse=True)
+    wrong = sum(min(r["events"], r["total"] - r["events"]) for r in pruned.rules.collect())
+    root = df.agg(F.sum("e")).first()[0]
+    assert pruned.complexity.orderBy(F.desc("splits")).first()["rel_error"] == pytest.approx(wrong / min(root, 3000 - root))
+
+
+def test_tree_without_a_split(spark):
+    df = spark.range(15).select((F.col("id") % 2).alias("e"), F.col("id").alias("v"))
+    assert [r["rule"] for r in tree.fit_tree(df, "e").rules.collect()] == ["all rows"]
+    same = spark.range(100).select(F.lit(1).alias("e"), F.lit("k").alias("g"))
+    (leaf,) = tree.fit_tree(same, "e").rules.collect()
+    assert (leaf["rule"], leaf["predicted"], leaf["total"]) == ("all rows", 1, 100)
+    few = spark.range(18).select((F.col("id") >= 9).cast("int").alias("e"), F.col("id").alias("v"))
+    assert tree.fit_tree(few, "e").rules.count() == 1 and tree.fit_tree(few, "e", min_split=18).rules.count() == 2
+
+
+# --- odd inputs ------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("value", [5, "only", 2.5])
+def test_constant_features_give_the_constant_model(spark, value):
+    df = spark.range(300).select((F.col("id") % 3 == 0).cast("int").alias("e"), F.lit(value).alias("k"))
+    fit = model.fit_logit(df, formula="e ~ k")
+    assert fit.estimates[0] == pytest.approx(np.log(0.5)) and fit.names == ()
+    assert model.score(fit, df).agg(F.avg("probability")).first()[0] == pytest.approx(1 / 3)
+    ends = model.conf_int(fit, df=df, method="profile").first()
+    assert ends["low"] < np.log(0.5) < ends["high"]
+
+
+def test_profile_of_a_single_feature(data):
+    df, design, e = data
+    fit = model.fit_logit(df, formula="e ~ x1")
+    design = design[:, :2]
+    _, _, dev, _ = newton(design, e)
+    for k, r in enumerate(model.conf_int(fit, df=df, method="profile").collect()):
+        for end in (r["low"], r["high"]):
+            _, _, held, _ = newton(np.delete(design, k, axis=1), e, design[:, k] * end)
+            assert held - dev == pytest.approx(3.8414588, abs=1e-4)
+
+
+def test_levels_not_seen_in_training_score_null(data):
+    df, _, _ = data
+    fit = model.fit_logit(df, formula="e ~ x1 + g")
+    more = df.limit(4).withColumn("g", F.when(F.col("id") % 2 == 0, "new").otherwise(F.col("g")))
+    scored = model.score(fit, more)
+    assert scored.count() == 4 and scored.where("(g = 'new') <> (probability is null)").count() == 0
+
+
+def test_score_reads_its_input_once(spark, data, tmp_path):
+    df, _, _ = data
+    fit = model.fit_logit(df, formula="e ~ x1 + g")
+    df.write.parquet(str(tmp_path / "rows"))
+    plan = model.score(fit, spark.read.parquet(str(tmp_path / "rows")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Join" not in plan and "Union" not in plan
+
+
+def test_too_many_features_in_all(spark):
+    df = spark.range(5000).select(
+        (F.col("id") % 2).alias("e"), F.concat(F.lit("a"), F.col("id") % 2500).alias("g"), F.concat(F.lit("b"), F.col("id") % 2400).alias("h")
+    )
+    with pytest.raises(ValueError, match="features"):
+        model.fit_logit(df, "e")
+
+
+def test_backward_search_of_many_terms_has_no_cap(spark):
+    """46 terms, as wide as the widest study this was made for."""
+    noise = [F.sin(F.col("id") * float(3.7 + i)).alias(f"n{i}") for i in range(46)]
+    df = spark.range(300).select((F.sin(F.col("id") * 2.1) > 0.3).cast("int").alias("e"), *noise)
+    terms = [f"n{i}" for i in range(46)]
+    with pytest.raises(RuntimeError):
+        model.stepwise(df, "e", terms, max_fits=40)

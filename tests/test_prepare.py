@@ -101,7 +101,7 @@ def test_split_order_and_alignment(spark):
         (F.col("id") * 1.5).alias("x"), F.lit("t").alias("t"), (F.col("id") % 2).cast("int").alias("e"),
     )
     v = clean.split_variables(df, exclude=["e"])
-    assert v == (["few", "limit", "t"], ["id", "x"])
+    assert v == (["few", "limit", "t"], ["id", "x"], [])
     nulls = df.withColumn("limit", F.when(F.col("id") > 0, F.col("limit")))
     assert "limit" not in clean.split_variables(nulls.withColumn("limit", F.col("id") % 19), 19).categorical
     assert clean.order_columns(df, "e", v).columns == ["e", "few", "limit", "t", "id", "x"]
@@ -174,7 +174,6 @@ def test_summaries(spark):
     assert c == {"l0": 10, "l1": 10, "l2": 10, "(Other)": 70, None: 1}
     long = profile.summarise(df.select("v", "g"), top=3)
     assert long.where("var_name = 'v'").count() == 7 and long.where("item = 'missing' and value = 1").count() == 1
-    assert [tuple(r) for r in profile.structure(df).collect()][1] == (2, "v", "double")
 
 
 def test_correlation(spark):
@@ -221,3 +220,43 @@ def test_dummies_interaction_and_score(spark):
     assert column(features.weighted_score(df.withColumn("p", F.lit(1)), "p", "r"), "weighted") == [2.0, 3.0, 4.0]
     with pytest.raises(ValueError):
         X.threshold("r", [2, 1], ["a", "b", "c"])
+
+
+def test_summary_covers_every_column(spark):
+    df = spark.range(60).select(
+        "id", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 2).cast("int")).alias("day"),
+        F.when(F.col("id") > 9, F.encode(F.lit("b"), "utf-8")).alias("raw"), F.array(F.lit(1)).alias("list"),
+    )
+    got = profile.summarise(df)
+    assert {r["var_name"] for r in got.collect()} == {"id", "day", "raw", "list"}
+    days = {r["level"]: r["value"] for r in got.where("var_name = 'day'").collect()}
+    assert days == {"2020-01-01": 30.0, "2020-01-02": 30.0}
+    assert got.where("var_name = 'raw' and item = 'missing'").first()["value"] == 10.0
+
+
+def test_one_rounding_of_missing_shares(spark):
+    df = spark.range(200).select("id", F.when(F.col("id") >= 57, 1).alias("x"))
+    one = {r["var_name"]: r["missing_pct"] for r in profile.missing_shares(df).collect()}
+    assert one == {r["var_name"]: r["missing_pct"] for r in profile.quality_report(df).collect()} == {"id": 0.0, "x": 0.29}
+
+
+def test_distinct_texts_of_any_length(spark):
+    df = spark.createDataFrame([("a",), ("a",), ("x" * 200,), ("x" * 199 + "y",), (None,), ("",)], "t string")
+    assert profile.distinct_counts(df) == {"t": 4}
+
+
+def test_correlation_of_pairs_with_gaps(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3)) + 1e6
+    x[:, 1] += x[:, 0]
+    holes = rng.random((400, 3)) < 0.2
+    rows = [tuple(None if h else float(v) for v, h in zip(a, b)) for a, b in zip(x, holes)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").withColumn("k", F.lit(3))
+    got = {(r["var_1"], r["var_2"]): r["corr"] for r in profile.corr_matrix(df, ["a", "b", "c", "k"]).collect()}
+    assert len(got) == 16 and got[("k", "a")] is None and got[("k", "k")] == 1.0
+    for i, one in enumerate("abc"):
+        for j, two in enumerate("abc"):
+            both = ~holes[:, i] & ~holes[:, j]
+            assert got[(one, two)] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)

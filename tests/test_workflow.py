@@ -37,7 +37,7 @@ def test_study_from_raw_records(spark, raw):
         bad_values={"Kind": ["."]}, implausible={"Year": F.col("Year") < 1000}, sparse_cutoff=0.26,
     )
     assert done.dropped == ["Hour", "Note"]
-    assert done.variables == (["Kind", "Area"], ["Year", "Price"])
+    assert done.variables == (["Kind", "Area"], ["Year", "Price"], [])
     assert done.data.count() == 1188 and done.data.where("Year < 1000").count() == 0
     assert done.report.where("var_name = 'Hour'").first()["missing_pct"] > 0.5
 
@@ -63,3 +63,17 @@ def test_study_from_raw_records(spark, raw):
 
     picked = workflow.targets(found.test, "Price", "Case_Number")
     assert picked.count() == 70  # larger tiles come first, so tiles 9 and 10 hold 35 rows each
+
+
+def test_no_column_gets_lost(spark):
+    df = spark.range(200).select(
+        F.col("id").alias("key"), F.when(F.col("id") % 2 == 0, "Y").otherwise("N").alias("Outcome"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 30).cast("int")).alias("day"),
+        F.timestamp_seconds(F.col("id")).alias("at"), F.col("id").cast("string").cast("binary").alias("raw"),
+        (F.col("id") % 3 == 0).alias("flag"), (F.col("id") % 5).cast("string").alias("kind"), F.rand(1).alias("x"),
+        F.array("id").alias("list"),
+    )
+    done = workflow.prepare_records(df, "Outcome", "Y", "key")
+    assert done.variables == (["flag", "kind"], ["x"], ["day", "at", "raw", "list"])
+    assert set(done.data.columns) == {"key", "event", "day", "at", "raw", "flag", "kind", "x", "list"} and done.dropped == []
+    assert done.data.where("day is null or at is null or raw is null").count() == 0
