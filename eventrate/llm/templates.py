@@ -151,26 +151,26 @@ def contaminated(
     """
     met = materialise(matches(docs, items, settings, key, text, item_key, item_text, limits), "matches")
     own = [F.col("doc"), F.col("body")]
-    some = met.select("doc", "body").distinct()
+    some = materialise(met.select("doc", "body").distinct(), "matched")
+    few = some.count() <= limits.broadcast_rows
     hashed = docs.where(F.col(text).isNotNull()).select(
         F.col(key).alias("_doc"), F.xxhash64(text).alias("_body"), F.col(text).alias("_text")
     )
     same = F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_body") == F.col("body"))
-    texts = hashed.join(some, same, "left_semi").distinct().select(
+    texts = hashed.join(F.broadcast(some) if few else some, same, "left_semi").distinct().select(
         F.col("_doc"), F.col("_body"), template(F.col("_text")).alias("kinds"), raw_words(F.col("_text")).alias("raw")
     )
     item_words = items.select(
         F.col(item_key).alias("_item"), F.xxhash64(item_text).alias("_version"), raw_words(F.col(item_text)).alias("asked")
     ).distinct()
-    placed = met.join(texts, same).join(
-        item_words, F.col("_item").eqNullSafe(F.col("item")) & (F.col("_version") == F.col("version"))
-    )
-    slots = F.filter(
-        F.arrays_zip(*[
-            F.slice(c, F.col(start) + 1, F.col("width")).alias(n)
-            for c, start, n in (("kinds", "at", "kind"), ("raw", "at", "got"), ("asked", "item_at", "want"))
-        ]), lambda s: is_slot(s["kind"]),
+    # Only the window of each match goes on, not the words of the whole document.
+    got = met.join(texts, same).select(
+        *met.columns, *[F.slice(c, F.col("at") + 1, F.col("width")).alias(n) for c, n in (("kinds", "kind"), ("raw", "got"))]
     )
+    placed = got.join(
+        item_words, F.col("_item").eqNullSafe(F.col("item")) & (F.col("_version") == F.col("version"))
+    ).withColumn("want", F.slice("asked", F.col("item_at") + 1, F.col("width")))
+    slots = F.filter(F.arrays_zip("kind", "got", "want"), lambda s: is_slot(s["kind"]))
     occurrence = ["doc", "body", "item", "version", "shift"]
     shifted = placed.withColumn("shift", F.col("at") - F.col("item_at")).withColumn("slots", slots)
     pairs = shifted.select(*occurrence, F.explode("slots").alias("s")).distinct()
