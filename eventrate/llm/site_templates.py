@@ -71,6 +71,8 @@ def _is_main(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element may hold main text."""
     if tag in NEVER_MAIN or tag == "header" and not inside:
         return False
+    if any(a.partition("=")[0] == "hidden" for a in attributes.lower().split()):
+        return False
     if "=" not in attributes:
         return True
     for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -82,7 +84,7 @@ def _is_main(tag: str, attributes: str, inside: bool) -> bool:
                 return False
         if name in ("class", "id") and tag == "article" and "comment" in value:
             return False
-    return "hidden" not in attributes.split()
+    return True
 
 
 def parse(source: str) -> Page:
