@@ -95,6 +95,7 @@ def parse(source: str) -> Page:
     page = Page()
     # Open elements: tag, number (of the nearest element that may be a template), outside main text, article, hash.
     stack: list[tuple[str, int, bool, bool, xxhash.xxh64]] = [("", 0, False, False, xxhash.xxh64())]
+    open_tags: dict[str, int] = {}  # so that no tag has to look through a deep stack in vain
     words: list[str] = []
     at = 0
 
@@ -109,6 +110,7 @@ def parse(source: str) -> Page:
 
     def close() -> None:
         tag, number, _, _, digest = stack.pop()
+        open_tags[tag] -= 1
         value = digest.intdigest()
         parent = stack[-1]
         parent[4].update(f"\x01{tag}{value}".encode())
@@ -132,7 +134,7 @@ def parse(source: str) -> Page:
         if match.group(1):
             if tag in INLINE:
                 continue
-            if any(entry[0] == tag for entry in stack):
+            if open_tags.get(tag):
                 flush()
                 while stack[-1][0] != tag:
                     close()
@@ -152,10 +154,11 @@ def parse(source: str) -> Page:
         flush()
         if stack[-1][0] in CLOSED_BY_BLOCK:
             close()
-        for i in range(len(stack) - 1, 0, -1):
+        siblings = [t for t in SIBLINGS.get(tag, ()) if open_tags.get(t)]
+        for i in range(len(stack) - 1 if siblings else 0, 0, -1):
             if stack[i][0] in LISTS:
                 break
-            if stack[i][0] in SIBLINGS.get(tag, ()):
+            if stack[i][0] in siblings:
                 while len(stack) > i:
                     close()
                 break
@@ -169,6 +172,7 @@ def parse(source: str) -> Page:
             number = len(page.parents) - 1
         if not attributes.rstrip().endswith("/"):
             stack.append((tag, number, outside, inside, xxhash.xxh64(tag.encode())))
+            open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
     while len(stack) > 1:
         close()
