@@ -3,7 +3,8 @@
 Words become typed placeholders where they are parameters of a question: numbers, units after a number, and
 names.  A passage of a benchmark item, or the same passage with other parameters, then has the same
 template.  Windows of template words meet in a hash join, and the parameters of matched windows must map the
-item's values to the document's one to one.
+item's values to the document's one to one.  Windows of the words as written meet in the same join, so that a
+copy is found whatever its placeholders and its letter case.
 """
 
 from __future__ import annotations
@@ -42,6 +43,9 @@ MEASURED = rf"({NUMBER}\s?)(?i:{'|'.join(UNITS)})(?!{APART})"
 #: A capitalised word after another word, a comma or a semicolon; after a sentence end, a capital says nothing.
 NAMES = r"\p{Lu}(?<=[\p{L}\p{N},;]\s\p{Lu})\p{Ll}[\p{L}\p{M}]*"
 TEMPLATE_WORD = rf"{MARK}[NUP]|[\p{{L}}\p{{M}}]+"
+#: The two forms of a text that meet: its template, and its words as written.
+TEMPLATE, RAW = "template", "raw"
+FORMS = (TEMPLATE, RAW)
 RAW_WORD = rf"{DIGITS}|[\p{{L}}\p{{M}}]+"
 
 
@@ -50,13 +54,15 @@ class Settings:
     """Windows of ``window`` template words, of which ``literals`` or more are plain words.
 
     A document is contaminated by an item if windows with a consistent mapping cover ``percent`` of those
-    of the item.  An item of fewer words than a window is one window of its own; an item with fewer plain
-    words than ``literals`` cannot be told from chance and matches nothing.
+    of the item.  An item of fewer words than a window is one window of its own; an item with fewer words than
+    ``literals`` cannot be told from chance and matches nothing.  As written, windows need one word that is no
+    number, and of windows of numbers only a run of ``run`` equal words counts.
     """
 
     window: int = 8
     literals: int = 5
     percent: int = 40
+    run: int = 13
 
 
 def template(text: Column) -> Column:
@@ -72,84 +78,104 @@ def raw_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.replace(text, F.lit(MARK), F.lit(" "))), F.lit(f"({RAW_WORD})"))
 
 
+def words_of(text: Column, form: str) -> Column:
+    return raw_words(text) if form == RAW else template(text)
+
+
 def is_slot(word: Column) -> Column:
     return F.startswith(word, F.lit(MARK))
 
 
-def hashes(hashed: str, width: int) -> Column:
-    """Hash of every window of ``width`` hashed words; none if there are fewer words.
+def hashes(forms: list[str], width: int) -> Column:
+    """Hashes of every window of ``width`` hashed words, each once for the ``forms``; none if there are fewer words.
 
     Words are taken one by one: in a lambda, a slice would copy the whole array for each window.
     """
-    starts = F.when(F.size(hashed) >= width, F.sequence(F.lit(0), F.size(hashed) - width)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda i: F.xxhash64(*[F.get(hashed, i + k) for k in range(width)]))
+    size = F.size(forms[0])
+    starts = F.when(size >= width, F.sequence(F.lit(0), size - width)).otherwise(F.array().cast("array<int>"))
+
+    def one(hashed: str, i: Column) -> Column:
+        return F.xxhash64(*[F.get(hashed, i + k) for k in range(width)])
+
+    return F.transform(starts, lambda i: F.array_distinct(F.array(*[one(f, i) for f in forms])))
 
 
 def hashed_words(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def item_windows(items: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
-    """Windows of the items: ``item``, ``version``, ``item_at``, ``hash``, ``width``, ``total``.
+def item_windows(items: DataFrame, key: str, text: str, settings: Settings, forms: tuple[str, ...]) -> DataFrame:
+    """Windows of the items: ``item``, ``version``, ``form``, ``item_at``, ``hash``, ``width``, ``counts``, ``total``.
 
-    Only windows with enough plain words are judged; ``total`` counts those of the item.
+    Only windows that can be told from chance count in the share; ``total`` is their number in the item.
     """
-    words = items.select(
-        F.col(key).alias("item"), F.xxhash64(text).alias("version"), template(F.col(text)).alias("words")
-    ).where(F.size("words") >= settings.literals).distinct().withColumn("hashed", hashed_words(F.col("words")))
-    short = F.size("words") < settings.window
     parts = []
-    for width in range(settings.literals, settings.window + 1):
-        fitting = words.where(~short if width == settings.window else F.size("words") == width)
-        placed = fitting.withColumn("all", hashes("hashed", width))
-        parts.append(placed.select(
-            "item", "version", "words", F.lit(width).alias("width"), F.posexplode("all").alias("item_at", "hash"),
-        ))
+    for form in forms:
+        words = items.select(
+            F.col(key).alias("item"), F.xxhash64(text).alias("version"), F.lit(form).alias("form"),
+            words_of(F.col(text), form).alias("words"),
+        ).where(F.size("words") >= settings.literals).distinct().withColumn("hashed", hashed_words(F.col("words")))
+        short = F.size("words") < settings.window
+        for width in range(settings.literals, settings.window + 1):
+            fitting = words.where(~short if width == settings.window else F.size("words") == width)
+            placed = fitting.withColumn("all", hashes(["hashed"], width))
+            parts.append(placed.select(
+                "item", "version", "form", "words", F.lit(width).alias("width"), F.posexplode("all").alias("item_at", "_all"),
+            ))
     joined = parts[0]
     for part in parts[1:]:
         joined = joined.unionByName(part)
-    plain = F.size(F.filter(F.slice("words", F.col("item_at") + 1, F.col("width")), lambda w: ~is_slot(w)))
-    judged = joined.where(plain >= settings.literals).drop("words")
-    return judged.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("item", "version")))
+    own = F.slice("words", F.col("item_at") + 1, F.col("width"))
+    plain = F.size(F.filter(own, lambda w: ~is_slot(w))) >= settings.literals
+    written = F.exists(own, lambda w: ~w.rlike(r"^\p{N}"))
+    judged = joined.withColumn("counts", F.when(F.col("form") == RAW, written).otherwise(plain))
+    judged = judged.where((F.col("form") == RAW) | F.col("counts")).select(
+        "item", "version", "form", "item_at", F.get("_all", F.lit(0)).alias("hash"), "width", "counts"
+    )
+    return judged.withColumn("total", F.count_if("counts").over(Window.partitionBy("item", "version", "form")))
 
 
 def matches(
     docs: DataFrame, items: DataFrame, settings: Settings, key: str, text: str, item_key: str, item_text: str,
-    limits: Limits,
+    limits: Limits, forms: tuple[str, ...],
 ) -> DataFrame:
-    """Windows of documents that have the template of an item's window."""
-    found = materialise(item_windows(items, item_key, item_text, settings), "item-windows")
+    """Windows of documents that have the words of an item's window in one of the ``forms``."""
+    found = materialise(item_windows(items, item_key, item_text, settings, forms), "item-windows")
     seen = found.groupBy("width").count().collect()  # one row per width
     small = sum(n for _, n in seen) <= limits.broadcast_rows
+    names = [f"_{form}" for form in forms]
     words = docs.where(F.col(text).isNotNull()).select(
-        F.col(key).alias("doc"), F.xxhash64(text).alias("body"), hashed_words(template(F.col(text))).alias("hashed")
+        F.col(key).alias("doc"), F.xxhash64(text).alias("body"),
+        *[hashed_words(words_of(F.col(text), form)).alias(n) for form, n in zip(forms, names)],
     )
     widths = [width for width, _ in seen] or [settings.window]
+    # A window without placeholders is the same in every form and goes into the join once.
     every = [
-        words.select("doc", "body", F.lit(width).alias("width"), F.posexplode(hashes("hashed", width)).alias("at", "hash"))
+        words.select("doc", "body", F.lit(width).alias("width"), F.posexplode(hashes(names, width)).alias("at", "_all"))
         for width in widths
     ]
     joined = every[0]
     for part in every[1:]:
         joined = joined.unionByName(part)
+    joined = joined.select("doc", "body", "width", "at", F.explode("_all").alias("hash"))
     met = joined.join(F.broadcast(found) if small else found, ["hash", "width"])
-    return met.select("doc", "body", "item", "version", "at", "item_at", "width", "total")
+    return met.select("doc", "body", "item", "version", "form", "at", "item_at", "width", "counts", "total")
 
 
 def contaminated(
     docs: DataFrame, items: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text",
-    item_key: str = "item_id", item_text: str = "text", limits: Limits = LIMITS,
+    item_key: str = "item_id", item_text: str = "text", limits: Limits = LIMITS, forms: tuple[str, ...] = (TEMPLATE,),
 ) -> DataFrame:
     """Contaminated documents: ``doc``, ``body`` (hash of the text), ``item``, ``percent`` covered, ``verbatim``.
 
+    Each of the ``forms`` is judged on its own and the best one stands; ``judge_documents`` takes all ``FORMS``.
+
     Matched windows of one document and item that have the same distance are one occurrence.  Its
     parameters must map one to one between item and document, else the occurrence does not count.  It is
     verbatim if all parameters are equal.  NULL and empty texts are clean; repeated rows are judged alike; empty
     tables give no rows; other columns are not read.
     """
-    met = materialise(matches(docs, items, settings, key, text, item_key, item_text, limits), "matches")
+    met = materialise(matches(docs, items, settings, key, text, item_key, item_text, limits, forms), "matches")
     own = [F.col("doc"), F.col("body")]
     some = materialise(met.select("doc", "body").distinct(), "matched")
     few = some.count() <= limits.broadcast_rows
@@ -158,20 +184,21 @@ def contaminated(
     )
     same = F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_body") == F.col("body"))
     texts = hashed.join(F.broadcast(some) if few else some, same, "left_semi").distinct().select(
-        F.col("_doc"), F.col("_body"), template(F.col("_text")).alias("kinds"), raw_words(F.col("_text")).alias("raw")
+        F.col("_doc"), F.col("_body"), *[words_of(F.col("_text"), form).alias(f"_{form}") for form in forms], raw_words(F.col("_text")).alias("raw")
     )
+    kinds = F.coalesce(*[F.when(F.col("form") == form, F.col(f"_{form}")) for form in forms])
     item_words = items.select(
         F.col(item_key).alias("_item"), F.xxhash64(item_text).alias("_version"), raw_words(F.col(item_text)).alias("asked")
     ).distinct()
     # Only the window of each match goes on, not the words of the whole document.
     got = met.join(texts, same).select(
-        *met.columns, *[F.slice(c, F.col("at") + 1, F.col("width")).alias(n) for c, n in (("kinds", "kind"), ("raw", "got"))]
+        *met.columns, *[F.slice(c, F.col("at") + 1, F.col("width")).alias(n) for c, n in ((kinds, "kind"), ("raw", "got"))]
     )
     placed = got.join(
         item_words, F.col("_item").eqNullSafe(F.col("item")) & (F.col("_version") == F.col("version"))
     ).withColumn("want", F.slice("asked", F.col("item_at") + 1, F.col("width")))
     slots = F.filter(F.arrays_zip("kind", "got", "want"), lambda s: is_slot(s["kind"]))
-    occurrence = ["doc", "body", "item", "version", "shift"]
+    occurrence = ["doc", "body", "item", "version", "form", "shift"]
     shifted = placed.withColumn("shift", F.col("at") - F.col("item_at")).withColumn("slots", slots)
     pairs = shifted.select(*occurrence, F.explode("slots").alias("s")).distinct()
     maps = pairs.groupBy(*occurrence).agg(
@@ -185,12 +212,22 @@ def contaminated(
         same_value = windows[c].eqNullSafe(maps[c])
         on = same_value if on is None else on & same_value
     judged = windows.join(maps, on, "left").select(
-        *[windows[c] for c in occurrence], "item_at", "total", F.coalesce("_equal", F.lit(True)).alias("_equal"),
+        *[windows[c] for c in occurrence], "item_at", "width", "counts", "total", F.coalesce("_equal", F.lit(True)).alias("_equal"),
         F.coalesce((F.col("_pairs") == F.col("_wants")) & (F.col("_pairs") == F.col("_gots")), F.lit(True)).alias("_fits"),
     ).where("_fits")
-    covered = judged.groupBy(*own, "item", "version").agg(
-        (F.countDistinct("item_at") * 100 / F.max("total")).alias("percent"), F.bool_and("_equal").alias("verbatim")
-    ).where(F.col("percent") >= settings.percent)
+    # Longest run of consecutive windows in one occurrence, in words.
+    judged = judged.distinct()
+    step = F.col("item_at") - F.row_number().over(Window.partitionBy(*occurrence).orderBy("item_at"))
+    runs = judged.withColumn("step", step).groupBy(*occurrence, "step").agg(
+        (F.count(F.lit(1)) + F.max("width") - 1).alias("words"), F.max("total").alias("total"),
+        F.collect_set(F.when(F.col("counts"), F.col("item_at"))).alias("places"), F.bool_and("_equal").alias("_equal"),
+    )
+    covered = runs.groupBy(*own, "item", "version", "form").agg(
+        F.max("words").alias("words"), F.max("total").alias("total"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.bool_and("_equal").alias("verbatim"),
+    ).withColumn("percent", F.coalesce(F.col("covered") * 100 / F.nullif("total", F.lit(0)), F.lit(0.0)))
+    whole = (F.col("covered") > 0) & (F.col("percent") >= settings.percent)
+    covered = covered.where(whole | (F.col("form") == RAW) & (F.col("words") >= settings.run))
     return covered.groupBy(*own, "item").agg(F.max("percent").alias("percent"), F.bool_or("verbatim").alias("verbatim"))
 
 
@@ -202,7 +239,7 @@ def judge_documents(
 
     Columns of the input with these names are replaced.
     """
-    found = contaminated(docs, items, settings, key, text, item_key, item_text, limits)
+    found = contaminated(docs, items, settings, key, text, item_key, item_text, limits, FORMS)
     listed = materialise(found.groupBy("doc", "body").agg(
         F.array_sort(F.collect_list(F.struct("item", "percent", "verbatim"))).alias("_items")
     ), "contaminated")
