@@ -54,9 +54,9 @@ class Settings:
     """Windows of ``window`` template words, of which ``literals`` or more are plain words.
 
     A document is contaminated by an item if windows with a consistent mapping cover ``percent`` of those
-    of the item.  An item of fewer words than a window is one window of its own; an item with fewer words than
+    of the item, or if ``run`` or more running words of it do in one place, whatever their share.  An item of fewer words than a window is one window of its own; an item with fewer words than
     ``literals`` cannot be told from chance and matches nothing.  As written, windows need one word that is no
-    number, and of windows of numbers only a run of ``run`` equal words counts.
+    number to count in the share.
     """
 
     window: int = 8
@@ -227,7 +227,7 @@ def contaminated(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.bool_and("_equal").alias("verbatim"),
     ).withColumn("percent", F.coalesce(F.col("covered") * 100 / F.nullif("total", F.lit(0)), F.lit(0.0)))
     whole = (F.col("covered") > 0) & (F.col("percent") >= settings.percent)
-    covered = covered.where(whole | (F.col("form") == RAW) & (F.col("words") >= settings.run))
+    covered = covered.where(whole | (F.col("words") >= settings.run))
     return covered.groupBy(*own, "item").agg(F.max("percent").alias("percent"), F.bool_or("verbatim").alias("verbatim"))
 
 

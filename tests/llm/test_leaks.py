@@ -20,3 +20,15 @@ def test_copies_are_found_whatever_their_words(spark):
     got = leaks(spark, docs, [(70, ITEM), (71, TITLE), (72, NUMBERS)])
     assert set(got) == {(1, 70), (2, 70), (3, 71), (4, 71), (5, 72)}
     assert got[(1, 70)] == got[(2, 70)] == got[(3, 71)] == (100.0, True) and got[(5, 72)] == (0.0, True)
+
+
+def test_long_runs_are_found_whatever_their_share(spark):
+    item = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)) + f" {ITEM}"
+    words = item.split(" ")
+    docs = [
+        (1, " ".join(words[50:150])), (2, " ".join(words[50:63])), (3, " ".join(words[50:62])),
+        (4, "if Peter boards in Denver and pays 22 dollars, how many km does Peter travel in 5 hours"),
+    ]
+    got = leaks(spark, docs, [(70, item)])
+    assert set(got) == {(1, 70), (2, 70), (4, 70)} and got[(1, 70)][1] and not got[(4, 70)][1]
+    assert all(percent < 40 for percent, _ in got.values())
