@@ -42,10 +42,12 @@ NUMBERS = rf"{DIGITS}|(?<!{APART})(?i:{'|'.join(NUMBER_WORDS)})(?!{APART})"
 MEASURED = rf"({NUMBER}\s?)(?i:{'|'.join(UNITS)})(?!{APART})"
 #: A capitalised word after another word, a comma or a semicolon; after a sentence end, a capital says nothing.
 NAMES = r"\p{Lu}(?<=[\p{L}\p{N},;]\s\p{Lu})\p{Ll}[\p{L}\p{M}]*"
+#: Every capitalised word, at the start of a sentence too; the one-to-one mapping tells names from chance.
+STARTS = r"(?<![\p{L}\p{M}\p{N}])\p{Lu}\p{Ll}[\p{L}\p{M}]*"
 TEMPLATE_WORD = rf"{MARK}[NUP]|[\p{{L}}\p{{M}}]+"
-#: The two forms of a text that meet: its template, and its words as written.
-TEMPLATE, RAW = "template", "raw"
-FORMS = (TEMPLATE, RAW)
+#: The forms of a text that meet: its template, that with names at sentence starts, and its words as written.
+TEMPLATE, STARTED, RAW = "template", "started", "raw"
+FORMS = (TEMPLATE, STARTED, RAW)
 RAW_WORD = rf"{DIGITS}|[\p{{L}}\p{{M}}]+"
 
 
@@ -65,9 +67,9 @@ class Settings:
     run: int = 13
 
 
-def template(text: Column) -> Column:
+def template(text: Column, names: str = NAMES) -> Column:
     """Template words of a text: lower-cased words and typed placeholders."""
-    body = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), NAMES, NAME)
+    body = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), names, NAME)
     body = F.regexp_replace(body, NUMBERS, NUMBER)
     body = F.regexp_replace(body, MEASURED, f"$1 {UNIT}")
     return F.regexp_extract_all(F.lower(body), F.lit(f"({TEMPLATE_WORD.replace('NUP', 'nup')})"))
@@ -79,7 +81,7 @@ def raw_words(text: Column) -> Column:
 
 
 def words_of(text: Column, form: str) -> Column:
-    return raw_words(text) if form == RAW else template(text)
+    return raw_words(text) if form == RAW else template(text, STARTS if form == STARTED else NAMES)
 
 
 def is_slot(word: Column) -> Column:

@@ -32,3 +32,13 @@ def test_long_runs_are_found_whatever_their_share(spark):
     got = leaks(spark, docs, [(70, item)])
     assert set(got) == {(1, 70), (2, 70), (4, 70)} and got[(1, 70)][1] and not got[(4, 70)][1]
     assert all(percent < 40 for percent, _ in got.values())
+
+
+def test_names_at_sentence_starts_are_parameters(spark):
+    asked = "{0} has {1} red apples in a bag. {0} buys {2} more apples at the shop. {0} gives {3} apples away. How many apples does {0} have now?"
+    item = asked.format("Tom", 3, 5, 2)
+    mixed = item.replace("Tom buys", "Anna buys").replace("Tom gives", "Eva gives")
+    docs = [(1, asked.format("Anna", 4, 7, 6)), (2, item), (3, mixed)]
+    got = leaks(spark, docs, [(70, item)])
+    assert {(1, 70), (2, 70)} <= set(got)
+    assert got[(1, 70)] == (100.0, False) and got[(2, 70)] == (100.0, True) and (3, 70) not in got
