@@ -36,7 +36,7 @@ NEVER_MAIN = frozenset("head nav footer aside form button select menu dialog fie
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr figcaption".split())
 WHOLE = frozenset("html body main article".split())
-#: Words of class and id attributes that name what is not the article.
+#: Class and id tokens that name what is not the article.
 NOT_MAIN_WORDS = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer foot copyright sidebar aside "
     "widget widgets ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner "
@@ -48,7 +48,12 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?:/[^>]*>)?", re.S
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-CLASS_WORD = re.compile(r"[A-Za-z]+")
+#: What may stand before and behind such a name in one token, as in site-header or cookie-box.
+BEFORE = frozenset("site main primary secondary top bottom global".split())
+BEHIND = frozenset("bar body block box button buttons item links link list area section text".split())
+TOKEN_PART = re.compile(r"[^a-z]+")
+#: In an article its own header may be named so, as the tag is.
+OWN_HEADER = frozenset("header masthead".split())
 
 
 @dataclass(frozen=True)
@@ -79,22 +84,45 @@ def _is_main(tag: str, attributes: str, inside: bool) -> bool:
         name, value = name.lower(), (a or b or c).lower()
         if name == "role" and value in ROLES or name == "aria-hidden" and value == "true":
             return False
-        if name in ("class", "id") and tag not in WHOLE and tag not in INLINE:
-            if any(w in NOT_MAIN_WORDS for w in CLASS_WORD.findall(value)):
-                return False
-        if name in ("class", "id") and tag == "article" and "comment" in value:
-            return False
     return True
 
 
+def _names_other(token: str) -> bool:
+    """Whether a class or id token is as a whole the name of something beside the article."""
+    if token in NOT_MAIN_WORDS:
+        return True
+    parts = [x for x in TOKEN_PART.split(token) if x]
+    named = [x in NOT_MAIN_WORDS for x in parts]
+    return any(named) and (named[0] or parts[0] in BEFORE) and all(
+        n or x in BEHIND for n, x in zip(named[1:], parts[1:])
+    )
+
+
+def _named_apart(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether a class or id names the element as something beside the article."""
+    if "=" not in attributes or tag in INLINE or tag in WHOLE and tag != "article":
+        return False
+    tokens = [
+        token for name, a, b, c in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id")
+        for token in (a or b or c).lower().split()
+    ]
+    if tag == "article":
+        return any(t in ("comment", "comments", "comment-body") for t in tokens)
+    return any(_names_other(t) and not (inside and t in OWN_HEADER) for t in tokens)
+
+
 def parse(source: str) -> Page:
     """Read a page in one pass; never fails, whatever the markup.
 
     Unclosed elements end with their parent, end tags without start are skipped, a cut-off tag is markup.
     """
     page = Page()
-    # Open elements: tag, number (of the nearest element that may be a template), outside main text, article, hash.
-    stack: list[tuple[str, int, bool, bool, xxhash.xxh64]] = [("", 0, False, False, xxhash.xxh64())]
+    # Open elements: tag, number (of the nearest element that may be a template), outside main text, article, hash,
+    # nearest element named apart (0 is none).
+    stack: list[tuple[str, int, bool, bool, xxhash.xxh64, int]] = [("", 0, False, False, xxhash.xxh64(), 0)]
+    above = [0]  # of each element named apart the next one around it
+    holds = [True]  # an article, so that its name is that of a wrapper
+    owners: list[int] = []  # of each block the nearest element named apart
     open_tags: dict[str, int] = {}  # so that no tag has to look through a deep stack in vain
     words: list[str] = []
     at = 0
@@ -103,13 +131,14 @@ def parse(source: str) -> Page:
         text = " ".join(html.unescape("".join(words)).split())
         words.clear()
         if text:
-            _, number, outside, inside, digest = stack[-1]
+            _, number, outside, inside, digest, apart = stack[-1]
             digest.update(b"\x00" + text.encode("utf-8", "replace"))
             if not outside:
                 page.blocks.append((text, number, inside))
+                owners.append(apart)
 
     def close() -> None:
-        tag, number, _, _, digest = stack.pop()
+        tag, number, _, _, digest, _ = stack.pop()
         open_tags[tag] -= 1
         value = digest.intdigest()
         parent = stack[-1]
@@ -162,20 +191,33 @@ def parse(source: str) -> Page:
                 while len(stack) > i:
                     close()
                 break
-        _, number, outside, inside, _ = stack[-1]
+        _, number, outside, inside, _, apart = stack[-1]
         if not outside and not _is_main(tag, attributes, inside):
             outside = True
+        if not outside and _named_apart(tag, attributes, inside):
+            above.append(apart)
+            holds.append(False)
+            apart = len(above) - 1
+        elif not outside and not inside and tag in ("article", "main"):
+            around = apart
+            while not holds[around]:
+                holds[around] = True
+                around = above[around]
         inside = inside or tag in ("article", "main")
         if not outside and tag not in WHOLE and not (inside and tag in PROSE):
             page.parents.append(number)
             page.hashes.append(0)
             number = len(page.parents) - 1
         if not attributes.rstrip().endswith("/"):
-            stack.append((tag, number, outside, inside, xxhash.xxh64(tag.encode())))
+            stack.append((tag, number, outside, inside, xxhash.xxh64(tag.encode()), apart))
             open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
     while len(stack) > 1:
         close()
+    kept = [True]
+    for i in range(1, len(above)):
+        kept.append(holds[i] and kept[above[i]])
+    page.blocks = [block for block, owner in zip(page.blocks, owners) if kept[owner]]
     return page
 
 
