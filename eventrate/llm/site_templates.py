@@ -1,8 +1,8 @@
 """Main text of web pages: markup roles first, then removal of what a site repeats.
 
 A page is read into elements and blocks of text.  Elements that are no article by their tag, role or class fall
-away.  The subtrees that are left are hashed and counted per host in Spark; one that recurs on many pages of
-a host, next to different main texts, is a template of the site and is deleted with all it holds.
+away.  The subtrees that are left are hashed and counted per host in Spark; one that recurs on a good share of
+the pages of a host, next to different main texts, is a template of the site and is deleted with all it holds.
 """
 
 from __future__ import annotations
@@ -58,9 +58,15 @@ OWN_HEADER = frozenset("header masthead".split())
 
 @dataclass(frozen=True)
 class Settings:
-    """A subtree is a template if it is on ``pages`` or more pages of a host with so many different main texts."""
+    """A subtree is a template if it is on ``percent`` of the pages of a host, and on ``pages`` or more.
 
-    pages: int = 10
+    Pages with one main text count once.  A single paragraph, heading or list item may be text that pages share,
+    and has to be on ``prose_percent`` of them unless it lies in a template.
+    """
+
+    pages: int = 3
+    percent: int = 30
+    prose_percent: int = 80
 
 
 @dataclass
@@ -69,6 +75,7 @@ class Page:
 
     parents: list[int] = field(default_factory=lambda: [-1])
     hashes: list[int] = field(default_factory=lambda: [0])
+    prose: list[bool] = field(default_factory=lambda: [False])
     blocks: list[tuple[str, int, bool]] = field(default_factory=list)  # text, element, inside the article
 
 
@@ -207,6 +214,7 @@ def parse(source: str) -> Page:
         if not outside and tag not in WHOLE and not (inside and tag in PROSE):
             page.parents.append(number)
             page.hashes.append(0)
+            page.prose.append(tag in PROSE)
             number = len(page.parents) - 1
         if not attributes.rstrip().endswith("/"):
             stack.append((tag, number, outside, inside, xxhash.xxh64(tag.encode()), apart))
@@ -241,23 +249,26 @@ def _read(column: pa.Array) -> Iterator[Page]:
         yield parse((source or b"").decode("utf-8", "replace"))
 
 
-def page_templates(pages: DataFrame, settings: Settings, key: str, url: str, source: str) -> DataFrame:
+def page_templates(
+    pages: DataFrame, settings: Settings, key: str, url: str, source: str, limits: Limits = LIMITS,
+) -> DataFrame:
     """``key``, ``sign`` (hash of the page) and the ``templates`` (hashes) on every page that has some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, hashes, texts = [], [], []
+            rows, hashes, prose, texts = [], [], [], []
             for i, page in enumerate(_read(batch.column(3))):
-                own = sorted(set(page.hashes[1:]))
-                if own:
-                    main = xxhash.xxh64_intdigest("\n".join(main_blocks(page)).encode("utf-8", "replace")) - (1 << 63)
-                    rows += [i] * len(own)
-                    hashes += own
-                    texts += [main] * len(own)
+                # The row without a hash counts the page itself.
+                own = [(None, False), *sorted(set(zip(page.hashes[1:], page.prose[1:])))]
+                main = xxhash.xxh64_intdigest("\n".join(main_blocks(page)).encode("utf-8", "replace")) - (1 << 63)
+                rows += [i] * len(own)
+                hashes += [x for x, _ in own]
+                prose += [x for _, x in own]
+                texts += [main] * len(own)
             taken = batch.select([0, 1, 2]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array(hashes, pa.int64()), pa.array(texts, pa.int64())],
-                ["key", "sign", "host", "hash", "main"],
+                [*taken.columns, pa.array(hashes, pa.int64()), pa.array(prose, pa.bool_()), pa.array(texts, pa.int64())],
+                ["key", "sign", "host", "hash", "prose", "main"],
             )
 
     kind = pages.select(key).dtypes[0][1]
@@ -265,12 +276,20 @@ def page_templates(pages: DataFrame, settings: Settings, key: str, url: str, sou
         F.col(key).alias("key"), F.xxhash64(url, source).alias("sign"), host(F.col(url)).alias("host"), source
     )
     found = materialise(
-        read.mapInArrow(run, f"key {kind}, sign bigint, host string, hash bigint, main bigint"), "subtrees"
+        read.mapInArrow(run, f"key {kind}, sign bigint, host string, hash bigint, prose boolean, main bigint"), "subtrees"
     )
     # Pages with one main text count once: a copied page makes no template.
-    different = found.select("host", "hash", "main").distinct()
-    counted = different.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("_pages"))
-    templates = counted.where(F.col("_pages") >= settings.pages).select("host", "hash")
+    different = found.select("host", "hash", "prose", "main").distinct()
+    counted = materialise(
+        different.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("_pages"), F.bool_and("prose").alias("_prose"))
+        .where(F.col("_pages") >= settings.pages), "recurring",
+    )
+    hosts = counted.where("hash is null").select("host", F.col("_pages").alias("_host_pages"))
+    hosts = F.broadcast(hosts) if hosts.count() <= limits.broadcast_rows else hosts
+    needed = F.when(F.col("_prose"), settings.prose_percent).otherwise(settings.percent)
+    templates = counted.where("hash is not null").join(hosts, "host").where(
+        F.col("_pages") * 100 >= F.col("_host_pages") * needed
+    ).select("host", "hash")
     return found.join(templates, ["host", "hash"]).groupBy("key", "sign").agg(F.collect_set("hash").alias("templates"))
 
 
@@ -284,7 +303,7 @@ def extract(
     empty pages and pages without main text give the empty text.  Repeated rows are each returned; for the
     count they have one main text.  An empty table gives no rows; other columns are not read.
     """
-    listed = materialise(page_templates(pages, settings, key, url, source), "page-templates")
+    listed = materialise(page_templates(pages, settings, key, url, source, limits), "page-templates")
     seen = listed.agg(F.count(F.lit(1)), F.sum(F.size("templates") * 8 + 32)).first()
     small = seen[0] <= limits.broadcast_rows and (seen[1] or 0) <= limits.broadcast_bytes
     listed = listed.select(F.col("key").alias("_key"), F.col("sign").alias("_sign"), "templates")
