@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark, as it is or with other parameters, go."""
-    found = templates.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = templates.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), forms=templates.FORMS)
     marked = docs.withColumn("_text_hash", F.xxhash64("text"))
     gone = found.select(F.col("doc").alias("doc_id"), F.col("body").alias("_text_hash"))
     return without(marked, gone).select(*docs.columns)
