@@ -13,12 +13,15 @@ from eventrate.llm import (
     ecoc,
     fuzzy_lines,
     mtree,
+    phrases,
     pieces,
     rendezvous,
+    resampling,
     site_templates,
     superminhash,
     templates,
     token_files,
+    turns,
     warc,
 )
 from eventrate.llm.shipping import ship
@@ -126,3 +129,33 @@ def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return site_templates.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_auction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after damage: their faults, the cheapest repair and its digest."""
+    original = table(spark, sf_dir, "conversations")
+    found = turns.summarise(turns.repair(turns.damage(original)))
+    ids = original.select("conv_id").distinct()
+    joined = ids.join(found.withColumnRenamed("conv_id", "own"), F.col("conv_id").eqNullSafe(F.col("own")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return joined.select(
+        "conv_id", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+@query
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed towards the benchmark, a tenth of those of 20 words drawn."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op13_resampling"] = resampling.sql()
+
+
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 20 words that occurred before."""
+    done = phrases.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
