@@ -200,6 +200,7 @@ def bucket_counts(docs: DataFrame, settings: Settings) -> DataFrame:
 def bucket_gains(raw: DataFrame, target: DataFrame, settings: Settings) -> DataFrame:
     """``bucket`` and ``gain`` in thousandths of a nat, for all buckets."""
     buckets = float(settings.buckets)
+    raw, target = materialise(raw, "counts"), materialise(target, "counts")
     every = raw.sparkSession.range(settings.buckets).withColumnRenamed("id", "bucket")
     sides = every.join(raw.withColumnRenamed("n", "s"), "bucket", "left").join(
         target.withColumnRenamed("n", "t"), "bucket", "left"
