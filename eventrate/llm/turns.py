@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE = 64  # turns solved as one lattice
+PIECE = 16  # turns solved as one lattice
 CACHED = 50_000  # lattices whose solution a worker remembers
 ROWS_OUT = 10_000
 KEEP, REROLE, DELETE, INSERT = "KRDI"
@@ -72,6 +72,12 @@ def cheapest(signs: str, entry: int, ends: tuple[int, ...], last: bool) -> tuple
     none, ``t`` truncated, ``x`` must go).  None if there is no such path.
     """
     size = len(signs) // 2
+    turns = [signs[i:i + 2] for i in range(0, len(signs), 2)]
+    # Nothing leads back to the start, and to the system's turn only one that is kept in front.
+    system = SYSTEM if entry == SYSTEM or entry == START and ("s-" in turns or "st" in turns) else None
+    ends = tuple(r for r in ends if r in (entry, system, USER, ASSISTANT))
+    if not ends:
+        return None
     goals = {4 * size + role for role in ends}
     arcs = _arcs(signs, last)
     # Every path pays at least this much behind a node: prices that fit all arcs and spare the auction many rises.
