@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,7 +63,19 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once everything made from them is stored itself."""
+    for table in tables:
+        path = getattr(table, "_stored_at", None)
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fits_broadcast(df: DataFrame, limits: Limits = LIMITS) -> bool:
@@ -70,3 +84,24 @@ def fits_broadcast(df: DataFrame, limits: Limits = LIMITS) -> bool:
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text), F.lit(0))
     seen = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
     return seen["rows"] <= limits.broadcast_rows and seen["bytes"] <= limits.broadcast_bytes
+
+
+_sent: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which may not have it on their path; once a session."""
+    sc = spark.sparkContext
+    if sc.applicationId in _sent:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    # Read from here by the driver only; Spark serves it to the executors.
+    path = os.path.join(tempfile.mkdtemp(), "eventrate_operators.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(path)
+    _sent.add(sc.applicationId)
