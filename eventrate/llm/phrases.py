@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 
 from eventrate.llm.flat import U64, mix, slices, starts_of
 from eventrate.llm.superminhash import BASE, BASE_INVERSE, BLANK, GOLDEN, powers
-from eventrate.runtime import LIMITS, Limits, materialise
+from eventrate.runtime import LIMITS, Limits, discard, materialise
 
 BATCH_BYTES = 1 << 20
 SHARD_BYTES = 16 << 20  # segment texts of a task, about
 AUTOMATON_WORDS = 400_000  # words of the segments behind one automaton
+WORDS_A_LETTER = 5
+SIGNS, BETWEEN = 3, "\0\0\0"  # characters of a letter, and what stands between phases
 BYTE_HASH = mix(np.arange(256, dtype=np.uint64) + GOLDEN)
 ID = "coalesce({}, -9223372036854775808L)"
 
@@ -126,7 +129,7 @@ def _small(df: DataFrame, limits: Limits) -> DataFrame:
 
 
 def recurring_segments(docs: DataFrame, settings: Settings, limits: Limits = LIMITS) -> DataFrame:
-    """Segments whose anchor recurs: ``shard`` key, ``id``, ``hash``, ``start`` and the ``words`` in a row."""
+    """Segments whose anchor recurs, stored: ``shard`` key, ``id``, ``hash``, ``start`` and the ``words`` in a row."""
     seen = materialise(anchors(docs, settings), "anchors")
     twice = materialise(seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "recurring")
     hits = seen.join(_small(twice, limits), "anchor").groupBy("id", "hash").agg(
@@ -162,15 +165,18 @@ def recurring_segments(docs: DataFrame, settings: Settings, limits: Limits = LIM
                     ["shard", "id", "hash", "start", "words"],
                 )
 
-    return found.select("id", "hash", "text", "hits").mapInArrow(
+    cut = found.select("id", "hash", "text", "hits").mapInArrow(
         run, "shard bigint, id bigint, hash bigint, start bigint, words string"
     )
+    stored = materialise(cut, "segments")
+    discard(seen, twice)
+    return stored
 
 
 # --- automata --------------------------------------------------------------------------
 
 
-class _Characters(dict):
+class _Words(dict):
     """A character for each word, surrogates left out."""
 
     def __missing__(self, word: str) -> str:
@@ -179,39 +185,70 @@ class _Characters(dict):
         return letter
 
 
+class _Letters(dict):
+    """Three characters for each run of words, from three alphabets.
+
+    A node of the automaton looks for its children one by one, so they must be few, and no match begins inside a letter.
+    """
+
+    def __missing__(self, run: str) -> str:
+        code = len(self)
+        self[run] = letter = chr(0x1000 + (code >> 14)) + chr(0x100 + (code >> 7 & 127)) + chr(0x200 + (code & 127))
+        return letter
+
+
+@lru_cache(10_000)
+def _starts(words: int, step: int) -> tuple[int, ...]:
+    """First word of the letter at each place of a segment's phases in a row; -1 between phases."""
+    return tuple(x for phase in range(step) for x in (*range(phase, words - step + 1, step), -1))[:-1]
+
+
 def locate(rows: Sequence[tuple[str, int, int, int]], width: int) -> Iterator[tuple[int, list[int], list[int], list[int]]]:
     """Number of the segment, its windows that recur, and where each was first (id, start).
 
-    ``rows`` holds the words, the first id and start, and the number of occurrences of distinct segments.
+    ``rows`` holds the words, the first id and start, and the number of occurrences of distinct segments.  A letter of the
+    automaton stands for ``step`` words in a row, so that a phrase has few; a segment is streamed in ``step`` phases,
+    one for each place where a letter may begin.
     """
     import ahocorasick
 
-    letter = _Characters()
-    texts = ["".join([letter[w] for w in words.split(" ")]) for words, _, _, _ in rows]
+    step = max(d for d in range(1, min(width, WORDS_A_LETTER) + 1) if width % d == 0)
+    letters = width // step * SIGNS
+    word, run = _Words(), _Letters()
+    texts = []
+    for words, _, _, _ in rows:
+        text = "".join([word[w] for w in words.split(" ")])
+        spelt = [run[text[i:i + step]] for i in range(len(text) - step + 1)]
+        texts.append(BETWEEN.join(["".join(spelt[phase::step]) for phase in range(step)]))
+    sizes = [words.count(" ") + 1 for words, _, _, _ in rows]
     firsts: dict[str, tuple[int, int]] = {}
     confirmed: set[str] = set()
-    for text, (_, doc, start, n) in zip(texts, rows):
-        for at in range(len(text) - width + 1):
-            phrase, place = text[at:at + width], (doc, start + at)
+    for text, size, (_, doc, start, n) in zip(texts, sizes, rows):
+        starts = _starts(size, step)
+        for place, at in enumerate(starts):
+            if at < 0 or at > size - width:
+                continue
+            phrase, found = text[SIGNS * place:SIGNS * place + letters], (doc, start + at)
             known = firsts.get(phrase)
             if known is None:
-                firsts[phrase] = place
+                firsts[phrase] = found
                 if n > 1:
                     confirmed.add(phrase)
             else:
                 confirmed.add(phrase)
-                if place < known:
-                    firsts[phrase] = place
+                if found < known:
+                    firsts[phrase] = found
     if not confirmed:
         return
     automaton = ahocorasick.Automaton()
     for phrase in confirmed:
         automaton.add_word(phrase, firsts[phrase])
     automaton.make_automaton()
-    for i, text in enumerate(texts):
+    for i, (text, size) in enumerate(zip(texts, sizes)):
         found = list(automaton.iter(text))
         if found:
-            yield i, [end - width + 1 for end, _ in found], [p[0] for _, p in found], [p[1] for _, p in found]
+            starts = _starts(size, step)
+            yield i, [starts[(end + 1 - letters) // SIGNS] for end, _ in found], [p[0] for _, p in found], [p[1] for _, p in found]
 
 
 VERDICT = pa.schema([
@@ -248,8 +285,8 @@ def located(distinct: DataFrame, settings: Settings) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, settings: Settings = Settings(), limits: Limits = LIMITS) -> DataFrame:
-    """``id``, ``hash`` and sorted ``starts`` of the windows of each document that occurred before."""
-    every = materialise(recurring_segments(docs, settings, limits), "segments")
+    """``id``, ``hash`` and sorted ``starts`` of the windows of each document that occurred before, stored."""
+    every = recurring_segments(docs, settings, limits)
     distinct = every.groupBy("shard", "words").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
     distinct = materialise(distinct, "distinct")
     size = distinct.agg(F.coalesce(F.sum(F.octet_length("words").cast("bigint")), F.lit(0)).alias("b")).first().b
@@ -261,11 +298,14 @@ def repeated_windows(docs: DataFrame, settings: Settings = Settings(), limits: L
         F.arrays_zip("at", "first_id", "first_start"),
         lambda w: (F.col("id") > w["first_id"]) | (F.col("id") == w["first_id"]) & (F.col("start") + w["at"] > w["first_start"]),
     )
-    return every.select("id", "hash", "start", piece).join(verdicts, "piece").select(
+    repeated = every.select("id", "hash", "start", piece).join(verdicts, "piece").select(
         "id", "hash", F.transform(earlier, lambda w: F.col("start") + w["at"]).alias("found")
     ).where(F.size("found") > 0).groupBy("id", "hash").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("starts")
     )
+    stored = materialise(repeated, "repeated")
+    discard(every, distinct)
+    return stored
 
 
 def remove_repeats(docs: DataFrame, settings: Settings = Settings(), limits: Limits = LIMITS) -> DataFrame:
