@@ -7,6 +7,8 @@ or hundredths while they are compared.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,5 +33,27 @@ def rate_units(events: Column | str, total: Column | str, digits: int = 3) -> Co
     return F.when(total != 0, whole)
 
 
+def rate_gap(
+    rate: Column | str, events: Column | str, total: Column | str, other: Mapping[str, Column], digits: int | None
+) -> tuple[Column, Column]:
+    """How far a rate is from another one, as something to order by, and whether it is above the other.
+
+    ``other`` has the ``rate`` of the other one, which is compared in whole units of ``digits`` places, or, with None, its
+    ``events`` and ``total``: then the fractions themselves are compared, exactly for up to 10**12 rows.
+    """
+    if digits is not None:
+        own, theirs = (F.round(col(r) * F.lit(10.0**digits)).cast("bigint") for r in (rate, other["rate"]))
+        return F.struct(F.abs(theirs - own).alias("whole")), own > theirs
+    wide = {n: c.cast("decimal(19,0)") for n, c in (("e", col(events)), ("n", col(total)), ("oe", other["events"]), ("on", other["total"]))}
+    cross = wide["oe"] * wide["n"] - wide["e"] * wide["on"]
+    # |cross| / n by long division, twelve digits at a time: fractions over 10**12 rows differ by more than 24 digits hold.
+    rest, places = F.abs(cross).cast("decimal(38,0)"), []
+    for _ in range(3):
+        places.append(F.floor((rest - rest % wide["n"]) / wide["n"]).cast("bigint"))
+        rest = ((rest % wide["n"]).cast("decimal(19,0)") * F.lit(10**12).cast("decimal(13,0)")).cast("decimal(38,0)")
+    missing = cross.isNull()
+    return F.when(~missing, F.struct(*[p.alias(f"p{i}") for i, p in enumerate(places)])), cross < 0
+
+
 def units_to_rate(units: Column | str, digits: int = 3) -> Column:
     return col(units).cast("double") / F.lit(float(10**digits))

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventrate.functions.numeric import rate_units, round_k, units_to_rate
+from eventrate.functions.numeric import rate_gap, rate_units, round_k, units_to_rate
 from eventrate.operators import rank
 from eventrate.runtime import LIMITS, Limits
 
@@ -132,34 +132,34 @@ def rate_series(bin_table: DataFrame, var_name: str) -> DataFrame:
     )
 
 
-def null_fill_values(bin_table: DataFrame) -> DataFrame:
+def null_fill_values(bin_table: DataFrame, digits: int | None = 9) -> DataFrame:
     """Value for the NULLs of each variable: the mean of the bin with the nearest rate.
 
     Bins whose rate is not above that of the NULLs win over bins equally far above; several
-    such bins are averaged.  Variables without NULLs are left out.
+    such bins are averaged.  Variables without NULLs are left out.  Rates are compared at ``digits`` places, or, with
+    None, as the fractions they are.
     """
-    # Billionths: exact for rates rounded to a few places, and near enough to tell unrounded ones apart.
-    units = F.round(F.col("rate") * 1_000_000_000).cast("bigint")
     whole = Window.partitionBy("var_name")  # one row per bin
-    null_units = F.max(F.when(F.col("bin").isNull(), units)).over(whole)
+    theirs = {c: F.max(F.when(F.col("bin").isNull(), F.col(c))).over(whole) for c in (("events", "total") if digits is None else ("rate",))}
+    beside = bin_table.withColumns({f"_null_{c}": v for c, v in theirs.items()})
+    distance, above = rate_gap("rate", "events", "total", {c: F.col(f"_null_{c}") for c in theirs}, digits)
     gaps = (
-        bin_table.withColumn("_gap", null_units - units)
-        .where(F.col("bin").isNotNull() & F.col("_gap").isNotNull())
-        .withColumn("_best", F.min(F.abs("_gap")).over(whole))
+        beside.where(F.col("bin").isNotNull() & distance.isNotNull() & above.isNotNull())
+        .withColumns({"_gap": distance, "_above": above})
+        .withColumn("_best", F.min("_gap").over(whole))
+        .where(F.col("_gap") == F.col("_best"))
     )
-    level = F.col("_gap") == F.col("_best")
-    above = F.col("_gap") == -F.col("_best")
     return gaps.groupBy("var_name").agg(
         F.coalesce(
-            F.avg(F.when(level, F.col("mean"))),
-            F.min_by(F.when(above, F.col("mean")), F.when(above, F.col("bin"))),
+            F.avg(F.when(~F.col("_above"), F.col("mean"))),
+            F.min_by(F.when(F.col("_above"), F.col("mean")), F.when(F.col("_above"), F.col("bin"))),
         ).alias("fill")
     )
 
 
-def impute_null_by_bin(df: DataFrame, bin_table: DataFrame) -> DataFrame:
+def impute_null_by_bin(df: DataFrame, bin_table: DataFrame, digits: int | None = 9) -> DataFrame:
     """Replace NULLs by the value of the bin with the nearest event rate; such columns become double."""
-    fills = {r["var_name"]: r["fill"] for r in null_fill_values(bin_table).collect()}
+    fills = {r["var_name"]: r["fill"] for r in null_fill_values(bin_table, digits).collect()}
     if not fills:
         return df
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in fills.items()})

@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventrate.functions.numeric import rate_units, units_to_rate
+from eventrate.functions.numeric import rate_gap, rate_units, units_to_rate
 from eventrate.operators import rank
 from eventrate.runtime import LIMITS, Limits, fits_broadcast, materialise
 
@@ -105,16 +105,16 @@ def zero_event_levels(
     return counts.where(F.col("events") == 0).withColumn("imputed_lvl", F.lit(ZERO_CODE)).select(DECODE_COLUMNS)
 
 
-def null_receivers(rates: DataFrame) -> DataFrame:
+def null_receivers(rates: DataFrame, digits: int | None = 9) -> DataFrame:
     """For each variable with a NULL level: the level whose rate is nearest to it.
 
-    Of two equally near levels the one with the lower rate is taken, then the first by name.
+    Of two equally near levels the one with the lower rate is taken, then the first by name.  Rates are compared
+    at ``digits`` places, or, with None, as the fractions they are.
     """
-    # Billionths: exact for rates rounded to a few places, and near enough to tell unrounded ones apart.
-    units = F.round(F.col("rate") * 1_000_000_000).cast("bigint")
-    nulls = rates.where(F.col("level").isNull()).select("var_name", units.alias("null_units"))
-    gap = F.col("null_units") - units
-    near = F.struct(F.abs(gap).alias("distance"), (gap < 0).alias("above"), F.col("level"))
+    sides = ("events", "total") if digits is None else ("rate",)
+    nulls = rates.where(F.col("level").isNull()).select("var_name", *[F.col(c).alias(f"null_{c}") for c in sides])
+    distance, above = rate_gap("rate", "events", "total", {c: F.col(f"null_{c}") for c in sides}, digits)
+    near = F.struct(distance.alias("distance"), above.alias("above"), F.col("level"))
     # At most one NULL row per column of the table.
     return (
         rates.where(F.col("level").isNotNull())
@@ -125,13 +125,13 @@ def null_receivers(rates: DataFrame) -> DataFrame:
     )
 
 
-def impute_null_level(df: DataFrame, rates: DataFrame) -> Imputed:
+def impute_null_level(df: DataFrame, rates: DataFrame, digits: int | None = 9) -> Imputed:
     """Replace NULL by the level with the nearest event rate and drop the NULL level.
 
     The receiver keeps its own counts.  A variable in which only NULL has events has no
-    receiver, and its NULLs stay.
+    receiver, and its NULLs stay.  ``digits`` as for ``null_receivers``.
     """
-    receivers = {r["var_name"]: r["receiver"] for r in null_receivers(rates).collect()}
+    receivers = {r["var_name"]: r["receiver"] for r in null_receivers(rates, digits).collect()}
     types = dict(df.dtypes)
     filled = {c: F.coalesce(F.col(c), F.lit(v).cast(types[c])) for c, v in receivers.items()}
     fewer = F.when(F.col("var_name").isin(list(receivers)), 1).otherwise(0) if receivers else F.lit(0)

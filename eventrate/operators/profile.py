@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,8 +13,9 @@ from pyspark.sql import types as T
 
 from eventrate.functions.numeric import rate_units, units_to_rate
 from eventrate.operators import rank
-from eventrate.runtime import LIMITS, Limits
+from eventrate.runtime import LIMITS, Limits, materialise
 
+PAIRS_AT_ONCE = 66  # correlations that one aggregate gives; more are found by matrix products
 QUANTILES = {"p5": 0.05, "p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95}
 
 
@@ -72,12 +74,25 @@ REPORT_SCHEMA = T.StructType(
 )
 
 
-def quality_report(df: DataFrame, approximate: bool = False, limits: Limits = LIMITS) -> DataFrame:
+def digest_texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Texts replaced by their SHA-256: as many distinct and missing values in fewer bytes.
+
+    For tables with long texts that are joined before they are profiled, so that the texts themselves stay out of the join.
+    """
+    return df.withColumns({c: F.sha2(F.col(c).cast("binary"), 256) for c in columns})
+
+
+def quality_report(
+    df: DataFrame, approximate: bool = False, limits: Limits = LIMITS, keep: bool = False
+) -> DataFrame:
     """One row per column: type, rows, distinct values (NULL is one), availability and spread.
 
     ``approximate`` swaps exact distinct counts and quantiles for sketches, which turns the
-    report into a single scan without a shuffle of values.
+    report into a single scan without a shuffle of values.  ``keep`` stores the rows once, for inputs that cost more than a scan,
+    such as joins.
     """
+    if keep:
+        df = materialise(df, "profiled")
     numeric = numeric_columns(df)
     aggregates = [F.count(F.lit(1)).alias("_records")]
     for i, c in enumerate(df.columns):
@@ -217,6 +232,28 @@ def crosstab(df: DataFrame, rows: str, columns: str, levels: Sequence | None = N
     return wide.na.fill(0)
 
 
+def _corr_pairs(
+    df: DataFrame, columns: Sequence[str], values: Sequence[Column], pairs: Sequence[tuple[int, int]]
+) -> DataFrame:
+    """The correlations of few columns as one aggregate."""
+    # Variances over the rows of the pair; a constant column has no correlation.
+    spread = [
+        F.var_pop(F.when(values[j].isNotNull(), values[i])) * F.var_pop(F.when(values[i].isNotNull(), values[j])) for i, j in pairs
+    ]
+    found = [F.when(s > 0, F.covar_pop(values[i], values[j]) / F.sqrt(s)) for s, (i, j) in zip(spread, pairs)]
+    shared = [F.count(F.when(values[j].isNotNull(), values[i])) > 1 for i, j in pairs]
+    row = df.agg(
+        *[f.alias(f"c{k}") for k, f in enumerate(found)], *[s.alias(f"s{k}") for k, s in enumerate(shared)]
+    ).first()
+    out = [(c, c, 1.0) for c in columns]
+    for k, (i, j) in enumerate(pairs):
+        if row[f"s{k}"]:
+            corr = row[f"c{k}"]
+            corr = None if corr is None or math.isnan(corr) else corr
+            out += [(columns[i], columns[j], corr), (columns[j], columns[i], corr)]
+    return df.sparkSession.createDataFrame(out, "var_1 string, var_2 string, corr double")
+
+
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair, in long form, over the rows in which both values are present.
 
@@ -225,6 +262,9 @@ def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     columns = list(columns)
     values = [F.col(c).cast("double") for c in columns]
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
+    if len(pairs) <= PAIRS_AT_ONCE:
+        return _corr_pairs(df, columns, values, pairs)
     means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)]).first()
     centred = df.select(*[(v - F.lit(float(m or 0.0))).alias(f"v{i}") for i, (v, m) in enumerate(zip(values, means))])
     width = len(columns)

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any, NamedTuple
 
@@ -25,11 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventrate.runtime import LIMITS, Limits, materialise
+from eventrate.runtime import LIMITS, Limits
 
 SERIES, GAP, CELL, PART, TIE, COPY = "_series", "_gap", "_cell", "_part", "_tie", "_copy"
 COLUMNS_PER_SCAN = 16  # keeps the generated conditions of one scan small
-MAX_PARTS = 10_000  # range partitions of a running sum; beyond it the parts grow
+FAN = 256  # borders of parts that are looked up at once
+DRAWN, DRAWN_OF = 32, 1 << 30  # rows sampled for each part, and the range of the hash that draws them
 COPIES_AT_ONCE = 100_000  # rows that one row of counts becomes in a step
 
 
@@ -223,12 +224,8 @@ def _narrow(
     long: DataFrame, order: Sequence[str], gaps: list[_Gap], found: dict, attempt: int, limits: Limits
 ) -> list[_Gap]:
     """Place splitters around each rank, count, and return the gaps still open."""
-    share = max(limits.sample_rows // len(gaps), 100)
     tagged = _tag(long, order, gaps)
-    fraction = reduce(
-        lambda acc, ig: acc.when(F.col(GAP) == ig[0], F.lit(min(1.0, share / ig[1].rows))), enumerate(gaps), F
-    )
-    drawn = tagged.where(F.rand(seed=attempt) < fraction).toArrow()
+    drawn = _sample(tagged, order, gaps, attempt, limits)
     sample: dict[int, list[tuple]] = {i: [] for i in range(len(gaps))}
     for i, *values in zip(*(drawn.column(c).to_pylist() for c in (GAP, *order))):
         sample[i].append(tuple(values))
@@ -265,6 +262,34 @@ def _narrow(
     return left
 
 
+def _sample(tagged: DataFrame, order: Sequence[str], gaps: Sequence[_Gap], attempt: int, limits: Limits) -> pa.Table:
+    """Some rows of each gap, bounded in rows and, for texts, in bytes."""
+    share = max(limits.sample_rows // len(gaps), 100)
+    texts = [c for c, kind in tagged.select(*order).dtypes if kind in ("string", "binary")]
+    if not texts:
+        fraction = reduce(
+            lambda acc, ig: acc.when(F.col(GAP) == ig[0], F.lit(min(1.0, share / ig[1].rows))), enumerate(gaps), F
+        )
+        return tagged.where(F.rand(seed=attempt) < fraction).toArrow()
+    # Each row draws a height, one more with half the chance.  The rows and bytes of every height are counted before
+    # any text is fetched, and only the greatest heights that fit are; one row at least where a single one is too long.
+    height = F.floor(-F.log2(F.lit(1.0) - F.rand(seed=attempt))).cast("int")
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in texts), F.lit(0).cast("bigint"))
+    marked = tagged.withColumn("_height", height)
+    counts: dict[int, list[tuple[int, int, int]]] = {i: [] for i in range(len(gaps))}
+    for r in marked.groupBy(GAP, "_height").agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).collect():
+        counts[r[GAP]].append((r["_height"], r["n"], r["b"]))
+    least = {}
+    for i, found in counts.items():
+        rows = size = 0
+        for h, n, b in sorted(found, reverse=True):
+            if i in least and (rows + n > share or size + b > limits.sample_bytes // len(gaps)):
+                break
+            rows, size, least[i] = rows + n, size + b, h
+    enough = reduce(lambda acc, ih: acc.when(F.col(GAP) == ih[0], F.lit(ih[1])), least.items(), F)
+    return marked.where(F.col("_height") >= enough).drop("_height").toArrow()
+
+
 def _splitters(gap: _Gap, sample: list[tuple]) -> list[tuple]:
     """Sample values just outside the expected place of every rank of the gap."""
     size = len(sample)
@@ -452,30 +477,75 @@ def running_sums(
 ) -> DataFrame:
     """Add, for each ``new: column`` of ``sums``, the sum over all rows sorted before.
 
-    Rows are range-partitioned by ``order`` into parts small enough for one task; the
-    totals of the parts give each part its starting value.  ``order`` must be a total order
-    and ``df`` should be a stored table, since it is counted first.
+    Rows are told apart into parts small enough for one task, by borders that a sample places.  The totals of the parts
+    give each part its starting value; they are summed in the same way, in parts of parts, however many there are.
+    A row's part follows from its values alone, so nothing is stored.  ``order`` must be a total order;
+    ``df`` is read four times (twice if one task can sum it).
     """
-    parts = min(math.ceil(df.count() / limits.task_rows), MAX_PARTS)
+    return _running_sums(df, df.count(), order, sums, limits)
+
+
+def _running_sums(df: DataFrame, rows: int, order: Sequence[str], sums: Mapping[str, str], limits: Limits) -> DataFrame:
+    """The same for a table of at most ``rows`` rows."""
+    # Samples and totals of parts are small; they may fill a task even where rows may not.
+    inner = replace(limits, task_rows=max(limits.task_rows, limits.sample_rows))
     keys = [F.col(c) for c in order]
-    if parts <= 1:
-        ranged, start = df.withColumn(PART, F.lit(0)), {}
-    else:
-        # The part is stored with the row: range borders are sampled anew in every job.
-        ranged = materialise(df.repartitionByRange(parts, *keys).withColumn(PART, F.spark_partition_id()), "ranged")
-        totals = ranged.groupBy(PART).agg(*[F.sum(c).alias(f"_total_{new}") for new, c in sums.items()])
-        earlier = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = totals.select(
-            PART, *[F.coalesce(F.sum(f"_total_{new}").over(earlier), F.lit(0)).alias(f"_start_{new}") for new in sums]
-        )
-        # One row per part, MAX_PARTS at most.
-        ranged = ranged.join(F.broadcast(offsets), PART)
-        start = {new: F.col(f"_start_{new}") for new in sums}
+    if rows <= limits.task_rows:
+        # Few rows: one task may sort them.
+        w = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({new: F.coalesce(F.sum(c).over(w), F.lit(0)) for new, c in sums.items()})
+    parts = math.ceil(rows / limits.task_rows)
+    inside = label_parts(df, order, parts, rows, limits)
+    totals = inside.groupBy(F.col(PART).alias("_of")).agg(*[F.sum(c).alias(f"_total_{new}") for new, c in sums.items()])
+    starts = _running_sums(totals, 2 * parts, ["_of"], {f"_start_{new}": f"_total_{new}" for new in sums}, inner)
+    starts = starts.select(F.col("_of").alias(PART), *[f"_start_{new}" for new in sums])
+    # One row per part; beyond the limit both sides are dealt by part, as the window below is anyway.
+    joined = inside.join(F.broadcast(starts) if parts < limits.broadcast_rows else starts, PART)
     w = Window.partitionBy(PART).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    added = {
-        new: F.coalesce(F.sum(c).over(w), F.lit(0)) + start.get(new, F.lit(0)) for new, c in sums.items()
-    }
-    return ranged.withColumns(added).drop(PART, *[f"_start_{new}" for new in sums])
+    added = {new: F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"_start_{new}") for new, c in sums.items()}
+    return joined.withColumns(added).drop(PART, *[f"_start_{new}" for new in sums])
+
+
+def label_parts(df: DataFrame, order: Sequence[str], parts: int, rows: int, limits: Limits = LIMITS) -> DataFrame:
+    """Add ``_part``: how many of about ``parts`` borders, placed by a sample of the rows, a row lies behind.
+
+    The sample is drawn by a hash of the ``order`` columns, so that every job places the same borders.  Blocks of ``FAN``
+    borders are looked up one in the other, each by halving.
+    """
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    each = max(1, min(DRAWN, limits.task_rows // (4 * FAN)))
+    share = max(1, min(DRAWN_OF, math.ceil(DRAWN_OF * parts * each / rows)))
+    # Salted, so that a sample of the sample is one.
+    drawn = df.select(key.alias("_key")).where(F.pmod(F.xxhash64(*order, F.lit(rows)), F.lit(DRAWN_OF)) < share).withColumn(
+        "_one", F.lit(1).cast("bigint")
+    )
+    # Twice what is expected: the bound only tells whether one task may number the sample.
+    inner = replace(limits, task_rows=max(limits.task_rows, limits.sample_rows))
+    numbered = _running_sums(drawn, 2 * parts * each, ["_key"], {"_before": "_one"}, inner)
+    borders = numbered.where((F.col("_before") + 1) % each == 0).select(
+        "_key", (F.floor((F.col("_before") + 1) / each) - 1).cast("bigint").alias("_border")
+    )
+    levels = max(1, math.ceil(math.log(max(2, 2 * parts), FAN)))
+    labelled = df.withColumns({PART: F.lit(0).cast("bigint"), "_place": key})
+    for level in range(levels - 1, -1, -1):
+        # The last border of each block of the level below, or each border itself.
+        size = FAN**level
+        chosen = borders.where((F.col("_border") + 1) % size == 0).withColumn("_border", F.floor(F.col("_border") / size))
+        blocks = chosen.groupBy(F.floor(F.col("_border") / FAN).cast("bigint").alias("_block")).agg(
+            F.sort_array(F.collect_list("_key")).alias("_borders")
+        )
+        small = parts <= limits.broadcast_rows
+        labelled = labelled.join(F.broadcast(blocks) if small else blocks, F.col(PART) == F.col("_block"), "left")
+        labelled = labelled.withColumn("_behind", F.lit(0))
+        step = FAN // 2
+        while step:
+            behind = F.get("_borders", F.col("_behind") + (step - 1)) < F.col("_place")
+            labelled = labelled.withColumn("_behind", F.when(behind, F.col("_behind") + step).otherwise(F.col("_behind")))
+            step //= 2
+        behind = F.get("_borders", F.col("_behind")) < F.col("_place")
+        labelled = labelled.withColumn("_behind", F.when(behind, F.col("_behind") + 1).otherwise(F.col("_behind")))
+        labelled = labelled.withColumn(PART, F.col(PART) * FAN + F.col("_behind")).drop("_block", "_borders", "_behind")
+    return labelled.drop("_place")
 
 
 def global_rank(

@@ -242,14 +242,14 @@ def planted(spark, folder):
 def tree_subset(spark, folder):
     """A category is split into two sets of levels at once."""
     rows = planted(spark, folder)
-    return rounded(tree.fit_tree(rows, "pure", exclude=["noisy"], max_depth=1).rules, 6, "rate")
+    return rounded(tree.fit_tree(rows, "pure", exclude=["noisy"], max_depth=1, folds=0).rules, 6, "rate")
 
 
 @query(_tree_sql(TYPED_PARTS, _levels_sql(TYPED_PARTS, 0), _levels_sql(TYPED_PARTS, 1)))
 def tree_all_columns(spark, folder):
     """All columns, any depth, with noise that pruning takes away."""
     rows = planted(spark, folder)
-    return rounded(tree.fit_tree(rows, "noisy", exclude=["pure"]).rules, 6, "rate")
+    return rounded(tree.fit_tree(rows, "noisy", exclude=["pure"], folds=0).rules, 6, "rate")
 
 
 @query("""WITH rows AS (SELECT l_quantity, l_returnflag, CASE WHEN l_quantity > 25 OR l_returnflag = 'R' THEN 1 ELSE 0 END AS e FROM lineitem),
@@ -261,4 +261,67 @@ def tree_rules(spark, folder):
     """A tree must recover the two conditions from which its event was made."""
     lines = table(spark, folder, "lineitem").select("l_quantity", "l_returnflag", "l_linestatus")
     made = lines.withColumn("e", flag((F.col("l_quantity") > 25) | (F.col("l_returnflag") == "R")))
-    return tree.fit_tree(made, "e", ["l_quantity", "l_returnflag", "l_linestatus"], max_depth=3).rules
+    return tree.fit_tree(made, "e", ["l_quantity", "l_returnflag", "l_linestatus"], max_depth=3, folds=0).rules
+
+
+# Every cut of every number, by running sums over its values: (feature, threshold, counts on the left, gain).
+ALL_CUTS = """
+present AS (SELECT feature, v, e FROM rows UNPIVOT (v FOR feature IN ({columns}))),
+vals AS (SELECT feature, v, sum(e)::DOUBLE AS e, count(*)::DOUBLE AS n FROM present GROUP BY feature, v),
+run AS (SELECT feature, v + (lead(v) OVER w - v) / 2 AS cut, sum(e) OVER w AS e, sum(n) OVER w AS n,
+               sum(e) OVER (PARTITION BY feature) AS ae, sum(n) OVER (PARTITION BY feature) AS an
+        FROM vals WINDOW w AS (PARTITION BY feature ORDER BY v)),
+cuts AS (SELECT *, (e*e + (n - e)*(n - e)) / n + ((ae - e)*(ae - e) + (an - n - ae + e)*(an - n - ae + e)) / (an - n)
+                   - (ae*ae + (an - ae)*(an - ae)) / an AS gain
+         FROM run WHERE cut IS NOT NULL AND n >= 7 AND an - n >= 7),
+best AS (SELECT * FROM cuts ORDER BY gain DESC, feature, cut LIMIT 1)"""
+FINISHED_LINES = """rows AS (SELECT l_discount::DOUBLE AS a, l_extendedprice::DOUBLE AS b, l_quantity::DOUBLE AS c,
+  CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query(f"""WITH {FINISHED_LINES}, {ALL_CUTS.format(columns='a, b, c')},
+sides AS (SELECT CASE WHEN (CASE feature WHEN 'a' THEN a WHEN 'b' THEN b ELSE c END) <= cut THEN 0 ELSE 1 END AS leaf, rows.e FROM rows, best)
+SELECT leaf::BIGINT AS leaf, CASE WHEN 2 * sum(e) > count(*) THEN 1 ELSE 0 END::INTEGER AS predicted,
+  sum(e)::BIGINT AS events, count(*)::BIGINT AS total FROM sides GROUP BY leaf""")
+def tree_best_cut(spark, folder):
+    """One split where nothing is planted: the best of all cuts between the values of three numbers."""
+    orders = table(spark, folder, "orders").select("o_orderkey", flag(F.col("o_orderstatus") == "F").alias("e"))
+    lines = table(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = lines.select(F.col("l_discount").alias("a"), F.col("l_extendedprice").alias("b"), F.col("l_quantity").alias("c"), "e")
+    return tree.fit_tree(rows, "e", ["a", "b", "c"], max_depth=1, cp=-1.0, folds=0).rules.drop("rule", "rate")
+
+
+GAPPED = """rows AS (SELECT CASE WHEN l_orderkey % 7 > 0 THEN l_quantity::DOUBLE END AS a, l_extendedprice::DOUBLE AS b,
+  CASE WHEN (l_quantity > 30) <> (l_partkey % 5 = 0) THEN 1 ELSE 0 END AS e FROM lineitem)"""
+AGREEING = f"""{GAPPED}, {ALL_CUTS.format(columns='a')},
+sided AS (SELECT b, CASE WHEN a <= cut THEN 1 ELSE 0 END AS side FROM rows, best WHERE a IS NOT NULL),
+others AS (SELECT b, sum(side) AS s, count(*) AS n FROM sided GROUP BY b),
+along AS (SELECT b + (lead(b) OVER w - b) / 2 AS cut, sum(s) OVER w AS s, sum(n) OVER w AS n,
+                 sum(s) OVER () AS al, sum(n) OVER () AS an FROM others WINDOW w AS (ORDER BY b)),
+scored AS (SELECT *, 2 * s - n + an - al AS same FROM along WHERE cut IS NOT NULL AND n >= 2 AND an - n >= 2),
+other AS (SELECT cut AS other_cut, greatest(same, an - same) AS agreeing, same < an - same AS turned, al, an
+          FROM scored ORDER BY agreeing DESC, cut LIMIT 1)"""
+
+
+def gapped(spark, folder):
+    """Line items whose quantity is missing in every seventh order; the price goes along with it."""
+    return table(spark, folder, "lineitem").select(
+        F.when(F.col("l_orderkey") % 7 > 0, F.col("l_quantity")).alias("a"), F.col("l_extendedprice").alias("b"),
+        flag((F.col("l_quantity") > 30) != (F.col("l_partkey") % 5 == 0)).alias("e"),
+    )
+
+
+@query(f"""WITH {AGREEING}, placed AS (
+  SELECT rows.e AS e, coalesce(a <= cut, CASE WHEN agreeing > greatest(other.al, other.an - other.al) THEN (b <= other_cut) <> turned ELSE 2 * other.al >= other.an END) AS go_left
+  FROM rows, best, other)
+SELECT CASE WHEN go_left THEN 0 ELSE 1 END::BIGINT AS leaf, CASE WHEN 2 * sum(e) > count(*) THEN 1 ELSE 0 END::INTEGER AS predicted,
+  sum(e)::BIGINT AS events, count(*)::BIGINT AS total FROM placed GROUP BY 1, go_left""")
+def tree_missing(spark, folder):
+    """One split of a number with missing values: those rows go by the best surrogate, and none is lost."""
+    return tree.fit_tree(gapped(spark, folder), "e", ["a", "b"], max_depth=1, folds=0).rules.drop("rule", "rate")
+
+
+@query(f"WITH {AGREEING} SELECT 1::BIGINT AS node, 1::INTEGER AS place, agreeing::BIGINT AS agreeing FROM other WHERE agreeing > greatest(al, an - al)")
+def tree_surrogates(spark, folder):
+    found = tree.fit_tree(gapped(spark, folder), "e", ["a", "b"], max_depth=1, folds=0)
+    return found.surrogates.select("node", "place", "agreeing")

@@ -12,9 +12,11 @@ from eventrate.sources import records, reports
 # --- profiling -------------------------------------------------------------------------
 
 
-def labelled(spark, folder):
-    """Documents with their labels where there are any."""
-    return table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+def labelled(spark, folder, texts=True):
+    """Documents with their labels where there are any; without ``texts``, digests of these take part in the join."""
+    docs = table(spark, folder, "documents")
+    docs = docs if texts else profile.digest_texts(docs, ["text"])
+    return docs.join(table(spark, folder, "labels"), "doc_id", "left")
 
 
 LABELLED = "FROM documents LEFT JOIN labels USING (doc_id)"
@@ -46,13 +48,13 @@ def _report_sql():
 
 @query(_report_sql())
 def quality_report(spark, folder):
-    return rounded(profile.quality_report(labelled(spark, folder)), 6, "mean", *profile.QUANTILES)
+    return rounded(profile.quality_report(labelled(spark, folder, texts=False), keep=True), 6, "mean", *profile.QUANTILES)
 
 
 @query(" UNION ALL ".join(
     f"SELECT '{c}' AS var_name, (count(*) - count({c}))::BIGINT AS missing {LABELLED}" for c in LABELLED_TYPES))
 def null_counts(spark, folder):
-    return profile.null_counts(labelled(spark, folder))
+    return profile.null_counts(labelled(spark, folder, texts=False))
 
 
 QUANTILE_PROBS = [0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventrate.functions import expressions as X
 from eventrate.functions.numeric import round_k
 from eventrate.operators import evaluate, features, model, segment
 from eventrate.plans.registry import flag, query, rounded, sql_round, table
@@ -25,14 +26,16 @@ def scored_lines(spark, folder):
     )
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     scored = model.score_equation(joined, LINE_COEFFICIENTS, LINE_INTERCEPT, "p")
-    return scored.select("l_orderkey", "e", F.floor(F.col("p") * 1000000.0).cast("bigint").alias("ppm"))
+    # The sum behind the probability orders rows as it does, and both engines get the same digits for it.
+    eta = X.linear(LINE_COEFFICIENTS, LINE_INTERCEPT)
+    return scored.select("l_orderkey", "e", F.floor(F.col("p") * 1000000.0).cast("bigint").alias("ppm"), eta.alias("eta"))
 
 
 LINE_ETA = " + ".join(
     ["-1.1::DOUBLE"] + [f"{w}::DOUBLE * {c}::DOUBLE" for c, w in LINE_COEFFICIENTS.items()]
 )
 LINE_SCORES = f"""
-rows AS (SELECT l_orderkey, e, floor(1.0::DOUBLE / (1.0::DOUBLE + exp(-({LINE_ETA}))) * 1000000.0::DOUBLE)::BIGINT AS ppm
+rows AS (SELECT l_orderkey, e, floor(1.0::DOUBLE / (1.0::DOUBLE + exp(-({LINE_ETA}))) * 1000000.0::DOUBLE)::BIGINT AS ppm, {LINE_ETA} AS eta
   FROM (SELECT l_orderkey, l_quantity, l_discount, l_tax, l_extendedprice / 1000.0::DOUBLE AS price,
                CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS e,
                CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS urgent
@@ -163,7 +166,7 @@ def kappa_test(spark, folder):
 # --- curves and pairs ------------------------------------------------------------------
 
 BY_SCORE = f"""{LINE_SCORES},
-s AS (SELECT ppm AS score, sum(e)::BIGINT AS ones, (count(*) - sum(e))::BIGINT AS zeros FROM rows GROUP BY ppm),
+s AS (SELECT eta AS score, sum(e)::BIGINT AS ones, (count(*) - sum(e))::BIGINT AS zeros FROM rows GROUP BY eta),
 run AS (SELECT *, coalesce(sum(ones) OVER w, 0) AS ones_below, coalesce(sum(zeros) OVER w, 0) AS zeros_below,
                sum(ones) OVER () AS p, sum(zeros) OVER () AS n
         FROM s WINDOW w AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -174,12 +177,12 @@ pairs AS (SELECT sum(ones)::HUGEINT * sum(zeros) AS pairs, sum(ones * zeros_belo
   (p - ones_below)::DOUBLE / p::DOUBLE AS tpr, (n - zeros_below)::DOUBLE / n::DOUBLE AS fpr FROM run
 UNION ALL SELECT NULL, 0, 0, 0, 0 FROM pairs""")
 def roc_curve(spark, folder):
-    return evaluate.roc_curve(scored_lines(spark, folder), "ppm", "e")
+    return evaluate.roc_curve(scored_lines(spark, folder), "eta", "e")
 
 
 @query(f"WITH {BY_SCORE} SELECT {sql_round('((concordant::DOUBLE + ties::DOUBLE / 2) / pairs::DOUBLE)', 9)} AS auc FROM pairs")
 def auc(spark, folder):
-    return rounded(evaluate.auc(scored_lines(spark, folder), "ppm", "e"), 9, "auc")
+    return rounded(evaluate.auc(scored_lines(spark, folder), "eta", "e"), 9, "auc")
 
 
 @query(f"""WITH {BY_SCORE} SELECT pairs::BIGINT AS pairs, concordant::BIGINT AS concordant,
@@ -188,7 +191,7 @@ def auc(spark, folder):
   {sql_round('((pairs - concordant - ties)::DOUBLE / pairs::DOUBLE)', 9)} AS discordance_ratio,
   {sql_round('(ties::DOUBLE / pairs::DOUBLE)', 9)} AS tie_ratio FROM pairs""")
 def concordance(spark, folder):
-    found = evaluate.concordance(scored_lines(spark, folder), "ppm", "e")
+    found = evaluate.concordance(scored_lines(spark, folder), "eta", "e")
     counts = {c: F.col(c).cast("bigint") for c in ("pairs", "concordant", "discordant", "ties")}
     return rounded(found.withColumns(counts), 9, "concordance_ratio", "discordance_ratio", "tie_ratio")
 

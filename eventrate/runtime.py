@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +19,15 @@ class Limits:
     """Bounds checked before any step whose cost is not spread over the cluster.
 
     ``task_rows``       most rows that one task may rank on its own
-    ``sample_rows``     most sampled rows brought to the driver to place cuts
+    ``sample_rows``     most sampled rows, and
+    ``sample_bytes``    most bytes of their texts, brought to the driver to place cuts
     ``broadcast_rows``  most rows, and
     ``broadcast_bytes`` most bytes of text, of a broadcast lookup table
     """
 
     task_rows: int = 500_000
     sample_rows: int = 100_000
+    sample_bytes: int = 32 * 1024 * 1024
     broadcast_rows: int = 500_000
     broadcast_bytes: int = 64 * 1024 * 1024
 
@@ -65,6 +69,8 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     df.write.parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored._stored_at = path
+    for passing in _passing:
+        passing.append(stored)
     return stored
 
 
@@ -78,6 +84,27 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_passing: list[list[DataFrame]] = []
+
+
+@contextmanager
+def passing_tables() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside are deleted at its end, but those given to the function that it hands out."""
+    stored: list[DataFrame] = []
+    kept: set[int] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(id(table))
+        return table
+
+    _passing.append(stored)
+    try:
+        yield keep
+    finally:
+        _passing.remove(stored)
+        discard(*[t for t in stored if id(t) not in kept])
+
+
 def fits_broadcast(df: DataFrame, limits: Limits = LIMITS) -> bool:
     """Measure a lookup table and tell whether it may be broadcast."""
     text = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
