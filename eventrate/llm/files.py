@@ -7,6 +7,14 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyarrow import fs as arrow_fs
+from pyspark.sql import SparkSession
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI of the store in which Spark reads it; a plain path is one of Spark's default store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
 def file_system(folder: str) -> tuple[arrow_fs.FileSystem, str]:

@@ -1,8 +1,9 @@
 """Line dedup for near-equal lines, in DataFrame operations only.
 
 Lines are normalised; equal ones are one class.  A class gets a 63-bit SimHash of its words, each weighted by its
-letters, as the edit distance does.  Classes whose SimHash agrees on two of four blocks meet by a join on
-pairs of blocks: by the pigeonhole principle all that differ in at most two bits do, and many that differ in more.
+letters, as the edit distance does.  The words of each quarter of a line vote on a block of bits of their own, so an edit
+changes no block but that of its quarter.  Classes whose SimHash agrees on two of the four blocks meet by a join on
+pairs of blocks: by the pigeonhole principle all whose edits lie in two quarters of the line do, and by chance some others.
 Edit similarity decides.  Of each connected group the first occurrence stays.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventrate.llm.links import group
-from eventrate.runtime import LIMITS, Limits, materialise
+from eventrate.runtime import LIMITS, Limits, materialise, passing_tables
 
 #: The SimHash counts three bits in each number, 21 bits apart, so that 21 sums hold 63 counters.
 FIELD, SUMS = 21, 21
@@ -32,7 +33,7 @@ class Settings:
     """
 
     min_words: int = 5
-    bits: int = 12
+    bits: int = 20
     percent: int = 90
 
 
@@ -52,17 +53,28 @@ def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
     """
     words = lines(docs, key, text).select(
         "doc", "body", "line", F.xxhash64("norm").alias("node"), F.char_length("norm").alias("chars"),
-        F.explode(F.split("norm", " ")).alias("word"),
+        F.size(F.split("norm", " ")).alias("own"), F.posexplode(F.split("norm", " ")).alias("at", "word"),
     )
-    hashed = words.withColumns({"word": F.xxhash64("word"), "letters": F.char_length("word").cast("bigint")})
+    # The block that a word votes on: the quarter of the line in which it stands.
+    masks, first = [], 0
+    for width in BLOCKS:
+        masks.append(F.lit((1 << width) - 1 << first))
+        first += width
+    quarter = F.floor(F.col("at") * len(BLOCKS) / F.col("own")).cast("int")
+    hashed = words.withColumns({
+        "word": F.xxhash64("word").bitwiseAND(F.get(F.array(*masks), quarter)), "letters": F.char_length("word").cast("bigint"),
+        "quarter": quarter,
+    })
     place = ["doc", "body", "line", "node", "chars"]
     sums = [
         F.try_sum(F.shiftrightunsigned("word", k).bitwiseAND(F.lit(FIELDS)) * F.col("letters")).alias(f"s{k}") for k in range(SUMS)
     ]
-    counted = hashed.groupBy(*place).agg(F.count(F.lit(1)).alias("words"), F.sum("letters").alias("letters"), *sums)
+    voters = [F.sum(F.when(F.col("quarter") == q, F.col("letters"))).alias(f"letters{q}") for q in range(len(BLOCKS))]
+    counted = hashed.groupBy(*place).agg(F.count(F.lit(1)).alias("words"), *voters, *sums)
     mask = F.lit((1 << FIELD) - 1)
+    owner = [q for q, width in enumerate(BLOCKS) for _ in range(width)]
     bits = [
-        F.when(F.shiftright(f"s{k}", FIELD * f).bitwiseAND(mask) * 2 > F.col("letters"), F.lit(1 << k + FIELD * f))
+        F.when(F.shiftright(f"s{k}", FIELD * f).bitwiseAND(mask) * 2 > F.col(f"letters{owner[k + FIELD * f]}"), F.lit(1 << k + FIELD * f))
         .otherwise(F.lit(0).cast("bigint"))
         for f in range(3) for k in range(SUMS)
     ]
@@ -159,27 +171,28 @@ def dedup_lines(
     rows with a NULL key take part.  Lines of more than two million words are compared for equality only.
     An empty table gives no rows.  Columns of the input named like the two added ones are replaced.
     """
-    dropped = repeated_lines(docs, settings, key, text, limits).groupBy("doc", "body").agg(F.collect_set("line").alias("_drop"))
-    dropped = materialise(dropped, "dropped-lines")
+    with passing_tables() as keep:
+        dropped = repeated_lines(docs, settings, key, text, limits).groupBy("doc", "body").agg(F.collect_set("line").alias("_drop"))
+        dropped = keep(materialise(dropped, "dropped-lines"))
     seen = dropped.agg(F.count(F.lit(1)), F.sum(F.size("_drop"))).first()
     small = seen[0] <= limits.broadcast_rows and (seen[1] or 0) * 8 <= limits.broadcast_bytes
     dropped = dropped.select(F.col("doc").alias("_doc"), F.col("body").alias("_body"), "_drop")
-    own = docs.withColumn("_hash", F.xxhash64(text))
-    match = F.col(key).eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_body"))
+    # The row is carried as one value, so that its columns may have any names.
+    own = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_said"), F.xxhash64(text).alias("_hash"))
+    match = F.col("_key").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_body"))
     joined = own.join(F.broadcast(dropped) if small else dropped, match, "left")
-    split = joined.withColumn("_lines", F.when(F.col("_drop").isNotNull(), F.split(text, "\n")))
+    split = joined.withColumn("_lines", F.when(F.col("_drop").isNotNull(), F.split("_said", "\n")))
     # Kept numbers by difference of sets, so that a document of very many lines stays linear.
     kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop")))
     numbered = split.withColumn("_kept", kept)
-    body = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(
+    body = F.when(F.col("_drop").isNull(), F.col("_said")).otherwise(
         F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n")
     )
-    rebuilt = numbered.withColumn("_text", body).withColumn(
-        added[0], F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop"))
-    )
+    rebuilt = numbered.withColumn("_text", body)
     left = F.size(F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]")))
-    rebuilt = rebuilt.withColumn(added[1], F.when(F.col("_text").isNull(), F.lit(0)).otherwise(left))
     plain = [c for c in docs.columns if c not in added]
     return rebuilt.select(
-        *[F.col("_text").alias(c) if c == text else F.col(c) for c in plain], *added
+        *[(F.col("_text") if c == text else F.col("_row").getField(c)).alias(c) for c in plain],
+        F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size("_drop")).alias(added[0]),
+        F.when(F.col("_text").isNull(), F.lit(0)).otherwise(left).alias(added[1]),
     )

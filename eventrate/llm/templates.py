@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventrate.runtime import LIMITS, Limits, materialise
+from eventrate.runtime import LIMITS, Limits, discard, materialise
 
 # Words that are units when they follow a number.
 UNITS = (
@@ -107,36 +107,64 @@ def hashed_words(words: Column) -> Column:
 
 
 def item_windows(items: DataFrame, key: str, text: str, settings: Settings, forms: tuple[str, ...]) -> DataFrame:
-    """Windows of the items: ``item``, ``version``, ``form``, ``item_at``, ``hash``, ``width``, ``counts``, ``total``.
+    """Windows of the items: ``item``, ``version``, ``form``, ``item_at``, ``hash``, ``width``, ``counts``, ``total``, ``pairs``.
 
-    Only windows that can be told from chance count in the share; ``total`` is their number in the item.
+    Only windows that can be told from chance count in the share; ``total`` is their number in the item.  ``pairs`` are hashes
+    of neighbouring words that any text with the window holds side by side.
     """
-    parts = []
-    for form in forms:
-        words = items.select(
-            F.col(key).alias("item"), F.xxhash64(text).alias("version"), F.lit(form).alias("form"),
-            words_of(F.col(text), form).alias("words"),
-        ).where(F.size("words") >= settings.literals).distinct().withColumn("hashed", hashed_words(F.col("words")))
-        short = F.size("words") < settings.window
-        for width in range(settings.literals, settings.window + 1):
-            fitting = words.where(~short if width == settings.window else F.size("words") == width)
-            placed = fitting.withColumn("all", hashes(["hashed"], width))
-            parts.append(placed.select(
-                "item", "version", "form", "words", F.lit(width).alias("width"), F.posexplode("all").alias("item_at", "_all"),
-            ))
-    joined = parts[0]
-    for part in parts[1:]:
-        joined = joined.unionByName(part)
+    said = F.array(*[F.struct(F.lit(form).alias("form"), words_of(F.col("asked"), form).alias("words")) for form in forms])
+    words = items.select(F.col(key).alias("item"), F.xxhash64(text).alias("version"), F.col(text).alias("asked")).distinct()
+    words = words.select("item", "version", F.inline(said)).where(F.size("words") >= settings.literals).withColumns({
+        "hashed": hashed_words(F.col("words")), "width": F.least(F.size("words"), F.lit(settings.window)),
+    })
+    every = None
+    for width in range(settings.literals, settings.window + 1):
+        fitting = F.col("width") == width
+        found = hashes(["hashed"], width)
+        every = F.when(fitting, found) if every is None else every.when(fitting, found)
+    joined = words.select("item", "version", "form", "words", "width", F.posexplode(every).alias("item_at", "_all"))
     own = F.slice("words", F.col("item_at") + 1, F.col("width"))
     plain = F.size(F.filter(own, lambda w: ~is_slot(w))) >= settings.literals
     written = F.exists(own, lambda w: ~w.rlike(r"^\p{N}"))
-    judged = joined.withColumn("counts", F.when(F.col("form") == RAW, written).otherwise(plain))
+    judged = joined.withColumns({"counts": F.when(F.col("form") == RAW, written).otherwise(plain), "own": own})
+    beside = F.filter(
+        F.arrays_zip(F.col("own").alias("a"), F.slice("own", F.lit(2), F.col("width")).alias("b")),
+        lambda p: p["b"].isNotNull() & ((F.col("form") == RAW) | ~is_slot(p["a"]) & ~is_slot(p["b"])),
+    )
     judged = judged.where((F.col("form") == RAW) | F.col("counts")).select(
-        "item", "version", "form", "item_at", F.get("_all", F.lit(0)).alias("hash"), "width", "counts"
+        "item", "version", "form", "item_at", F.get("_all", F.lit(0)).alias("hash"), "width", "counts",
+        F.transform(beside, lambda p: F.xxhash64(p["a"], p["b"])).alias("pairs"),
     )
     return judged.withColumn("total", F.count_if("counts").over(Window.partitionBy("item", "version", "form")))
 
 
+def candidates(docs: DataFrame, windows: DataFrame, key: str, text: str, limits: Limits) -> DataFrame:
+    """``doc`` and ``body`` of documents that may hold a window: those with the rarest of its pairs of neighbouring words.
+
+    One pass over the texts finds the pairs of all items in them; how rare a pair is follows from what it found.
+    """
+    pairs = materialise(windows.select(F.explode("pairs").alias("pair")).distinct(), "pairs")
+    small = pairs.count() <= limits.broadcast_rows
+    words = docs.where(F.col(text).isNotNull()).select(
+        F.col(key).alias("doc"), F.xxhash64(text).alias("body"), raw_words(F.col(text)).alias("words")
+    )
+    beside = words.select("doc", "body", F.inline(
+        F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1))).alias("b"))
+    )).where("b is not null").select("doc", "body", F.xxhash64("a", "b").alias("pair"))
+    held = materialise(beside.join(F.broadcast(pairs) if small else pairs, "pair", "left_semi"), "held-pairs")
+    times = held.groupBy("pair").agg(F.count(F.lit(1)).alias("times"))
+    wanted = windows.select("item", "version", "form", "item_at", F.explode("pairs").alias("pair"))
+    ranked = wanted.join(times, "pair", "left").groupBy("item", "version", "form", "item_at").agg(
+        F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "pair")).alias("rarest")
+    )
+    # A window with a pair that no text holds is in none.
+    rarest = materialise(ranked.where("rarest.times > 0").select(F.col("rarest.pair").alias("pair")).distinct(), "rarest-pairs")
+    found = held.join(F.broadcast(rarest) if small else rarest, "pair", "left_semi").select("doc", "body").distinct()
+    found = materialise(found, "candidates")
+    discard(pairs, held, rarest)
+    return found
+
+
 def matches(
     docs: DataFrame, items: DataFrame, settings: Settings, key: str, text: str, item_key: str, item_text: str,
     limits: Limits, forms: tuple[str, ...],
@@ -145,10 +173,13 @@ def matches(
     found = materialise(item_windows(items, item_key, item_text, settings, forms), "item-windows")
     seen = found.groupBy("width").count().collect()  # one row per width
     small = sum(n for _, n in seen) <= limits.broadcast_rows
+    some = candidates(docs, found, key, text, limits).select(F.col("doc").alias("_doc"), F.col("body").alias("_body"))
+    few = some.count() <= limits.broadcast_rows
     names = [f"_{form}" for form in forms]
-    words = docs.where(F.col(text).isNotNull()).select(
-        F.col(key).alias("doc"), F.xxhash64(text).alias("body"),
-        *[hashed_words(words_of(F.col(text), form)).alias(n) for form, n in zip(forms, names)],
+    own = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("body"), F.col(text).alias("_text"))
+    same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("body") == F.col("_body"))
+    words = own.join(F.broadcast(some) if few else some, same, "left_semi").select(
+        "doc", "body", *[hashed_words(words_of(F.col("_text"), form)).alias(n) for form, n in zip(forms, names)],
     )
     widths = [width for width, _ in seen] or [settings.window]
     # A window without placeholders is the same in every form and goes into the join once.
@@ -160,7 +191,8 @@ def matches(
     for part in every[1:]:
         joined = joined.unionByName(part)
     joined = joined.select("doc", "body", "width", "at", F.explode("_all").alias("hash"))
-    met = joined.join(F.broadcast(found) if small else found, ["hash", "width"])
+    asked = found.drop("pairs")
+    met = joined.join(F.broadcast(asked) if small else asked, ["hash", "width"])
     return met.select("doc", "body", "item", "version", "form", "at", "item_at", "width", "counts", "total")
 
 
@@ -247,14 +279,14 @@ def judge_documents(
     ), "contaminated")
     listed = listed.select(F.col("doc").alias("_doc"), F.col("body").alias("_body"), "_items")
     small = listed.count() <= limits.broadcast_rows and found_bytes(listed) <= limits.broadcast_bytes
-    plain = [c for c in docs.columns if c not in ("contaminated", "items")]
-    own = docs.select(*plain, F.xxhash64(text).alias("_hash"))
-    same = F.col(key).eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_body"))
+    # The row is carried as one value, so that its columns may have any names.
+    own = docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"))
+    same = F.col("_key").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_body"))
     joined = own.join(F.broadcast(listed) if small else listed, same, "left")
     kind = listed.schema["_items"].dataType
     return joined.select(
-        *plain, F.col("_items").isNotNull().alias("contaminated"),
-        F.coalesce("_items", F.array().cast(kind)).alias("items"),
+        *[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("contaminated", "items")],
+        F.col("_items").isNotNull().alias("contaminated"), F.coalesce("_items", F.array().cast(kind)).alias("items"),
     )
 
 

@@ -19,10 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventrate.llm.files import new_file
+from eventrate.llm.files import new_file, qualified
 from eventrate.llm.flat import slices, starts_of
 from eventrate.llm.word_ids import encoder
-from eventrate.runtime import materialise, scratch_path
+from eventrate.runtime import discard, materialise, scratch_path
 
 MAGIC = b"RANKVB1\n"
 SUFFIX = ".ranks"
@@ -87,28 +87,36 @@ def read_blocks(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray,
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int, key: str, text: str) -> DataFrame:
-    """Compressed ids of every document, in the order of the table."""
+    """Compressed ids of every document, and for each task a row with the ``counts`` of all ids in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         words, squeeze = encoder(vocabulary), zstandard.ZstdCompressor(level=1)
-        kind = "<u2" if max(words.size, end_id + 1) <= 1 << 16 else "<u4"
+        size = max(words.size, end_id + 1)
+        kind = "<u2" if size <= 1 << 16 else "<u4"
+        total = np.zeros(size, np.int64)
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for a, b in slices([len(t) for t in texts], BATCH_BYTES):
                 ids, counts = words.encode(texts[a:b])
                 at = starts_of(counts)
+                total += np.bincount(ids, minlength=size)
+                total[end_id] += b - a
                 packed = [
                     squeeze.compress(np.append(ids[at[i]:at[i + 1]], end_id).astype(kind).tobytes())
                     for i in range(b - a)
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(counts + 1), pa.array(packed, pa.binary())],
-                    ["doc", "n", "packed"],
+                    [batch.column(0).slice(a, b - a), pa.array(counts + 1), pa.array(packed, pa.binary()),
+                     pa.nulls(b - a, pa.binary())], ["doc", "n", "packed", "counts"],
                 )
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+             pa.array([squeeze.compress(total.astype("<i8").tobytes())], pa.binary())], ["doc", "n", "packed", "counts"],
+        )
 
-    return docs.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(run, "doc bigint, n bigint, packed binary")
+    return docs.select(F.col(key).cast("bigint"), F.col(text)).mapInArrow(run, "doc bigint, n bigint, packed binary, counts binary")
 
 
 def _ids(packed: pa.Array, kind: str) -> list[np.ndarray]:
@@ -118,21 +126,18 @@ def _ids(packed: pa.Array, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(loose.decompress(p), kind) for p in packed.to_pylist()]
 
 
-def count_ids(stored: DataFrame, size: int, kind: str) -> np.ndarray:
-    """How often each id occurs in all documents; one number per id of the vocabulary."""
+def count_ids(stored: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in all documents, from what the tasks counted; one number per id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in _ids(batch.column(0), kind):
-                if len(ids) < size:
-                    np.add.at(total, ids, 1)
-                else:
-                    total += np.bincount(ids, minlength=size)
+            for counts in _ids(batch.column(0), "<i8"):
+                total += counts
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "times"])
 
-    counted = stored.select("packed").mapInArrow(run, "id bigint, times bigint").groupBy("id").agg(F.sum("times"))
+    counted = stored.where("counts is not null").select("counts").mapInArrow(run, "id bigint, times bigint").groupBy("id").agg(F.sum("times"))
     total = np.zeros(size, np.int64)
     for i, times in counted.collect():
         total[i] = times
@@ -147,17 +152,18 @@ def write_files(
 
     ``vocabulary`` is the path of a tokenizer file that splits words at white space; special tokens are not
     added, ``end_id`` ends each document.  The table of ranks has one entry per id of the vocabulary.
-    A task writes one file of about ``file_ids`` ids under a name of its own and moves it into place, so a
+    Ids are counted while they are encoded.  A task writes one file of about ``file_ids`` ids under a name of its own and moves it into place, so a
     repeated task replaces a file by an equal one.  NULL and empty texts have the end id alone; NULL keys
     come first; rows with one key stand together, ordered by their ids.  An empty table gives no file and False.
     """
+    folder = qualified(docs.sparkSession, folder)
     stored = materialise(encode_documents(docs, vocabulary, end_id, key, text), "ids")
     total = stored.agg(F.sum("n")).first()[0] or 0
     if not total:
         return False
     size = max(encoder(vocabulary).size, end_id + 1)
     kind = "<u2" if size <= 1 << 16 else "<u4"
-    id_of_rank = np.argsort(-count_ids(stored, size, kind), kind="stable")
+    id_of_rank = np.argsort(-count_ids(stored, size), kind="stable")
     rank_of_id = np.empty(size, np.uint32)
     rank_of_id[id_of_rank] = np.arange(size)
     head = MAGIC + struct.pack("<Q", size) + id_of_rank.astype("<u4").tobytes()
@@ -176,10 +182,11 @@ def write_files(
         yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([rows])], ["file", "docs"])
 
     ordered = (
-        stored.repartitionByRange(math.ceil(total / file_ids), "doc", F.crc32("packed"))
+        stored.where("packed is not null").select("doc", "n", "packed").repartitionByRange(math.ceil(total / file_ids), "doc", F.crc32("packed"))
         .sortWithinPartitions("doc", F.crc32("packed"))
     )
-    ordered.select("doc", "n", "packed").mapInArrow(run, "file bigint, docs bigint").agg(F.sum("docs")).first()
+    ordered.mapInArrow(run, "file bigint, docs bigint").agg(F.sum("docs")).first()
+    discard(stored)
     return True
 
 

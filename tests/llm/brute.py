@@ -55,9 +55,13 @@ def norm(line):
 
 
 def simhash(form):
-    own = [(spark_hash(w), len(w)) for w in form.split(" ")]
-    total = sum(n for _, n in own)
-    return sum(1 << k for k in range(63) if 2 * sum((h >> k & 1) * n for h, n in own) > total)
+    words = form.split(" ")
+    value = 0
+    for q, (at, width) in enumerate(((0, 16), (16, 16), (32, 16), (48, 15))):
+        own = [(spark_hash(w), len(w)) for i, w in enumerate(words) if i * 4 // len(words) == q]
+        total = sum(n for _, n in own)
+        value |= sum(1 << k for k in range(at, at + width) if 2 * sum((h >> k & 1) * n for h, n in own) > total)
+    return value
 
 
 def blocks(value):
@@ -77,8 +81,8 @@ def signed(value):
     return value - (1 << 64) if value >> 63 else value
 
 
-def dedup_lines(docs, min_words=5, bits=12, percent=90):
-    """(doc, text left) of documents (doc, text)."""
+def dedup_lines(docs, min_words=5, bits=20, percent=90, met=True):
+    """(doc, text left) of documents (doc, text); by edit similarity alone unless lines have to have ``met``."""
     placed = []
     for d, t in docs:
         for i, line in enumerate((t or "").split("\n")):
@@ -90,11 +94,15 @@ def dedup_lines(docs, min_words=5, bits=12, percent=90):
     linked = []
     for i, a in enumerate(forms):
         for b in forms[i + 1:]:
-            if min(len(a.split(" ")), len(b.split(" "))) < min_words or (hashes[a] ^ hashes[b]).bit_count() > bits:
+            if min(len(a.split(" ")), len(b.split(" "))) < min_words:
                 continue
-            if sum(x == y for x, y in zip(blocks(hashes[a]), blocks(hashes[b]))) < 2:
+            if met and (hashes[a] ^ hashes[b]).bit_count() > bits:
+                continue
+            if met and sum(x == y for x, y in zip(blocks(hashes[a]), blocks(hashes[b]))) < 2:
                 continue
             longer = max(len(a), len(b))
+            if abs(len(a) - len(b)) > longer * (100 - percent) // 100:
+                continue  # as many edits at least
             if edit_distance(a, b) <= longer * (100 - percent) // 100:
                 linked.append((a, b))
     group = groups(forms, linked)

@@ -1,6 +1,10 @@
+import random
+
 import pytest
 from llm import brute
+from pyspark.sql import functions as F
 
+from eventrate.llm import fuzzy_lines
 from eventrate.llm.fuzzy_lines import dedup_lines, occurrences
 from eventrate.runtime import Limits
 
@@ -55,5 +59,38 @@ def test_chain_is_one_group(spark):
     assert left(df) == sorted(brute.dedup_lines(docs), key=key)
 
 
+def test_recall_against_edit_similarity_alone(spark):
+    """Lines of 6 to 100 words with up to three letters changed inside words, against all pairs of lines."""
+    draw = random.Random(11)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(900)]
+
+    def edited(line, times):
+        letters = list(line)
+        for _ in range(times):
+            at = draw.choice([i for i, c in enumerate(letters) if c != " "])
+            letters[at] = draw.choice("abcdefghijklmnopqrstuvwxyz")
+        return "".join(letters)
+
+    docs = []
+    for n in (6, 8, 10, 16, 24, 40, 100):
+        for _ in range(3):
+            line = " ".join(draw.choices(words, k=n))
+            docs += [line, *(edited(line, t) for t in (1, 1, 2, 3))]
+    draw.shuffle(docs)
+    docs = list(enumerate(docs))
+    got = dict(left(spark.createDataFrame(docs, "doc_id bigint, text string")))
+    want = dict(brute.dedup_lines(docs, met=False))
+    gone, sought = ({d for d, t in x.items() if not t} for x in (got, want))
+    assert gone <= sought and len(gone) >= 0.9 * len(sought) > 50
+
+
 def test_empty_table(spark):
     assert left(spark.createDataFrame([], "doc_id bigint, text string")) == []
+
+
+def test_columns_of_any_name(spark):
+    names = ("_text", "_hash", "_lines", "_kept", "_drop", "_row", "_key", "_said", "_doc", "_body")
+    docs = spark.createDataFrame([(1, "the same line here again\nother"), (2, "the same line here again")], "doc_id bigint, text string")
+    got = fuzzy_lines.dedup_lines(docs.withColumns({c: F.lit("own") for c in names})).orderBy("doc_id").collect()
+    assert [(r.text, r.lines_dropped) for r in got] == [("the same line here again\nother", 0), ("", 1)]
+    assert all(r[c] == "own" for r in got for c in names)

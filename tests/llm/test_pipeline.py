@@ -58,3 +58,26 @@ def test_stages_keep_the_columns(spark, small):
         assert stage(spark, docs, small).columns == docs.columns, name
         assert stage(spark, docs.limit(0), small).collect() == [], name
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_repeated_ids_lose_no_other_text(spark):
+    """Rows of one id: a copy goes, another text stays, an exact repeat is one document."""
+    one = " ".join(f"a{i} thing" for i in range(60))
+    other = " ".join(f"b{i} of it" for i in range(60))
+    rows = [(1, one), (2, one), (2, other), (3, other + " end"), (4, "short"), (4, "short"), (None, one), (5, None), (5, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = sorted(((r.doc_id, r.text) for r in stage(spark, docs, FOLDER).collect()), key=repr)
+    # NULL comes before every id, so its copy of the text stays.
+    assert got == sorted([(None, one), (2, other), (4, "short"), (5, None)], key=repr)
+
+
+def test_stages_stand_any_column_names(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(30)
+    docs = docs.withColumns({c: F.lit("own") for c in (
+        "row", "id", "hash", "node", "_row", "_key", "_hash", "_text", "_lines", "_kept", "_drop", "_dropped", "_left", "_text_hash", "_doc", "_body", "_items",
+    )})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, small)
+        assert got.columns == docs.columns, name
+        assert all(r._text == r._hash == r.node == "own" for r in got.collect()), name

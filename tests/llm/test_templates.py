@@ -1,5 +1,7 @@
 from llm import brute
+from pyspark.sql import functions as F
 
+from eventrate.llm import templates
 from eventrate.llm.templates import Settings, contaminated, judge_documents
 
 FOLDER = "/root/testdata/sf0.001"
@@ -72,3 +74,32 @@ def test_joins_alike_without_broadcast(spark):
     few = Limits(broadcast_rows=0)
     assert judge_documents(docs, items).where("contaminated").count() == 20
     assert judge_documents(docs, items, Settings(), limits=few).where("contaminated").count() == 20
+
+
+def test_columns_of_any_name(spark):
+    names = ("_hash", "_doc", "_items", "_row", "_key", "_body", "body")
+    docs = spark.createDataFrame([(1, ITEM), (2, "nothing of the kind")], "doc_id bigint, text string").withColumns({c: F.lit("own") for c in names})
+    items = spark.createDataFrame([(7, ITEM)], "item_id bigint, text string")
+    got = sorted(templates.judge_documents(docs, items).collect())
+    assert [(r.doc_id, r.contaminated) for r in got] == [(1, True), (2, False)]
+    assert all(r[c] == "own" for r in got for c in names)
+
+
+def test_every_window_has_a_pair_that_its_documents_hold(spark):
+    """What the first pass looks for is in every text that the join would match."""
+    items = spark.createDataFrame([(i, t) for i, t in enumerate([
+        ITEM, "Tom has 3 cups and Anna buys 12 kg of the red sand for 5 days", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15",
+        "one two three four five six", "Who Wrote The Famous Novel About Captain Ahab And The White Whale", "a b c d e",
+    ])], "item_id bigint, text string")
+    windows = templates.item_windows(items, "item_id", "text", templates.Settings(), templates.FORMS)
+    rows = windows.collect()
+    assert rows and all(r.pairs for r in rows)
+    words = items.select("item_id", templates.raw_words(F.col("text")).alias("w")).collect()
+    hashed = {
+        (r.item_id, k): spark.range(1).select(F.xxhash64(F.lit(r.w[k]), F.lit(r.w[k + 1]))).first()[0]
+        for r in words[:2] for k in range(len(r.w) - 1)
+    }
+    for r in rows:
+        if r.item < 2:
+            own = {hashed[r.item, r.item_at + k] for k in range(r.width - 1)}
+            assert set(r.pairs) <= own
