@@ -166,7 +166,7 @@ class _Repair:
             ]
             if options:
                 found[goal[0]] = min(options)
-        self.candidates = found
+        self.candidates = _hopeful(found)
         self.pieces.append((self.turns, signs))
         self.turns = []
         while self.pieces:
@@ -192,6 +192,18 @@ class _Repair:
             yield row
 
 
+def _hopeful(found: dict[int, tuple[int, list[str]]]) -> dict[int, tuple[int, list[str]]]:
+    """Candidates that may still win or tie.
+
+    From the assistant's turn everything goes on as from another one after a few edits at most: an insertion leads to the
+    user's turn, and a system turn that only the start could keep is deleted.  The user's turn gets there by an insertion.
+    """
+    inf = float("inf")
+    user, assistant = (found[r][0] if r in found else inf for r in (USER, ASSISTANT))
+    most = {START: assistant + DELETED, SYSTEM: assistant, USER: assistant + INSERTED, ASSISTANT: user + INSERTED}
+    return {r: f for r, f in found.items() if f[0] <= most[r]}
+
+
 def _sign(turn: tuple) -> str:
     _, role, _, fault = turn
     initial = role[:1] if role[:1] in ("s", "u", "a") else "?"

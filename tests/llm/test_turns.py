@@ -98,7 +98,7 @@ def summary(rows, conv):
 def test_auction_against_a_table_of_best_paths():
     draw = random.Random(1)
     for k in range(1500):
-        n = draw.randint(0, 8) if k % 10 else draw.randint(20, turns.PIECE)
+        n = draw.randint(0, 8) if k % 10 else draw.randint(9, 2 * turns.PIECE)
         signs = "".join(draw.choice("suuuaaa?") + draw.choice("----tx") for _ in range(n))
         assert turns.cheapest(signs, turns.START, (turns.START, turns.ASSISTANT), True) == cheapest_by_table(signs), signs
         entry, end = draw.randrange(4), draw.randrange(4)
