@@ -112,10 +112,11 @@ class WordEncoder:
         if len(self.pieces) > 2 * self.cached:
             self._clear_pieces()
         split = [text.split() for text in texts]
-        new = list(set().union(*split) - self.words.keys())
-        if new:
-            self._learn(new)
-        chosen = np.array(list(map(self.words.__getitem__, chain.from_iterable(split))), np.int64)
+        known = list(map(self.words.get, chain.from_iterable(split)))
+        if None in known:
+            self._learn(list({w for w, i in zip(chain.from_iterable(split), known) if i is None}))
+            known = list(map(self.words.__getitem__, chain.from_iterable(split)))
+        chosen = np.array(known, np.int64)
         ids = gather(self.flat, starts_of(self.lengths)[:-1], self.lengths, chosen)
         ends = starts_of(self.lengths[chosen])
         return ids, np.diff(ends[starts_of(np.array([len(w) for w in split], np.int64))])
