@@ -139,7 +139,9 @@ def _combined(rows: DataFrame, terms: Sequence[str]) -> DataFrame:
 
         def summed() -> pa.Table:
             table = pa.concat_tables(held).group_by(list(terms), use_threads=False).aggregate([(EVENTS, "sum"), (WEIGHT, "sum")])
-            return table.rename_columns([c.removesuffix("_sum") for c in table.column_names]).select(names)
+            table = table.rename_columns([c.removesuffix("_sum") for c in table.column_names]).select(names)
+            # Sums may be NULL for Arrow; batches that follow say that the columns are not.
+            return pa.Table.from_arrays(table.columns, schema=held[0].schema)
 
         for batch in batches:
             if not useful:

@@ -253,3 +253,16 @@ def test_backward_search_of_many_terms_has_no_cap(spark):
     terms = [f"n{i}" for i in range(46)]
     with pytest.raises(RuntimeError):
         model.stepwise(df, "e", terms, max_fits=40)
+
+
+@pytest.mark.parametrize("values", [7, 1 << 40])
+def test_rows_summed_in_a_task_that_reads_more_than_it_holds(spark, values):
+    """Few distinct rows, summed again and again, and many, which are passed on after the first look."""
+    n = 2 * model.HELD_ROWS + 12_345
+    rows = spark.range(0, n, 1, 1).select(
+        (F.col("id") % 3).cast("double").alias(model.EVENTS), (F.col("id") % values).cast("double").alias("x"),
+        F.lit(1.0).alias(model.WEIGHT),
+    )
+    got = model._combined(rows, ["x"]).agg(F.sum(model.EVENTS), F.sum(model.WEIGHT), F.count_distinct("x"), F.count("x")).first()
+    assert tuple(got)[:3] == (sum(i % 3 for i in range(n)), n, min(n, values))
+    assert got[3] == (7 if values == 7 else n)
