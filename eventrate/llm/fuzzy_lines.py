@@ -22,6 +22,7 @@ from eventrate.runtime import LIMITS, Limits, materialise, passing_tables
 FIELD, SUMS = 21, 21
 FIELDS = sum(1 << FIELD * f for f in range(3))
 BLOCKS = (16, 16, 16, 15)
+CHUNK, ANCHOR = 100, 12  # characters of the pieces that bound an edit distance, and of those that are sought behind one
 
 
 @dataclass(frozen=True)
@@ -40,9 +41,11 @@ class Settings:
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Lines with a letter or digit: ``doc``, ``body`` (hash of its text), ``line`` number, normalised ``norm``."""
     flat = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}\n]+", " ")
+    # Whatever stands beside an explode is worked out for each row that it makes, so the hash comes before.  An inner
+    # explode would be filtered for empty lists at the scan, which means that all texts are split once more.
     split = docs.where(F.col(text).isNotNull()).select(
-        F.col(key).alias("doc"), F.xxhash64(text).alias("body"), F.posexplode(F.split(flat, "\n")).alias("line", "norm")
-    )
+        F.col(key).alias("doc"), F.xxhash64(text).alias("body"), F.split(flat, "\n").alias("norms")
+    ).select("doc", "body", F.posexplode_outer("norms").alias("line", "norm"))
     return split.withColumn("norm", F.trim("norm")).where("norm <> ''")
 
 
@@ -51,9 +54,11 @@ def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     The words of a line are summed where the line was read; one row per line is shuffled.
     """
-    words = lines(docs, key, text).select(
-        "doc", "body", "line", F.xxhash64("norm").alias("node"), F.char_length("norm").alias("chars"),
-        F.size(F.split("norm", " ")).alias("own"), F.posexplode(F.split("norm", " ")).alias("at", "word"),
+    split = lines(docs, key, text).select(
+        "doc", "body", "line", F.xxhash64("norm").alias("node"), F.char_length("norm").alias("chars"), F.split("norm", " ").alias("own"),
+    )
+    words = split.select(
+        "doc", "body", "line", "node", "chars", F.size("own").alias("own"), F.posexplode_outer("own").alias("at", "word"),
     )
     # The block that a word votes on: the quarter of the line in which it stands.
     masks, first = [], 0
@@ -66,21 +71,29 @@ def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
         "quarter": quarter,
     })
     place = ["doc", "body", "line", "node", "chars"]
+    none = F.lit(0).cast("bigint")
     sums = [
-        F.try_sum(F.shiftrightunsigned("word", k).bitwiseAND(F.lit(FIELDS)) * F.col("letters")).alias(f"s{k}") for k in range(SUMS)
+        F.coalesce(F.try_sum(F.shiftrightunsigned("word", k).bitwiseAND(F.lit(FIELDS)) * F.col("letters")), none).alias(f"s{k}")
+        for k in range(SUMS)
     ]
-    voters = [F.sum(F.when(F.col("quarter") == q, F.col("letters"))).alias(f"letters{q}") for q in range(len(BLOCKS))]
+    voters = [F.coalesce(F.sum(F.when(F.col("quarter") == q, F.col("letters"))), none).alias(f"letters{q}") for q in range(len(BLOCKS))]
     counted = hashed.groupBy(*place).agg(F.count(F.lit(1)).alias("words"), *voters, *sums)
     mask = F.lit((1 << FIELD) - 1)
     owner = [q for q, width in enumerate(BLOCKS) for _ in range(width)]
-    bits = [
-        F.when(F.shiftright(f"s{k}", FIELD * f).bitwiseAND(mask) * 2 > F.col(f"letters{owner[k + FIELD * f]}"), F.lit(1 << k + FIELD * f))
-        .otherwise(F.lit(0).cast("bigint"))
-        for f in range(3) for k in range(SUMS)
-    ]
-    simhash = bits[0]
-    for b in bits[1:]:
-        simhash = simhash.bitwiseOR(b)
+    # As a function of one sum: the code of 63 comparisons in a row is too long for the JVM to compile.
+    votes = F.array(*[
+        F.struct(F.col(f"s{k}").alias("ones"), *[F.col(f"letters{owner[k + FIELD * f]}").alias(f"of{f}") for f in range(3)])
+        for k in range(SUMS)
+    ])
+
+    def bits(v: Column, k: Column) -> Column:
+        three = [
+            F.when(F.shiftright(v["ones"], FIELD * f).bitwiseAND(mask) * 2 > v[f"of{f}"], F.lit(1 << FIELD * f)).otherwise(none)
+            for f in range(3)
+        ]
+        return F.call_function("shiftleft", three[0].bitwiseOR(three[1]).bitwiseOR(three[2]), k)
+
+    simhash = F.aggregate(F.transform(votes, bits), none, lambda x, y: x.bitwiseOR(y))
     return counted.select(*place, "words", simhash.alias("simhash"))
 
 
@@ -119,7 +132,17 @@ def confirm(
     two = forms.select(F.col("node").alias("b"), F.col("norm").alias("two"))
     longer = "greatest(char_length(one), char_length(two))"
     most = f"cast(floor({longer} * {100 - settings.percent} / 100) as int)"
-    return pairs.join(two, "b").join(one, "a").where(f"levenshtein(one, two, {most}) >= 0").select("a", "b")
+    # Edits of pieces are never fewer than those of the whole, wherever the two lines are cut; mostly they are few enough,
+    # and the whole need not be compared, which takes time with the square of the length.  A piece ends in the second line
+    # where the letters behind it in the first one are found again, near the place where it should end.
+    last = f"cast((char_length(one) - 1) / {CHUNK} as int)"
+    found = f"locate(substring(one, (i + 1) * {CHUNK} + 1, {ANCHOR}), substring(two, s.at + {CHUNK // 2}, {CHUNK + ANCHOR}))"
+    end = f"if(i = {last}, char_length(two) + 1, if({found} > 0, s.at + {CHUNK // 2} - 1 + {found}, s.at + {CHUNK}))"
+    piece = (f"substring(one, i * {CHUNK} + 1, {CHUNK})", f"substring(two, s.at, {end} - s.at)")
+    bound = f"""aggregate(sequence(0, {last}), named_struct('at', 1, 'cost', 0), (s, i) -> named_struct('at', {end}, 'cost',
+        s.cost + if({piece[0]} = {piece[1]}, 0, levenshtein({piece[0]}, {piece[1]}))), s -> s.cost)"""
+    near = f"case when {bound} <= {most} then true else levenshtein(one, two, {most}) >= 0 end"
+    return pairs.join(two, "b").join(one, "a").where(near).select("a", "b")
 
 
 def repeated_lines(

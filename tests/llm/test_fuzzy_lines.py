@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from llm import brute
@@ -94,3 +95,43 @@ def test_columns_of_any_name(spark):
     got = fuzzy_lines.dedup_lines(docs.withColumns({c: F.lit("own") for c in names})).orderBy("doc_id").collect()
     assert [(r.text, r.lines_dropped) for r in got] == [("the same line here again\nother", 0), ("", 1)]
     assert all(r[c] == "own" for r in got for c in names)
+
+
+def test_cost_of_lines(spark):
+    """Texts are not split at the scan, nor their hash taken, once for each line or word; code is short enough to be compiled."""
+    docs = spark.createDataFrame([(1, "a b\nc")], "doc_id bigint, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        planned = occurrences(docs, "doc_id", "text")._jdf.queryExecution()
+        plan = planned.optimizedPlan().toString()
+        code = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(planned, "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("regexp_replace") == 1 and plan.count("xxhash64(text") == 1
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
+
+
+def test_long_lines_against_edit_distance(spark):
+    """Long lines with words put in, taken out and changed, near the limit of 90 %: linked as the edit distance of all says."""
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefghij", k=draw.randint(2, 9))) for _ in range(300)]
+    lines = []
+    for rate in (0.01, 0.04, 0.07, 0.09, 0.11, 0.14) * 4:
+        one = draw.choices(words, k=draw.randint(5, 200))
+        two = []
+        for w in one:
+            kind = draw.random() / rate
+            two += [w] if kind > 1 else [] if kind < 0.3 else [w, draw.choice(words)] if kind < 0.6 else [draw.choice(words)]
+        lines.append((" ".join(one), " ".join(two) or "x"))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(t for pair in lines for t in pair)], "doc_id bigint, text string")
+    found = occurrences(docs, "doc_id", "text")
+    classes = found.groupBy("node").agg(F.min(F.struct("doc", "body", "line")).alias("first"))
+    node = {r.doc: r.node for r in found.collect()}
+    pairs = spark.createDataFrame([(node[2 * i], node[2 * i + 1]) for i in range(len(lines))], "a bigint, b bigint")
+    got = fuzzy_lines.confirm(pairs, classes, docs, fuzzy_lines.Settings(), "doc_id", "text", Limits())
+    linked = {(r.a, r.b) for r in got.collect()}
+    want = {
+        (node[2 * i], node[2 * i + 1]) for i, (one, two) in enumerate(lines)
+        if brute.edit_distance(one, two) <= max(len(one), len(two)) * 10 // 100
+    }
+    assert linked == want and 3 < len(want) < len(lines) - 3
