@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import regex
@@ -81,8 +81,7 @@ class WordEncoder:
             self.pieces.update(zip(fresh, range(len(self.pieces), len(self.pieces) + len(fresh))))
             self.piece_flat = np.concatenate([self.piece_flat, ids])
             self.piece_lengths = np.concatenate([self.piece_lengths, counts])
-        at = self.pieces
-        places = np.array([-1 if p == "\n" else at[p] for p in found], np.int64)
+        places = np.fromiter(map(self.pieces.get, found, repeat(-1)), np.int64, len(found))
         ends = places < 0
         own = places[~ends]
         total = starts_of(self.piece_lengths[own])
@@ -92,7 +91,10 @@ class WordEncoder:
         return ids, np.diff(upto, prepend=0)
 
     def _learn(self, new: list[bytes]) -> None:
-        odd = {i for i, w in enumerate(new) if ODD.search(w)}
+        # All words are looked through at once; nothing odd reaches over the end of a word.
+        places = [m.start() for m in ODD.finditer(b"\n".join(new))]
+        ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 1)
+        odd = set(np.searchsorted(ends, places, side="right").tolist())
         plain = [w for i, w in enumerate(new) if i not in odd] if odd else new
         parts = []
         if plain:
@@ -112,11 +114,13 @@ class WordEncoder:
         if len(self.pieces) > 2 * self.cached:
             self._clear_pieces()
         split = [text.split() for text in texts]
-        known = list(map(self.words.get, chain.from_iterable(split)))
-        if None in known:
-            self._learn(list({w for w, i in zip(chain.from_iterable(split), known) if i is None}))
-            known = list(map(self.words.__getitem__, chain.from_iterable(split)))
-        chosen = np.array(known, np.int64)
+        flat = list(chain.from_iterable(split))
+        chosen = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))
+        unseen = np.flatnonzero(chosen < 0)
+        if len(unseen):
+            new = [flat[i] for i in unseen.tolist()]
+            self._learn(list(set(new)))
+            chosen[unseen] = np.fromiter(map(self.words.__getitem__, new), np.int64, len(new))
         ids = gather(self.flat, starts_of(self.lengths)[:-1], self.lengths, chosen)
         ends = starts_of(self.lengths[chosen])
         return ids, np.diff(ends[starts_of(np.array([len(w) for w in split], np.int64))])

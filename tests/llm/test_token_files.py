@@ -90,3 +90,18 @@ def test_round_trip(spark, library, file_ids):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert token_files.round_trip(df, PATH, 2).collect() == []
+
+
+def test_odd_words_among_plain_ones():
+    """Words that the pattern alone cannot place are told in one look over all new words, whatever stands beside them."""
+    import public_tokenizers
+
+    from eventrate.llm.word_ids import WordEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = WordEncoder(path, cached=20)
+    texts = ["plain <|x|> café ’tis < |pipe a\u0085b c d Straße İx", "", "x<| y", "—", "again plain — ’tis x<|", "< | <| don't 12,5 A-Z"]
+    for part in (texts, texts[::-1], [t + " new" for t in texts]):
+        ids, counts = own.encode([t.encode() for t in part])
+        want = [own.library.encode(t, add_special_tokens=False).ids for t in part]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
