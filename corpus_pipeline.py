@@ -17,8 +17,11 @@ from eventrate.runtime import LIMITS, materialise, passing_tables, scratch_path
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language.  Those without a letter, in which no language can be told, go."""
-    told = ecoc.identify(docs.select(F.struct("*").alias("row"), "text"), ecoc.learn(docs), keep=["row"])
-    return told.where(F.col("lang_pred") != ecoc.UNKNOWN).select("row.*")
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
+    told = ecoc.identify(docs.select(others, "text"), ecoc.learn(docs), keep=["row", "text"])
+    return told.where(F.col("lang_pred") != ecoc.UNKNOWN).select(
+        *["text" if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    )
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 
-from eventrate.llm.flat import U64, mix, slices, starts_of
+from eventrate.llm.flat import U64, mix, starts_of, text_slices
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -98,10 +98,6 @@ def buckets(texts: Sequence[str], settings: Settings) -> tuple[list[np.ndarray],
     return out, lengths
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [(t or b"").decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
-
-
 def margins(texts: Sequence[str], model: Model) -> np.ndarray:
     """Evidence of each text for each bit: log odds summed over n-grams, divided by the root of their number."""
     places, lengths = buckets(texts, model.settings)
@@ -145,10 +141,9 @@ def learn(labelled: DataFrame, settings: Settings = Settings(), text: str = "tex
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((len(languages), size), np.int64)
         for batch in batches:
-            texts = _texts(batch.column(0))
             label = [number[x] for x in batch.column(1).to_pylist()]
-            for a, b in slices([len(t) for t in texts], BATCH_BYTES):
-                places, lengths = buckets(texts[a:b], settings)
+            for a, b, texts in text_slices(batch.column(0), BATCH_BYTES):
+                places, lengths = buckets(texts, settings)
                 owner = np.repeat(np.array(label[a:b]), lengths) * size
                 for place in places:
                     np.add.at(seen.ravel(), owner + place, 1)
@@ -169,10 +164,9 @@ def learn(labelled: DataFrame, settings: Settings = Settings(), text: str = "tex
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right, rows = np.zeros(code.shape, np.int64), np.zeros(len(languages), np.int64)
         for batch in batches:
-            texts = _texts(batch.column(0))
             label = np.array([number[x] for x in batch.column(1).to_pylist()], np.int64)
-            for a, b in slices([len(t) for t in texts], BATCH_BYTES):
-                np.add.at(right, label[a:b], margins(texts[a:b], model) * code[label[a:b]] > 0)
+            for a, b, texts in text_slices(batch.column(0), BATCH_BYTES):
+                np.add.at(right, label[a:b], margins(texts, model) * code[label[a:b]] > 0)
                 np.add.at(rows, label[a:b], 1)
         i, j = np.indices(code.shape).reshape(2, -1)
         yield pa.RecordBatch.from_arrays(
@@ -202,13 +196,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _texts(batch.column(0))
-            for a, b in slices([len(t) for t in texts], BATCH_BYTES):
+            for a, b, texts in text_slices(batch.column(at), BATCH_BYTES):
                 names: list[str] = [UNKNOWN] * (b - a)
                 score, unsure = np.zeros(b - a), np.zeros(b - a, bool)
-                told = [i for i in range(b - a) if model.languages and LETTER.search(texts[a + i])]
+                told = [i for i in range(b - a) if model.languages and LETTER.search(texts[i])]
                 if told:
-                    loss = losses(margins([texts[a + i] for i in told], model), model)
+                    loss = losses(margins([texts[i] for i in told], model), model)
                     odds = np.exp((loss.min(1, keepdims=True) - loss) * bits)
                     odds /= odds.sum(1, keepdims=True)
                     best = loss.argmin(1)
@@ -219,7 +212,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[s
                         names[i] = model.languages[w]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array(names), pa.array(score), pa.array(unsure)], [*kept, *added]
+                    [*part.columns[:len(kept)], pa.array(names), pa.array(score), pa.array(unsure)], [*kept, *added]
                 )
 
-    return docs.select(F.col(text).alias("_read"), *kept).mapInArrow(run, schema)
+    # A text that is kept is sent once.
+    at = kept.index(text) if text in kept else len(kept)
+    return docs.select(*kept, *([] if text in kept else [F.col(text).alias("_read")])).mapInArrow(run, schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 
@@ -35,6 +37,13 @@ def slices(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
+def text_slices(column: pa.Array, most: int) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of neighbours of about ``most`` bytes and their texts, "" for NULL; one range is decoded at a time."""
+    raw = column.cast(pa.binary())
+    for a, b in slices(pc.fill_null(pc.binary_length(raw), 0).to_pylist(), most):
+        yield a, b, [(t or b"").decode("utf-8", "replace") for t in raw.slice(a, b - a).to_pylist()]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: a one-to-one scramble of 64-bit words."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType
 
-from eventrate.llm.flat import gather, slices, starts_of
+from eventrate.llm.flat import gather, starts_of, text_slices
 
 SPACE = "▁"
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6  # kinds of piece in a model file
 UNKNOWN_PENALTY = 10.0
-BATCH_BYTES = 1 << 21
-CELLS = 1 << 21  # words x positions solved side by side
+BATCH_BYTES = 1 << 20
+CELLS = 1 << 20  # words x positions solved side by side
 
 _codecs: dict[str, Codec] = {}
 
@@ -216,17 +216,18 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
-            texts = [(t or b"").decode("utf-8", "replace") for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            for a, b in slices([len(t) for t in texts], BATCH_BYTES):
-                ids, counts = own.encode([t.replace(SPACE, " ") for t in texts[a:b]])
-                same = [x == y for x, y in zip(own.decode(ids, counts), texts[a:b])]
+            for a, b, texts in text_slices(batch.column(at), BATCH_BYTES):
+                ids, counts = own.encode([t.replace(SPACE, " ") for t in texts])
+                same = [x == y for x, y in zip(own.decode(ids, counts), texts)]
                 lists = pa.ListArray.from_arrays(pa.array(starts_of(counts), pa.int32()), pa.array(ids, pa.int32()))
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array(counts), lists, pa.array(same)], [*kept, *added]
+                    [*part.columns[:len(kept)], pa.array(counts), lists, pa.array(same)], [*kept, *added]
                 )
 
-    return docs.select(F.col(text).alias("_read"), *kept).mapInArrow(run, schema)
+    # A text that is kept is sent once.
+    at = kept.index(text) if text in kept else len(kept)
+    return docs.select(*kept, *([] if text in kept else [F.col(text).alias("_read")])).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, model: str, ids: str = "ids", text: str = "text") -> DataFrame:

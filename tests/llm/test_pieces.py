@@ -1,11 +1,15 @@
+import tracemalloc
+
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from sentencepiece import sentencepiece_model_pb2 as pb
 
+from eventrate.llm.flat import text_slices
 from eventrate.llm.pieces import codec, decode_documents, encode_documents
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -80,3 +84,20 @@ def test_table(spark):
     back = {r.doc_id: r.text for r in decode_documents(got.drop("text"), PATH).collect()}
     assert back[3] == " a  b " and back[6] == "word" * 20_000 and back[5] == "y z"
     assert encode_documents(df.limit(0), PATH).collect() == []
+
+
+def test_texts_are_sent_once_and_decoded_slice_by_slice(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    plan = encode_documents(df, PATH)._jdf.queryExecution().analyzed().toString()
+    assert "_read" not in plan
+    assert "_read" in encode_documents(df, PATH, keep=["doc_id"])._jdf.queryExecution().analyzed().toString()
+    texts = ["ab" * 5000, None, "", "é" * 5000] * 500
+    column = pa.array(texts)
+    tracemalloc.start()
+    found = []
+    for a, b, part in text_slices(column, 100_000):
+        found += [(t is None, hash(t or "")) for t in texts[a:b]]
+        assert part == [t or "" for t in texts[a:b]]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(texts) and peak < 2_000_000 < column.nbytes
