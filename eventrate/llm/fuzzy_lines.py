@@ -22,7 +22,7 @@ from eventrate.runtime import LIMITS, Limits, materialise, passing_tables
 FIELD, SUMS = 21, 21
 FIELDS = sum(1 << FIELD * f for f in range(3))
 BLOCKS = (16, 16, 16, 15)
-CHUNK, ANCHOR = 100, 12  # characters of the pieces that bound an edit distance, and of those that are sought behind one
+CHUNK, ANCHOR = 32, 12  # characters of the pieces that bound an edit distance, and of those that are sought behind one
 
 
 @dataclass(frozen=True)
@@ -110,11 +110,15 @@ def block_keys(simhash: str) -> Column:
 def confirm(
     pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: Settings, key: str, text: str, limits: Limits,
 ) -> DataFrame:
-    """The pairs (a, b) of line hashes whose normal forms reach the edit similarity.
-
-    Only documents that hold the first occurrence of a line in a pair are read for its text.
-    """
+    """The pairs (a, b) of line hashes whose normal forms reach the edit similarity."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return near_pairs(pairs, normal_forms(wanted, classes, docs, key, text, limits), settings)
+
+
+def normal_forms(
+    wanted: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, limits: Limits,
+) -> DataFrame:
+    """``node`` and ``norm`` of the lines ``wanted``.  Only documents that hold the first occurrence of one are read for its text."""
     places = classes.select("node", "first").join(wanted, "node", "left_semi")
     places = materialise(places.select(
         "node", F.col("first.doc").alias("_doc"), F.col("first.body").alias("_body"), F.col("first.line").alias("_line")
@@ -127,24 +131,53 @@ def confirm(
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("body") == F.col("_body")) & (F.col("line") == F.col("_line"))
     found = lines(some, "_key", "_text").join(F.broadcast(places) if few else places, same)
     # Repeated rows hold the same line.
-    forms = materialise(found.groupBy("node").agg(F.min("norm").alias("norm")), "forms")
+    return materialise(found.groupBy("node").agg(F.min("norm").alias("norm")), "forms")
+
+
+def near_pairs(pairs: DataFrame, forms: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (a, b) whose normal forms reach the edit similarity."""
     one = forms.select(F.col("node").alias("a"), F.col("norm").alias("one"))
     two = forms.select(F.col("node").alias("b"), F.col("norm").alias("two"))
     longer = "greatest(char_length(one), char_length(two))"
     most = f"cast(floor({longer} * {100 - settings.percent} / 100) as int)"
     # Edits of pieces are never fewer than those of the whole, wherever the two lines are cut; mostly they are few enough,
-    # and the whole need not be compared, which takes time with the square of the length.  A piece ends in the second line
-    # where the letters behind it in the first one are found again, near the place where it should end.
-    last = f"cast((char_length(one) - 1) / {CHUNK} as int)"
-    found = f"locate(substring(one, (i + 1) * {CHUNK} + 1, {ANCHOR}), substring(two, s.at + {CHUNK // 2}, {CHUNK + ANCHOR}))"
-    end = f"if(i = {last}, char_length(two) + 1, if({found} > 0, s.at + {CHUNK // 2} - 1 + {found}, s.at + {CHUNK}))"
-    piece = (f"substring(one, i * {CHUNK} + 1, {CHUNK})", f"substring(two, s.at, {end} - s.at)")
-    bound = f"""aggregate(sequence(0, {last}), named_struct('at', 1, 'cost', 0), (s, i) -> named_struct('at', {end}, 'cost',
-        s.cost + if({piece[0]} = {piece[1]}, 0, levenshtein({piece[0]}, {piece[1]}))), s -> s.cost)"""
-    near = f"case when {bound} <= {most} then true else levenshtein(one, two, {most}) >= 0 end"
+    # and the whole need not be compared.  A piece ends in the second line where the letters behind it in the first one
+    # are found again, near the place where it should end.
+    last = f"cast(greatest(char_length(r.one) - 1, 0) / {CHUNK} as int)"
+    found = f"locate(substring(r.one, (i + 1) * {CHUNK} + 1, {ANCHOR}), substring(r.two, s.at + {CHUNK // 2}, {CHUNK + ANCHOR}))"
+    place = f"if(place > 0, s.at + {CHUNK // 2} - 1 + place, s.at + {CHUNK})"
+    end = f"if(i = {last}, char_length(r.two) + 1, {_let(found, 'place', place)})"
+    piece = (f"substring(r.one, i * {CHUNK} + 1, {CHUNK})", "substring(r.two, s.at, stop - s.at)")
+    cost = f"if({piece[0]} = {piece[1]}, 0, levenshtein({piece[0]}, {piece[1]}))"
+    # A bound that is beyond the limit needs no more pieces.
+    step = _let(end, "stop", f"named_struct('at', stop, 'cost', s.cost + {cost})")
+    bound = f"aggregate(sequence(0, {last}), named_struct('at', 1, 'cost', 0), (s, i) -> if(s.cost > r.most, s, {step}), s -> s.cost)"
+    near = f"case when {bound} <= r.most then true else levenshtein(r.one, r.two, r.most) >= 0 end"
+    # What both begin or end with costs no edit, and time is taken with the square of the length that is left.
+    tail = "named_struct('one', substring(t.one, tail + 1), 'two', substring(t.two, tail + 1), 'most', t.most)"
+    near = _let(_let(_same("t.one", "t.two"), "tail", tail), "r", near)
+    head = f"named_struct('one', reverse(substring(one, head + 1)), 'two', reverse(substring(two, head + 1)), 'most', {most})"
+    near = _let(_let(_same("one", "two"), "head", head), "t", near)
     return pairs.join(two, "b").join(one, "a").where(near).select("a", "b")
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for ``body``, in which ``name`` stands for ``value``.
+
+    A column would be put back as its expression, wherever it is named, as the filter is moved below it.
+    """
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _same(one: str, two: str) -> str:
+    """SQL for the number of characters that ``one`` and ``two`` begin with alike, found by halving."""
+    shorter = f"least(char_length({one}), char_length({two}))"
+    step = "shiftleft(1, e)"
+    alike = f"at + {step} <= {shorter} and substring({one}, at + 1, {step}) = substring({two}, at + 1, {step})"
+    powers = f"sequence(cast(floor(log2(greatest({shorter}, 1))) as int), 0, -1)"
+    return f"aggregate({powers}, 0, (at, e) -> if({alike}, at + {step}, at))"
+
+
 def repeated_lines(
     docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", limits: Limits = LIMITS,
 ) -> DataFrame:
@@ -170,7 +203,8 @@ def repeated_lines(
 
     groups = group(
         members, fuzzy.select("node", "simhash", "chars"), may_link,
-        lambda pairs: confirm(pairs, classes, docs, settings, key, text, limits),
+        lambda nodes: normal_forms(nodes, classes, docs, key, text, limits),
+        lambda pairs, forms: near_pairs(pairs, forms, settings),
     )
     if groups is None:
         keepers = classes.where("times > 1").select("node", "first")

@@ -46,13 +46,14 @@ def _is_forest(edges: DataFrame) -> bool:
 
 def group(
     members: DataFrame, attributes: DataFrame, may_link: Callable[[str, str], Column],
-    confirm: Callable[[DataFrame], DataFrame],
+    prepare: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame, DataFrame], DataFrame],
 ) -> DataFrame | None:
     """``node`` and ``component`` of every node that is linked with another one; None if there is no link.
 
     ``members`` has ``key`` and ``node`` and should be cheap to read twice.  ``attributes`` has one row per
     ``node``; ``may_link(x, y)`` reads them with the name prefixes of two sides and rules pairs out early.
-    ``confirm`` gets stored pairs (a, b) with a < b, never none, and returns those that are linked.  Two
+    ``prepare`` gets the nodes that share a key with another one, once, and returns what ``confirm`` needs of them.
+    ``confirm`` gets stored pairs (a, b) with a < b, never none, and that, and returns those that are linked.  Two
     nodes are compared if they share a key, may link and are not yet in one group.
     """
     # Buckets of one node, by far the most, end here; the others are stored once.
@@ -60,6 +61,7 @@ def group(
         F.count(F.lit(1)).alias("_size"), F.min("node").alias("_centre"), F.max("node").alias("_last")
     ).where("_centre <> _last").drop("_last")
     held = materialise(members.join(shared, "key").join(attributes, "node"), "buckets")
+    ready: list[DataFrame] = []
     plain = [c for c in attributes.columns if c != "node"]
     other = [F.col(c).alias(f"_c_{c}") for c in plain]
 
@@ -68,9 +70,11 @@ def group(
             F.least("node", "_centre").alias("a"), F.greatest("node", "_centre").alias("b")
         )
         near = materialise(near.distinct(), "pairs")
-        found = None if near.isEmpty() else confirm(near)
-        if found is None:
+        if near.isEmpty():
             return edges
+        if not ready:
+            ready.append(prepare(held.select("node").distinct()))
+        found = confirm(near, ready[0])
         return materialise(found if edges is None else found.unionByName(edges), "links")
 
     def with_centre(rows: DataFrame) -> DataFrame:
@@ -95,6 +99,10 @@ def group(
         large = materialise(several.drop("_low").join(centres, "key"), "buckets")
         if large.isEmpty():
             return None if edges is None else components(edges)
+        # The last step takes all pairs that are left; where they are few, another star would only take time.
+        sizes = large.groupBy("key").count().agg(F.sum("count"), F.sum(F.col("count").cast("double") * F.col("count"))).first()
+        if sizes[1] <= max(PAIRED * sizes[0], held.count()):
+            break
         edges = compare(with_centre(large), edges)
     # What is left: members of different groups that share a bucket.
     if edges is not None:

@@ -135,3 +135,17 @@ def test_long_lines_against_edit_distance(spark):
         if brute.edit_distance(one, two) <= max(len(one), len(two)) * 10 // 100
     }
     assert linked == want and 3 < len(want) < len(lines) - 3
+
+
+def test_lines_with_a_common_passage(spark, monkeypatch):
+    """Lines that share all but their heads meet in one large bucket: texts are read once for all rounds."""
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=draw.randint(3, 9))) for _ in range(400)]
+    passage = " ".join(draw.choices(words, k=27))
+    heads = [" ".join(draw.choices(words, k=9)) for _ in range(12)]
+    docs = list(enumerate(f"{h} {passage}" for h in [*heads, heads[10] + "x", heads[7].replace("a", "q", 1)]))
+    labels, store = [], fuzzy_lines.materialise
+    monkeypatch.setattr(fuzzy_lines, "materialise", lambda df, label: labels.append(label) or store(df, label))
+    got = left(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert got == sorted(brute.dedup_lines(docs), key=key) and [d for d, t in got if not t] == [12, 13]
+    assert labels.count("forms") == 1
